@@ -233,3 +233,17 @@ POINTS_SQL = """points AS (
          ['North', 'South', 'Central', 'Coast'][label % 4 + 1] AS region,
          label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
   FROM embeddings)"""
+
+
+def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents ⋈ labels (left): labels cover only some documents, so
+    ``quality``/``toxic`` are missing for the rest (the null source for the
+    data-quality operators).  labels is one row per labelled document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = read_table(spark, sf_dir, "labels")
+    return docs.join(lab, "doc_id", "left")
+
+
+DOC_LABELS_SQL = """doc_labels AS (
+  SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
