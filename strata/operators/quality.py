@@ -232,12 +232,13 @@ def winsor_limits(df: DataFrame, col: str, lower: float, upper: float) -> DataFr
     ``int(n*lower)`` and ``n - int(n*upper) - 1`` (not interpolated)."""
     rc = ranked_counts(df, col)
     n = rc.agg(F.sum("cnt")).scalar()
-    lo_rank = F.floor(n.cast("double") * F.lit(lower))
-    hi_rank = n - F.floor(n.cast("double") * F.lit(upper)) - 1
-    v = F.col(col).cast("double")
-    hit = lambda r: (F.col("first_rank") <= r) & (r < F.col("cum_cnt"))
-    return rc.agg(F.max(F.when(hit(lo_rank), v)).alias("lo_value"),
-                  F.max(F.when(hit(hi_rank), v)).alias("hi_value"))
+    ranks = rc.select("first_rank", "cum_cnt", F.col(col).cast("double").alias("v"),
+                      F.floor(n.cast("double") * F.lit(lower)).alias("_lo"),
+                      (n - F.floor(n.cast("double") * F.lit(upper)) - 1).alias("_hi"))
+    hit = lambda r: (F.col("first_rank") <= F.col(r)) & (F.col(r) < F.col("cum_cnt"))
+    return ranks.where(hit("_lo") | hit("_hi")).agg(
+        F.max(F.when(hit("_lo"), F.col("v"))).alias("lo_value"),
+        F.max(F.when(hit("_hi"), F.col("v"))).alias("hi_value"))
 
 
 def winsorize(df: DataFrame, col: str, lower: float = 0.05, upper: float = 0.05,
