@@ -55,10 +55,11 @@ def ml_one_hot_stages(cols: Sequence[str], drop_first: bool = False) -> list:
     """StringIndexer + OneHotEncoder.  ``dropLast`` drops the *last* index, so
     for drop-first semantics the levels are indexed in descending order."""
     order = "alphabetDesc" if drop_first else "alphabetAsc"
+    # no "keep" bucket: with one, dropLast would drop the invalid bucket instead
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType=order,
-                         handleInvalid="keep") for c in cols]
+                         handleInvalid="error") for c in cols]
     enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__ohe" for c in cols],
-                        dropLast=drop_first, handleInvalid="keep")
+                        dropLast=drop_first, handleInvalid="error")
     return idx + [enc]
 
 

@@ -146,7 +146,8 @@ def cv_summary(per_fold: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def grid_search(df: DataFrame, pipe: Pipeline, est, grid: dict, fold_col: str = "fold",
-                parallelism: int = 2, sample: int | None = None, seed: int = 42) -> DataFrame:
+                parallelism: int = 2, sample: int | None = None, seed: int = 42,
+                num_folds: int = 5) -> DataFrame:
     """Exhaustive (or seeded random subset of) grid with k-fold CV on the
     fold column; returns ``(params, mean_auc, rank)`` ranked by score."""
     names = list(grid)
@@ -156,7 +157,7 @@ def grid_search(df: DataFrame, pipe: Pipeline, est, grid: dict, fold_col: str =
     maps = [{est.getParam(n): v for n, v in zip(names, combo)} for combo in combos]
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(labelCol=est.getLabelCol(), numBins=0),
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
+                        foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=seed)
     model = cv.fit(df)
     spark = df.sparkSession
     rows = [(json.dumps({n: v for n, v in zip(names, combo)}, sort_keys=True), float(s))

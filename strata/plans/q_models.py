@@ -1,5 +1,220 @@
-"""Registered queries."""
+"""Registered model, tuning and explanation queries (SURVEY §2.10 pipeline,
+§2.11).  Model fits are not SQL-expressible: these are checked by row counts
+here and by invariants in ``tests/test_models.py``."""
 
 from __future__ import annotations
 
-from strata.plans.catalog import register  # noqa: F401
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from strata.functions.numeric import round_half_up
+from strata.operators import models as M
+from strata.operators import retrieve as RV
+from strata.operators import sampling as S
+from strata.plans import standins as st
+from strata.plans.catalog import register
+from strata.session import cut_lineage
+from strata.sources.tables import read_table
+
+NUMERIC = ["tenure", "MonthlyCharges", "n_orders", "TotalCharges"]
+CATEGORICAL = ["Contract"]
+
+
+def churn_model_table(spark, sf):
+    """Churn rows with a 0/1 label, the exact stratified split and 5 folds."""
+    c = st.churn(spark, sf).select(
+        "customerID", "Contract", *[F.col(x).cast("double").alias(x) for x in NUMERIC],
+        F.when(F.col("Churn") == "Yes", 1).otherwise(0).alias("label"))
+    c = S.stratified_split(c, "label", "customerID", 0.2, 42)
+    # iterative fitters scan their input many times: cut the derivation's
+    # lineage once (reliable checkpoint in the shared checkpoint folder)
+    return cut_lineage(S.stratified_kfold(c, "label", "customerID", 5, 42))
+
+
+def _fit_eval(spark, sf, kind, **params):
+    data = churn_model_table(spark, sf)
+    train, test = data.where(~F.col("is_test")), data.where("is_test")
+    est = M.estimator(kind, n_rows=train.count(), **params)
+    pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, scale=True, impute=True)
+    return M.fit_predict(train, test, pipe, ["customerID", "label"])
+
+
+@register("logistic_regression")
+def q_logistic_regression(spark, sf):
+    return _fit_eval(spark, sf, "logistic_regression")
+
+
+@register("decision_tree")
+def q_decision_tree(spark, sf):
+    return _fit_eval(spark, sf, "decision_tree", maxDepth=500, impurity="entropy")
+
+
+@register("random_forest")
+def q_random_forest(spark, sf):
+    return _fit_eval(spark, sf, "random_forest", numTrees=20, maxDepth=10)
+
+
+@register("gradient_boosting")
+def q_gradient_boosting(spark, sf):
+    return _fit_eval(spark, sf, "gradient_boosting", maxIter=20, maxDepth=3)
+
+
+@register("xgboost")
+def q_xgboost(spark, sf):
+    return _fit_eval(spark, sf, "xgboost", maxIter=30, maxDepth=5, stepSize=0.1, subsamplingRate=0.8)
+
+
+@register("linear_svm")
+def q_linear_svm(spark, sf):
+    return _fit_eval(spark, sf, "linear_svm", maxIter=50)
+
+
+@register("mlp")
+def q_mlp(spark, sf):
+    # inputs: 4 numeric + 4 dummies (drop-first over 5 segments) = 8
+    return _fit_eval(spark, sf, "mlp", layers=[8, 16, 8, 2], maxIter=50)
+
+
+@register("pipeline")
+def q_pipeline(spark, sf):
+    """impute -> dummies -> scale -> ANOVA-F top 4 -> logistic regression."""
+    data = churn_model_table(spark, sf)
+    train, test = data.where(~F.col("is_test")), data.where("is_test")
+    est = M.estimator("logistic_regression", n_rows=train.count())
+    pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, scale=True, impute=True, kbest=4)
+    return M.fit_predict(train, test, pipe, ["customerID", "label"])
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf):
+    data = churn_model_table(spark, sf).where(~F.col("is_test"))
+    est = M.estimator("logistic_regression", n_rows=1000)
+    pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True)
+    return M.cv_summary(M.cross_validate(data, pipe, "fold", 5))
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    data = churn_model_table(spark, sf).where(~F.col("is_test"))
+    est = M.estimator("decision_tree")
+    pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True)
+    return M.grid_search(data, pipe, est, {"maxDepth": [3, 5], "impurity": ["gini", "entropy"]}, "fold")
+
+
+@register("randomized_search")
+def q_randomized_search(spark, sf):
+    data = churn_model_table(spark, sf).where(~F.col("is_test"))
+    est = M.estimator("random_forest")
+    pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True)
+    grid = {"numTrees": [5, 10, 20], "maxDepth": [3, 5, 8], "featureSubsetStrategy": ["sqrt", "log2"]}
+    return M.grid_search(data, pipe, est, grid, "fold", sample=3, seed=42)
+
+
+@register("rank_grid_results")
+def q_rank_grid_results(spark, sf):
+    g = q_grid_search(spark, sf)
+    return g.withColumn("rank_test_score", F.rank().over(Window.orderBy(F.col("mean_auc").desc())))
+
+
+def _comparison(spark, sf):
+    frames = []
+    for kind, params in [("logistic_regression", {}), ("decision_tree", {"maxDepth": 5}),
+                         ("random_forest", {"numTrees": 20, "maxDepth": 8}),
+                         ("gradient_boosting", {"maxIter": 20})]:
+        pred = _fit_eval(spark, sf, kind, **params)
+        frames.append(M.metrics_row(pred).select(F.lit(kind).alias("model"), "*"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    return _comparison(spark, sf)
+
+
+@register("argmax_model")
+def q_argmax_model(spark, sf):
+    """Best model by recall, ties to the first listed (``idxmax``)."""
+    order = {"logistic_regression": 0, "decision_tree": 1, "random_forest": 2, "gradient_boosting": 3}
+    cmp = _comparison(spark, sf)
+    pos = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
+    return cmp.orderBy(F.col("recall").desc(), pos[F.col("model")]).limit(1)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    data = churn_model_table(spark, sf)
+    train = data.where(~F.col("is_test"))
+    est = M.estimator("random_forest", numTrees=20, maxDepth=8)
+    pipe = M.build_pipeline(NUMERIC, [], est, scale=False, impute=True)
+    model = pipe.fit(train)
+    rows = M.feature_importance(model.stages[-1], NUMERIC)
+    df = spark.createDataFrame([(n, round(v, 6)) for n, v in rows], "feature string, importance double")
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+
+
+def _linear_model(spark, sf):
+    data = churn_model_table(spark, sf)
+    train = data.where(~F.col("is_test")).na.fill(0.0, subset=["TotalCharges"])
+    est = M.estimator("logistic_regression", n_rows=train.count())
+    pipe = M.build_pipeline(NUMERIC, [], est, scale=True, impute=False)
+    model = pipe.fit(train)
+    return data.na.fill(0.0, subset=["TotalCharges"]), list(model.stages[-1].coefficients)
+
+
+@register("explain")
+def q_explain(spark, sf):
+    """Top signed contributions per test row of the linear churn model."""
+    data, coefs = _linear_model(spark, sf)
+    return M.linear_contributions(data.where("is_test"), NUMERIC, coefs, "customerID", top=10)
+
+
+@register("shap_summary")
+def q_shap_summary(spark, sf):
+    data, coefs = _linear_model(spark, sf)
+    contrib = M.linear_contributions(data, NUMERIC, coefs, "customerID", top=len(NUMERIC))
+    return M.mean_abs_contribution(contrib)
+
+
+@register("logit_inference")
+def q_logit_inference(spark, sf):
+    data = churn_model_table(spark, sf).na.fill(0.0, subset=["TotalCharges"])
+    from strata.operators.features import standard_scale
+    scaled = standard_scale(data, ["tenure", "MonthlyCharges"], digits=None)
+    return M.logit_inference(scaled, ["tenure", "MonthlyCharges"], "label")
+
+
+@register("knn_classifier", sql="""
+WITH e AS (SELECT vec_id AS id, label, embedding FROM embeddings),
+r AS (SELECT id, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '#42') || CAST(id AS VARCHAR)) - 1 AS rk,
+             COUNT(*) OVER (PARTITION BY label) AS n_c FROM e),
+s AS (SELECT id, label, rk < FLOOR(n_c * 0.2::DOUBLE + 0.5) AS is_test FROM r),
+lf AS (SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM e),
+d AS (SELECT q.id AS qid, c.id AS cid, SUM((CAST(q.x AS DOUBLE) - CAST(c.x AS DOUBLE)) * (CAST(q.x AS DOUBLE) - CAST(c.x AS DOUBLE))) AS dist
+      FROM lf q JOIN lf c ON q.i = c.i
+      WHERE q.id IN (SELECT id FROM s WHERE is_test) AND c.id IN (SELECT id FROM s WHERE NOT is_test)
+      GROUP BY q.id, c.id),
+nn AS (SELECT qid, cid FROM (SELECT qid, cid, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY dist, cid) AS rn FROM d) WHERE rn <= 7),
+v AS (SELECT nn.qid, s.label, COUNT(*) AS n FROM nn JOIN s ON nn.cid = s.id GROUP BY nn.qid, s.label)
+SELECT qid AS id, arg_min(label, (-n, label)) AS prediction FROM v GROUP BY qid""")
+def q_knn_classifier(spark, sf):
+    e = read_table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    split = S.stratified_split(e, "label", "id", 0.2, 42)
+    train = split.where(~F.col("is_test")).select("id", "v", "label")
+    test = split.where("is_test").select("id", "v")
+    return RV.knn_classify(train, test, k=7)
+
+
+@register("batch_score_model")
+def q_batch_score_model(spark, sf):
+    """Score every customer with the fitted churn pipeline, tier and summarise."""
+    from strata.operators import evaluate as E
+    data = churn_model_table(spark, sf)
+    train = data.where(~F.col("is_test"))
+    est = M.estimator("logistic_regression", n_rows=train.count())
+    model = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True).fit(train)
+    scored = M.positive_probability(model.transform(data))
+    return E.batch_summary(E.batch_score(scored, 0.3, "score", keep=("customerID",)))
