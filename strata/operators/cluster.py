@@ -70,9 +70,14 @@ def silhouette_samples(assigned: DataFrame, cols: Sequence[str], cluster: str =
     a = mean distance to the own cluster excluding the point itself,
     b = smallest mean distance to another cluster; singletons get 0."""
     summ = _summaries(assigned, cols, cluster)
-    arr = summ.select(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "msq",
-                                              F.array(*[F.col(f"m_{c}") for c in cols]).alias("m")))
-                      .alias("a")).scalar()                  # k entries: bounded by k
+    # the k summaries as one array in a one-row table, attached to every point
+    # by an equi-join on a constant key (broadcast build side of one row;
+    # higher-order functions cannot read a scalar subquery)
+    one = summ.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "msq",
+                                           F.array(*[F.col(f"m_{c}") for c in cols]).alias("m")))
+                   .alias("_arr")).withColumn("_k", F.lit(0))
+    assigned = assigned.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k")
+    arr = F.col("_arr")
     x = F.array(*[F.col(c).cast("double") for c in cols])
     xsq = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
 
