@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strata.functions.numeric import round_half_up
 from strata.operators.orderstats import prefix_sums, value_count_table
@@ -110,7 +111,7 @@ def jarque_bera(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value ``erfc(|z|/sqrt 2)`` (vectorised helper; Spark
     has no erfc built-in)."""

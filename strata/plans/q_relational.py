@@ -266,3 +266,16 @@ FROM trading, cuts""")
 def q_time_series_split(spark, sf):
     t = st.trading(spark, sf).select("ts_id", "date")
     return S.time_series_split(t, "date", 5)
+
+
+@register("sql_query", sql="""
+SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_quantity) AS DOUBLE) AS sum_qty
+FROM lineitem WHERE l_discount > 0.02 GROUP BY l_returnflag, l_linestatus""")
+def q_sql_query(spark, sf):
+    """``query(sql)``: the tables registered as temp views, a SQL string run by Spark."""
+    from strata.sources.files import sql
+    from strata.sources.tables import register_tables
+    register_tables(spark, sf)
+    return sql(spark, """
+        SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_quantity) AS DOUBLE) AS sum_qty
+        FROM lineitem WHERE l_discount > 0.02 GROUP BY l_returnflag, l_linestatus""")
