@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strata.functions.dates import day_name, sql_day_number, weekday_mon0
 from strata.functions.numeric import pct, round_half_up
 from strata.functions.text import arrow_concat
-from strata.operators.orderstats import quantiles
+from strata.operators.orderstats import quantiles, value_count_table
 
 
 def _approx_quantiles(df, value_col, probs, group_cols, names, accuracy=10000):
@@ -37,14 +37,27 @@ def delay_by_station(trips: DataFrame, station_col: str = "from_station",
                      delay_col: str = "delay", late_after: float = 5,
                      limit: int = 20, exact: bool = True) -> DataFrame:
     """trips, mean / median / p95 delay, delayed trips and share per station;
-    top ``limit`` by mean delay (ties by station name)."""
+    top ``limit`` by mean delay (ties by station name).
+
+    The trips are reduced once to a ``(station, delay, cnt)`` value-count
+    table (map-side partial aggregation: delays are whole days, so the table
+    is tiny); count, mean, late count and the exact percentiles all come from
+    it, so the big join feeding ``trips`` runs once."""
     d = F.col(delay_col)
-    base = trips.groupBy(F.col(station_col).alias("station")).agg(
-        F.count(F.lit(1)).alias("trips"),
-        F.avg(d).alias("_avg"),
-        F.count_if(d > late_after).alias("delayed_trips"))
-    qs = grouped_quantiles(trips.select(F.col(station_col).alias("station"), d.alias("_d")),
-                           "_d", [0.5, 0.95], ["station"], ["_med", "_p95"], exact)
+    if not exact:
+        base = trips.groupBy(F.col(station_col).alias("station")).agg(
+            F.count(F.lit(1)).alias("trips"), F.avg(d).alias("_avg"),
+            F.count_if(d > late_after).alias("delayed_trips"))
+        qs = _approx_quantiles(trips.select(F.col(station_col).alias("station"), d.alias("_d")),
+                               "_d", [0.5, 0.95], ["station"], ["_med", "_p95"])
+    else:
+        vc = value_count_table(trips.select(F.col(station_col).alias("station"), d.alias("_d")),
+                               "_d", ["station"])
+        base = vc.groupBy("station").agg(
+            F.sum("cnt").alias("trips"),
+            (F.sum(F.col("_d") * F.col("cnt")).cast("double") / F.sum("cnt")).alias("_avg"),
+            F.sum(F.when(F.col("_d") > late_after, F.col("cnt")).otherwise(0)).alias("delayed_trips"))
+        qs = quantiles(None, "_d", [0.5, 0.95], ["station"], ["_med", "_p95"], counts=vc)
     out = base.join(qs, "station", "left").select(
         "station", "trips",
         round_half_up("_avg", 1).alias("avg_delay"),
@@ -167,12 +180,22 @@ def grouped_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def daily_series(df: DataFrame, date_col: str, value_col: str, window_rows: int = 7,
                  exact: bool = True) -> DataFrame:
     """Mean, median and count per day plus a ``window_rows``-row trailing mean
-    of the daily mean (``min_periods=1``).  The trailing window runs on the
-    daily table (one row per day), never on raw rows."""
-    daily = df.groupBy(F.col(date_col).alias("day")).agg(
-        F.avg(value_col).alias("mean"), F.count(F.lit(1)).alias("count"))
-    med = grouped_quantiles(df.select(F.col(date_col).alias("day"), F.col(value_col).alias("_v")),
-                            "_v", [0.5], ["day"], ["median"], exact)
+    of the daily mean (``min_periods=1``).  Exact mode builds one
+    ``(day, value, cnt)`` table and derives all three statistics from it;
+    the trailing window runs on the daily table (one row per day, a bounded
+    series), never on raw rows."""
+    if exact:
+        vc = value_count_table(df.select(F.col(date_col).alias("day"), F.col(value_col).alias("_v")),
+                               "_v", ["day"])
+        daily = vc.groupBy("day").agg(
+            (F.sum(F.col("_v") * F.col("cnt")).cast("double") / F.sum("cnt")).alias("mean"),
+            F.sum("cnt").alias("count"))
+        med = quantiles(None, "_v", [0.5], ["day"], ["median"], counts=vc)
+    else:
+        daily = df.groupBy(F.col(date_col).alias("day")).agg(
+            F.avg(value_col).alias("mean"), F.count(F.lit(1)).alias("count"))
+        med = _approx_quantiles(df.select(F.col(date_col).alias("day"), F.col(value_col).alias("_v")),
+                                "_v", [0.5], ["day"], ["median"])
     w = Window.orderBy("day").rowsBetween(-(window_rows - 1), 0)
     return (daily.join(med, "day", "left")
             .select(F.date_format("day", "yyyy-MM-dd").alias("day"),

@@ -33,11 +33,13 @@ TIER_ACTION = {
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """``(score, pos, neg)`` - one row per distinct score."""
-    return (df.where(F.col(score).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
-            .agg(F.sum(F.col(label).cast("long")).alias("pos"),
-                 F.sum((1 - F.col(label)).cast("long")).alias("neg")))
+    """``(score, pos, neg)`` - one row per distinct score, written once to the
+    shared checkpoint folder (it feeds totals, prefix sums and lookups)."""
+    from strata.session import cut_lineage
+    return cut_lineage(df.where(F.col(score).isNotNull())
+                       .groupBy(F.col(score).cast("double").alias("score"))
+                       .agg(F.sum(F.col(label).cast("long")).alias("pos"),
+                            F.sum((1 - F.col(label)).cast("long")).alias("neg")))
 
 
 def cumulative_confusion(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import cut_lineage
+
 
 def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -64,39 +66,50 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
 
 
 def value_count_table(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                      drop_nan: bool = True) -> DataFrame:
-    """``(group..., value, cnt)`` with NULL (and NaN) values removed."""
+                      drop_nan: bool = True, materialize: bool = True) -> DataFrame:
+    """``(group..., value, cnt)`` with NULL (and NaN) values removed.
+
+    The table feeds several branches (counts, ranks, offsets, lookups); it is
+    written once to the shared checkpoint folder so the (possibly expensive)
+    input plan - joins, derivations - runs once instead of once per branch."""
     v = F.col(value_col)
     cond = v.isNotNull()
     if drop_nan:
         cond = cond & ~F.isnan(v.cast("double"))
-    return (df.where(cond).groupBy(*group_cols, value_col)
-            .agg(F.count(F.lit(1)).alias("cnt")))
+    out = (df.where(cond).groupBy(*group_cols, value_col)
+           .agg(F.count(F.lit(1)).alias("cnt")))
+    return cut_lineage(out) if materialize else out
 
 
-def ranked_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                  num_partitions: int | None = None) -> DataFrame:
+def ranked_counts(df: DataFrame | None, value_col: str, group_cols: Sequence[str] = (),
+                  num_partitions: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Value-count table with ``first_rank`` (0-based index of the value's first
-    occurrence in sorted order) and ``cum_cnt`` (inclusive)."""
-    counts = value_count_table(df, value_col, group_cols)
+    occurrence in sorted order) and ``cum_cnt`` (inclusive).  ``counts`` may
+    pass an already built ``(group..., value, cnt)`` table."""
+    if counts is None:
+        counts = value_count_table(df, value_col, group_cols)
     pref = prefix_sums(counts, list(group_cols), value_col, ["cnt"], num_partitions)
     return pref.withColumn("first_rank", F.col("cum_cnt") - F.col("cnt"))
 
 
-def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+def quantiles(df: DataFrame | None, value_col: str, probs: Sequence[float],
               group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT`` of ``value_col`` per group.
 
     Returns one row per group with one column per probability (named by
-    ``names`` or ``q<p>``)."""
+    ``names`` or ``q<p>``).  Pass ``counts`` (a ``(group..., value, cnt)``
+    table) to reuse a value-count table built for other statistics."""
     group_cols = list(group_cols)
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     synthetic = not group_cols
     if synthetic:                      # one global group: a constant key
-        df = df.withColumn("_g", F.lit(0))
+        if counts is not None:
+            counts = counts.withColumn("_g", F.lit(0))
+        else:
+            df = df.withColumn("_g", F.lit(0))
         group_cols = ["_g"]
-    rc = ranked_counts(df, value_col, group_cols, num_partitions)
+    rc = ranked_counts(df, value_col, group_cols, num_partitions, counts=counts)
     sizes = rc.groupBy(*group_cols).agg(F.sum("cnt").alias("_n"))
     pos = sizes.select(*group_cols, "_n", F.posexplode(
         F.array(*[F.lit(float(p)) for p in probs])).alias("_qi", "_p"))
