@@ -352,3 +352,52 @@ def q_seasonal_naive(spark, sf):
     return daily.select(F.date_format("date", "yyyy-MM-dd").alias("day"),
                         round_half_up("mean_delay", 4).alias("mean_delay"),
                         round_half_up(F.lag("mean_delay", 7).over(w), 4).alias("forecast"))
+
+
+CHURN_FEATS = ["tenure", "MonthlyCharges", "n_orders"]
+
+
+@register("rank_features", sql=f"""WITH {st.SCORED_SQL},
+sc AS (SELECT s.label, s.tenure, s.MonthlyCharges, c.n_orders FROM scored s JOIN churn c ON s.id = c.customerID),
+c AS (""" + _union([f"SELECT '{a}' AS feature, {_r(f'CORR({a}, label)', 6)} AS corr FROM sc" for a in CHURN_FEATS]) + """)
+SELECT feature, corr, ABS(corr) AS abs_corr,
+       ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS rank FROM c""")
+def q_rank_features(spark, sf):
+    """Churn features ranked by |Pearson correlation| with the label."""
+    s = st.scored(spark, sf).join(st.churn(spark, sf).select(F.col("customerID").alias("id"), "n_orders"), "id")
+    return T.corr_with_target(s, CHURN_FEATS, "label")
+
+
+@register("scalar_functions", sql=f"""
+SELECT event_id,
+       TRY_CAST(strftime(ts, '%Y-%m-%d') AS DATE) IS NOT NULL AS date_ok,
+       TRY_CAST(event_type || '-01' AS DATE) AS bad_date,
+       CAST(isodow(ts) - 1 AS INTEGER) AS weekday,
+       ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(ts)] AS day_label,
+       dayname(ts) AS day_name,
+       CAST(hour(ts) AS INTEGER) AS hour,
+       upper(trim(event_type)) || ' → ' || CAST(user_id AS VARCHAR) AS label,
+       contains(lower(props), '"k"') AS has_k,
+       LEAST(GREATEST(value, 1.0), 100.0) AS clipped,
+       {_r('value', 1)} AS rounded,
+       CASE WHEN value >= 70 THEN 'High' WHEN value >= 30 THEN 'Medium' ELSE 'Low' END AS tier
+FROM events""")
+def q_scalar_functions(spark, sf):
+    """The scalar-function families of SURVEY §2.9 on ``events``."""
+    from strata.functions import (arrow_concat, bounded, coerce_date, day_label, day_name,
+                                  round_half_up, weekday_mon0)
+    from strata.sources.tables import read_table
+    ev = read_table(spark, sf, "events")
+    return ev.select(
+        "event_id",
+        coerce_date(F.date_format("ts", "yyyy-MM-dd")).isNotNull().alias("date_ok"),
+        coerce_date(F.concat("event_type", F.lit("-01"))).alias("bad_date"),
+        weekday_mon0("ts").alias("weekday"),
+        day_label(weekday_mon0("ts")).alias("day_label"),
+        day_name("ts").alias("day_name"),
+        F.hour("ts").alias("hour"),
+        arrow_concat(F.upper(F.trim("event_type")), F.col("user_id").cast("string")).alias("label"),
+        F.lower("props").contains('"k"').alias("has_k"),
+        bounded("value", 1.0, 100.0).alias("clipped"),
+        round_half_up("value", 1).alias("rounded"),
+        F.when(F.col("value") >= 70, "High").when(F.col("value") >= 30, "Medium").otherwise("Low").alias("tier"))
