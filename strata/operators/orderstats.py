@@ -88,10 +88,31 @@ def ranked_counts(df: DataFrame | None, value_col: str, group_cols: Sequence[str
     pass an already built ``(group..., value, cnt)`` table."""
     if counts is None:
         counts = value_count_table(df, value_col, group_cols)
-    pref = prefix_sums(counts, list(group_cols), value_col, ["cnt"], num_partitions)
+    group_cols = list(group_cols)
+    if _largest_group(counts, group_cols) <= WINDOW_FAST_PATH_ROWS:
+        # every group is proven small: one window per group, no range pass
+        w = (Window.partitionBy(*group_cols).orderBy(value_col)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        pref = counts.withColumn("cum_cnt", F.sum("cnt").over(w))
+    else:
+        pref = prefix_sums(counts, group_cols, value_col, ["cnt"], num_partitions)
     return pref.withColumn("first_rank", F.col("cum_cnt") - F.col("cnt"))
 
 
+# A group of the value-count table at most this large is ranked with a plain
+# window (one task per group); above it the two-phase range path is used.
+WINDOW_FAST_PATH_ROWS = 1_000_000
+
+
+def _largest_group(counts: DataFrame, group_cols: Sequence[str]) -> int:
+    """Rows of the largest group of a (materialised) count table - a bounded
+    aggregate over the small table, used as the proof for the fast path."""
+    if not group_cols:
+        return counts.count()
+    row = counts.groupBy(*group_cols).count().agg(F.max("count")).first()
+    return int(row[0] or 0)
+
+
 def quantiles(df: DataFrame | None, value_col: str, probs: Sequence[float],
               group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
               num_partitions: int | None = None, counts: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from strata.functions.numeric import round_half_up
-from strata.operators.orderstats import long_form, quantiles, ranked_counts
+from strata.operators.orderstats import long_form, quantiles, ranked_counts, value_count_table
 from strata.operators.relational import numeric_columns
 
 
@@ -131,10 +131,9 @@ def summarize_table(df: DataFrame, cols: Sequence[str] | None = None, digits: in
     one = df.agg(F.count(F.lit(1)).alias("n"), *chain_aggs(cols))
     st = _stack(one, cols, ["mn", "mx", "avg", "std", "cnt"], common=["n"])
     n = F.col("n")
-    lf = long_form(df, cols)
-    qs = quantiles(lf, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"])
-    uniq = lf.where(F.col("value").isNotNull()).distinct().groupBy("column") \
-        .agg(F.count(F.lit(1)).alias("unique"))
+    vc = value_count_table(long_form(df, cols), "value", ["column"])
+    qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"], counts=vc)
+    uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     return (st.join(qs, "column", "left").join(uniq, "column", "left")
             .select("column", F.col("mn").alias("min"), F.col("mx").alias("max"),
                     F.coalesce("unique", F.lit(0)).cast("long").alias("approx_unique"),
@@ -190,22 +189,25 @@ THRESHOLDS = [1.0 + 0.5 * i for i in range(8)]   # 1.0 ... 4.5
 
 
 def _quartile_fences(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    lf = long_form(df, cols)
-    qs = quantiles(lf, "value", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"])
-    return lf, qs.withColumn("iqr", F.col("q3") - F.col("q1"))
+    """``(column, value, cnt)`` value-count table of the long form and the
+    per-column quartiles computed from it."""
+    vc = value_count_table(long_form(df, cols), "value", ["column"])
+    qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"], counts=vc)
+    return vc, qs.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def iqr_outlier_sweep(df: DataFrame, cols: Sequence[str],
                       thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """Outliers outside ``[q1 - t*iqr, q3 + t*iqr]`` for every threshold t,
-    counted in one pass over the long form joined to the per-column fences
-    (one row per column: bounded, broadcast)."""
-    lf, qs = _quartile_fences(df, cols)
-    j = lf.where(F.col("value").isNotNull() & ~F.isnan("value")).join(F.broadcast(qs), "column")
-    aggs = [F.count_if((F.col("value") < F.col("q1") - F.lit(t) * F.col("iqr"))
-                       | (F.col("value") > F.col("q3") + F.lit(t) * F.col("iqr"))).alias(f"o{i}")
+    """Outliers outside ``[q1 - t*iqr, q3 + t*iqr]`` for every threshold t.
+    Counted on the value-count table (one row per distinct value) joined to the
+    per-column fences (one row per column: bounded, broadcast)."""
+    vc, qs = _quartile_fences(df, cols)
+    j = vc.join(F.broadcast(qs), "column")
+    aggs = [F.sum(F.when((F.col("value") < F.col("q1") - F.lit(t) * F.col("iqr"))
+                         | (F.col("value") > F.col("q3") + F.lit(t) * F.col("iqr")), F.col("cnt"))
+                  .otherwise(0)).alias(f"o{i}")
             for i, t in enumerate(thresholds)]
-    counts = j.groupBy("column").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    counts = j.groupBy("column").agg(F.sum("cnt").alias("n"), *aggs)
     structs = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"o{i}").alias("outliers"))
                for i, t in enumerate(thresholds)]
     return counts.select("column", "n", F.explode(F.array(*structs)).alias("s")) \
@@ -215,16 +217,16 @@ def iqr_outlier_sweep(df: DataFrame, cols: Sequence[str],
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
     """q1, median, q3, whiskers (extreme values inside the 1.5·IQR fences) and
-    the number of fliers, per column."""
-    lf, qs = _quartile_fences(df, cols)
-    j = lf.where(F.col("value").isNotNull() & ~F.isnan("value")).join(F.broadcast(qs), "column")
+    the number of fliers, per column (from the value-count table)."""
+    vc, qs = _quartile_fences(df, cols)
+    j = vc.join(F.broadcast(qs), "column")
     lo = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi = F.col("q3") + F.lit(whisker) * F.col("iqr")
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
     return j.groupBy("column", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("fliers"))
+        F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).alias("fliers"))
 
 
 def winsor_limits(df: DataFrame, col: str, lower: float, upper: float) -> DataFrame:

@@ -23,7 +23,12 @@ def _pct_cont(vals, p):
     return lo + (hi - lo) * (pos - math.floor(pos))
 
 
-def test_quantiles_skewed_groups(spark):
+import pytest
+
+
+@pytest.mark.parametrize("fast_rows", [0, 1_000_000])
+def test_quantiles_skewed_groups(spark, monkeypatch, fast_rows):
+    monkeypatch.setattr(OS, "WINDOW_FAST_PATH_ROWS", fast_rows)   # 0 forces the two-phase path
     rnd = random.Random(1)
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + \
            [(f"g{i % 7}", rnd.random()) for i in range(700)]
