@@ -218,3 +218,14 @@ def q_batch_score_model(spark, sf):
     model = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True).fit(train)
     scored = M.positive_probability(model.transform(data))
     return E.batch_summary(E.batch_score(scored, 0.3, "score", keep=("customerID",)))
+
+
+@register("explain_tree")
+def q_explain_tree(spark, sf):
+    """Sampled Shapley contributions of the gradient-boosted churn model for
+    every test customer (top drivers per row)."""
+    data = churn_model_table(spark, sf).na.fill(0.0, subset=["TotalCharges"])
+    train = data.where(~F.col("is_test"))
+    est = M.estimator("xgboost", maxIter=20, maxDepth=4)
+    model = M.build_pipeline(NUMERIC, [], est, scale=True).fit(train)
+    return M.sampled_shapley(model, data.where("is_test"), NUMERIC, "customerID", n_perm=8, top=10)

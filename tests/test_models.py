@@ -66,3 +66,18 @@ def test_linear_contributions_top_and_direction(spark):
 def test_depth_is_clamped():
     est = M.estimator("decision_tree", maxDepth=500)
     assert est.getMaxDepth() == M.MAX_TREE_DEPTH
+
+
+def test_sampled_shapley_efficiency(spark):
+    """Contributions of a row add up to f(x) - f(baseline)."""
+    df = _data(spark, n=120)
+    cols = ["f0", "f1", "f2", "f3"]
+    model = M.build_pipeline(cols, [], M.estimator("gradient_boosting", maxIter=10), scale=False).fit(df)
+    base = {c: 0.0 for c in cols}
+    sh = M.sampled_shapley(model, df, cols, "id", n_perm=4, top=4, digits=12, baseline=base)
+    total = {r["id"]: r["s"] for r in sh.groupBy("id").agg(F.sum("shap_value").alias("s")).collect()}
+    fx = {r.id: r.score for r in M.positive_probability(model.transform(df)).select("id", "score").collect()}
+    b = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0)], cols)
+    fb = M.positive_probability(model.transform(b)).first()["score"]
+    for i in list(fx)[:30]:
+        assert abs(total[i] - (fx[i] - fb)) < 1e-9
