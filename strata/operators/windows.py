@@ -53,11 +53,39 @@ def ffill(df: DataFrame, key_cols: Sequence[str], order_col: str, cols: Sequence
     return out.select(*[filled.get(c, _q(c)) for c in df.columns])
 
 
-def lag_features(df: DataFrame, key_cols: Sequence[str], order_col: str, value_col: str,
-                 lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """``value_col`` shifted by each lag inside the key, in time order."""
-    w = Window.partitionBy(*key_cols).orderBy(order_col)
-    return df.select("*", *[F.lag(value_col, k).over(w).alias(f"{value_col}_lag{k}") for k in lags])
+def lag_features(df: DataFrame, key_cols: Sequence[str], order_cols: str | Sequence[str],
+                 value_col: str, lags: Sequence[int] = (1, 2, 3),
+                 num_partitions: int | None = None) -> DataFrame:
+    """``value_col`` shifted by each lag inside the key, in time order
+    (``order_cols`` unique within a key).
+
+    Two-phase so a hot key never sits in one task: rows are range-partitioned
+    by ``(key, order)`` and lagged inside each slice; a slice's first rows
+    take their missing predecessors from a small carry table built from the
+    last ``max(lags)`` rows of every slice (at most ``max_lag x (slices +
+    keys)`` rows, windowed per key)."""
+    key_cols = list(key_cols)
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    k = max(lags)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[_q(c) for c in key_cols + order_cols]) \
+        .withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols)
+    w_desc = Window.partitionBy("_pid", *key_cols).orderBy(*[F.col(c).desc() for c in order_cols])
+    local = ranged.select("*", F.row_number().over(w).alias("_i"), F.row_number().over(w_desc).alias("_rd"),
+                          *[F.lag(value_col, j).over(w).alias(f"_loc{j}") for j in lags])
+    tails = local.where(F.col("_rd") <= k).select("_pid", *key_cols, *order_cols, "_i", value_col)
+    wt = Window.partitionBy(*key_cols).orderBy("_pid", *order_cols)
+    carry = (tails.select("_pid", *key_cols, "_i", *[F.lag(value_col, m).over(wt).alias(f"_prev{m}")
+                                                    for m in range(1, k + 1)])
+             .withColumn("_first", F.row_number().over(Window.partitionBy("_pid", *key_cols).orderBy("_i")))
+             .where(F.col("_first") == 1).drop("_first", "_i"))
+    out = local.join(carry, ["_pid", *key_cols], "left")
+    prev = F.array(*[F.col(f"_prev{m}") for m in range(1, k + 1)])
+    cols = [F.when(F.col("_i") > j, F.col(f"_loc{j}"))
+            .otherwise(F.element_at(prev, (F.lit(j) - F.col("_i") + 1).cast("int")))
+            .alias(f"{value_col}_lag{j}") for j in lags]
+    return out.select(*[_q(c) for c in df.columns], *cols)
 
 
 def rank_by(df: DataFrame, by: str, descending: bool = True, tiebreak: str | None = None,

@@ -193,3 +193,16 @@ def test_silhouette_matches_pairwise(spark):
         oth = [j for j in range(len(X)) if lab[j] != lab[i]]
         a, b = d[i, own].mean(), d[i, oth].mean()
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_lag_two_phase_hot_key_matches_pandas(spark):
+    rows = [("hot" if i % 4 else f"k{i % 3}", i, float(i * 7 % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    got = {r["t"]: (r["v_lag1"], r["v_lag3"]) for r in W.lag_features(df, ["k"], "t", "v", (1, 3), num_partitions=9).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "t", "v"]).sort_values("t")
+    l1 = pdf.groupby("k")["v"].shift(1)
+    l3 = pdf.groupby("k")["v"].shift(3)
+    for t, a, b in zip(pdf["t"], l1, l3):
+        ga, gb = got[t]
+        assert (ga is None and pd.isna(a)) or ga == a
+        assert (gb is None and pd.isna(b)) or gb == b
