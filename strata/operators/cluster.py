@@ -119,7 +119,7 @@ _NEIGHBOUR_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)
 
 
 def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int,
-           max_iter: int = 100, checkpoint_every: int = 5) -> DataFrame:
+           max_iter: int = 100) -> DataFrame:
     """DBSCAN on 2-D points; returns ``(key, cluster)`` with -1 for noise.
     ``min_samples`` counts the point itself (scikit-learn semantics)."""
     side = eps / math.sqrt(2.0)
@@ -151,14 +151,17 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int
     edges = cc_cross.unionByName(star)
     edges = edges.unionByName(edges.select(F.col("nid").alias("id"), F.col("id").alias("nid"))).distinct()
     edges = cut_lineage(edges)
-    labels = core.select("id", F.col("id").alias("label"))
-    for it in range(max_iter):
+    labels = cut_lineage(core.select("id", F.col("id").alias("label")))
+    for _ in range(max_iter):
         nb = edges.join(labels.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid") \
             .groupBy("id").agg(F.min("nl").alias("nl"))
-        new = labels.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        if (it + 1) % checkpoint_every == 0:
-            new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1).count()
+        hop = labels.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))
+        # pointer jumping: adopt the label of my label (shortcuts long chains)
+        parent = hop.select(F.col("id").alias("label"), F.col("label").alias("pl"))
+        new = cut_lineage(hop.join(parent, "label", "left")
+                          .select("id", F.least("label", F.coalesce("pl", "label")).alias("label")))
+        changed = new.join(labels.withColumnRenamed("label", "old"), "id") \
+            .where(F.col("label") != F.col("old")).limit(1).count()
         labels = new
         if changed == 0:
             break
