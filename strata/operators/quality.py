@@ -124,16 +124,38 @@ def profile_table(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
             .orderBy(F.col("null_pct").desc(), "column"))
 
 
-def summarize_table(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
-    """``SUMMARIZE`` for numeric columns: min, max, exact unique count, mean,
-    sample std, q25/q50/q75 (exact), count, null %."""
+def approx_column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                            names: Sequence[str], accuracy: int = 10000) -> DataFrame:
+    """``(column, names...)`` from ``percentile_approx`` (Greenwald-Khanna
+    sketches: bounded memory, one pass, partial aggregation) - the choice for
+    continuous columns at very large scale."""
+    q = long_form(df, cols).groupBy("column").agg(
+        F.percentile_approx("value", list(probs), accuracy).alias("_q"))
+    return q.select("column", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+
+
+def summarize_table(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6,
+                    exact: bool = True) -> DataFrame:
+    """``SUMMARIZE`` for numeric columns: min, max, unique count, mean, sample
+    std, q25/q50/q75, count, null %.  ``exact`` uses the value-count table
+    (exact quartiles and distinct counts); otherwise GK quantile sketches and
+    HLL distinct counts in one pass."""
     cols = list(cols or numeric_columns(df))
-    one = df.agg(F.count(F.lit(1)).alias("n"), *chain_aggs(cols))
-    st = _stack(one, cols, ["mn", "mx", "avg", "std", "cnt"], common=["n"])
+    names = ["q25", "q50", "q75"]
+    if exact:
+        one = df.agg(F.count(F.lit(1)).alias("n"), *chain_aggs(cols))
+        st = _stack(one, cols, ["mn", "mx", "avg", "std", "cnt"], common=["n"])
+        vc = value_count_table(long_form(df, cols), "value", ["column"])
+        qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], names, counts=vc)
+        uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    else:
+        one = df.agg(F.count(F.lit(1)).alias("n"), *chain_aggs(cols),
+                     *[F.approx_count_distinct(_q(c)).alias(f"unique__{i}") for i, c in enumerate(cols)])
+        st = _stack(one, cols, ["mn", "mx", "avg", "std", "cnt", "unique"], common=["n"])
+        qs = approx_column_quantiles(df, cols, [0.25, 0.5, 0.75], names)
+        uniq = st.select("column", "unique")
+        st = st.drop("unique")
     n = F.col("n")
-    vc = value_count_table(long_form(df, cols), "value", ["column"])
-    qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"], counts=vc)
-    uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     return (st.join(qs, "column", "left").join(uniq, "column", "left")
             .select("column", F.col("mn").alias("min"), F.col("mx").alias("max"),
                     F.coalesce("unique", F.lit(0)).cast("long").alias("approx_unique"),
@@ -154,9 +176,10 @@ def chain_aggs(cols: Sequence[str]) -> list[Column]:
     return out
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6,
+             exact: bool = True) -> DataFrame:
     """``DataFrame.describe()``: count, mean, std, min, 25/50/75 %, max."""
-    s = summarize_table(df, cols, digits)
+    s = summarize_table(df, cols, digits, exact)
     return s.select("column", "count", F.col("avg").alias("mean"), "std", "min",
                     F.col("q25").alias("p25"), F.col("q50").alias("p50"),
                     F.col("q75").alias("p75"), "max")
@@ -188,20 +211,27 @@ def value_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 THRESHOLDS = [1.0 + 0.5 * i for i in range(8)]   # 1.0 ... 4.5
 
 
-def _quartile_fences(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(column, value, cnt)`` value-count table of the long form and the
-    per-column quartiles computed from it."""
-    vc = value_count_table(long_form(df, cols), "value", ["column"])
-    qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], ["q1", "median", "q3"], counts=vc)
+def _quartile_fences(df: DataFrame, cols: Sequence[str], exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(column, value, cnt)`` rows and the per-column quartiles: the exact
+    path builds the value-count table once and reads both from it; the
+    approximate path uses GK sketches and counts raw rows (``cnt = 1``)."""
+    names = ["q1", "median", "q3"]
+    if exact:
+        vc = value_count_table(long_form(df, cols), "value", ["column"])
+        qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], names, counts=vc)
+    else:
+        vc = long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value")) \
+            .withColumn("cnt", F.lit(1).cast("long"))
+        qs = approx_column_quantiles(df, cols, [0.25, 0.5, 0.75], names)
     return vc, qs.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def iqr_outlier_sweep(df: DataFrame, cols: Sequence[str],
-                      thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+                      thresholds: Sequence[float] = THRESHOLDS, exact: bool = True) -> DataFrame:
     """Outliers outside ``[q1 - t*iqr, q3 + t*iqr]`` for every threshold t.
     Counted on the value-count table (one row per distinct value) joined to the
     per-column fences (one row per column: bounded, broadcast)."""
-    vc, qs = _quartile_fences(df, cols)
+    vc, qs = _quartile_fences(df, cols, exact)
     j = vc.join(F.broadcast(qs), "column")
     aggs = [F.sum(F.when((F.col("value") < F.col("q1") - F.lit(t) * F.col("iqr"))
                          | (F.col("value") > F.col("q3") + F.lit(t) * F.col("iqr")), F.col("cnt"))
@@ -215,10 +245,11 @@ def iqr_outlier_sweep(df: DataFrame, cols: Sequence[str],
                 round_half_up(F.lit(100.0) * F.col("s.outliers") / F.col("n"), 4).alias("outlier_pct"))
 
 
-def boxplot_stats(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
+def boxplot_stats(df: DataFrame, cols: Sequence[str], whisker: float = 1.5,
+                  exact: bool = True) -> DataFrame:
     """q1, median, q3, whiskers (extreme values inside the 1.5·IQR fences) and
     the number of fliers, per column (from the value-count table)."""
-    vc, qs = _quartile_fences(df, cols)
+    vc, qs = _quartile_fences(df, cols, exact)
     j = vc.join(F.broadcast(qs), "column")
     lo = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi = F.col("q3") + F.lit(whisker) * F.col("iqr")

@@ -206,3 +206,17 @@ def test_lag_two_phase_hot_key_matches_pandas(spark):
         ga, gb = got[t]
         assert (ga is None and pd.isna(a)) or ga == a
         assert (gb is None and pd.isna(b)) or gb == b
+
+
+def test_approximate_summaries_close_to_exact(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(rnd.gauss(10, 3), rnd.random()) for _ in range(3000)], "a double, b double")
+    ex = {r["column"]: r for r in Q.summarize_table(df, ["a", "b"], exact=True).collect()}
+    ap = {r["column"]: r for r in Q.summarize_table(df, ["a", "b"], exact=False).collect()}
+    for c in ("a", "b"):
+        assert abs(ex[c]["q50"] - ap[c]["q50"]) < 0.05 * (ex[c]["max"] - ex[c]["min"])
+        assert abs(ex[c]["approx_unique"] - ap[c]["approx_unique"]) / ex[c]["approx_unique"] < 0.1
+    sweep = Q.iqr_outlier_sweep(df, ["a"], exact=False).collect()
+    assert len(sweep) == len(Q.THRESHOLDS)
+    box = Q.boxplot_stats(df, ["a"], exact=False).first()
+    assert box["whisker_lo"] <= box["q1"] <= box["median"] <= box["q3"] <= box["whisker_hi"]
