@@ -190,3 +190,16 @@ def kde_curve(df: DataFrame, col: str, grid_points: int = 50, digits: int = 8) -
     return dens.select(F.col("gi").alias("point"), round_half_up(gx, digits).alias("x"),
                        round_half_up(F.col("_s") / (n * h * F.lit(math.sqrt(2 * math.pi))), digits)
                        .alias("density"))
+
+
+def ks_normality(df: DataFrame, col: str, digits: int = 6) -> DataFrame:
+    """One-sample Kolmogorov-Smirnov test against a normal with the column's
+    own mean and sample std (``pyspark.ml.stat.KolmogorovSmirnovTest``: the
+    empirical CDF is computed distributedly)."""
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+    x = F.col(f"`{col}`").cast("double")
+    data = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    m = data.agg(F.avg("_x").alias("m"), F.stddev_samp("_x").alias("s")).first()
+    r = KolmogorovSmirnovTest.test(data, "_x", "norm", float(m["m"]), float(m["s"]))
+    return r.select(F.lit(col).alias("column"), round_half_up("statistic", digits).alias("ks_statistic"),
+                    round_half_up("pValue", digits).alias("p_value"))

@@ -401,3 +401,9 @@ def q_scalar_functions(spark, sf):
         bounded("value", 1.0, 100.0).alias("clipped"),
         round_half_up("value", 1).alias("rounded"),
         F.when(F.col("value") >= 70, "High").when(F.col("value") >= 30, "Medium").otherwise("Low").alias("tier"))
+
+
+@register("ks_normality")
+def q_ks_normality(spark, sf):
+    """Kolmogorov-Smirnov normality check of the unit price (beside Jarque-Bera)."""
+    return T.ks_normality(st.ratios(spark, sf), "unit_price")

@@ -65,3 +65,11 @@ def test_write_csv_roundtrip(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     FS.write_csv(df, os.path.join(d, "out"))
     assert FS.read_csv(spark, os.path.join(d, "out"), "a int, b string").count() == 1
+
+
+def test_load_two_table(spark):
+    d = tempfile.mkdtemp(prefix="strata-two-")
+    train = _csv("date,weight,resp,feature_0\n1,0.5,0.1,2.0\n2,0.0,-0.2,1.0\n", "train.csv", d)
+    meta = _csv("feature,tag_0\nfeature_0,True\n", "features.csv", d)
+    t, m = FS.load_two_table(spark, train, meta, "date int, weight double, resp double, feature_0 double")
+    assert t.count() == 2 and m.count() == 1 and t.schema["date"].dataType.simpleString() == "int"
