@@ -180,7 +180,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(w), label)          # one row per class: bounded
+    return df.join(w, label)      # one row per class: AQE broadcasts it from its measured size
 
 
 # ------------------------------------------------------------------- SMOTE

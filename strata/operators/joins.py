@@ -17,6 +17,8 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     plan (the same dimension is joined by many queries).  Above the bound
     the frame is returned unchanged and Spark chooses the join: a shuffle
     join, or a broadcast that AQE picks from *measured* sizes at runtime.
+    Use it on scans of dimension tables; for derived (aggregated) frames the
+    proof would recompute the input, so those are left to AQE.
     """
     key = (id(df.sparkSession), df.semanticHash(), max_rows)
     small = _PROVEN.get(key)

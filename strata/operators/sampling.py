@@ -72,9 +72,11 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     """Exact stratified split: in every class the ``round(frac * n_c)`` rows
     with the smallest hash draw form the test set.  Adds ``is_test``."""
     ranked = rank_within(df, label, F.concat(hash_draw(key, seed), F.col(key).cast("string")))
-    sizes = class_sizes(df, label)          # one row per class
+    # one row per class; no hint: AQE broadcasts it from its *measured* size
+    # (a count-based proof would recompute the whole input)
+    sizes = class_sizes(df, label)
     n_test = F.floor(F.col("_n_class").cast("double") * F.lit(test_fraction) + F.lit(0.5))
-    return (ranked.join(F.broadcast(sizes), label)
+    return (ranked.join(sizes, label)
             .withColumn("is_test", F.col("_rank") < n_test)
             .drop("_rank", "_n_class"))
 
@@ -91,7 +93,7 @@ def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int
         return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
     ranked = rank_within(df, label, F.col(key))
     sizes = class_sizes(df, label)
-    return (ranked.join(F.broadcast(sizes), label)
+    return (ranked.join(sizes, label)
             .withColumn("fold", F.floor(F.col("_rank") * k / F.col("_n_class")).cast("int"))
             .drop("_rank", "_n_class"))
 

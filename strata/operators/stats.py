@@ -57,8 +57,11 @@ def factorize_codes(df: DataFrame, cols: Sequence[str], order_col: str) -> DataF
         F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols
     ])).alias("s")).select("_o", "s.*").where(F.col("value").isNotNull())
     first = lf.groupBy("column", "value").agg(F.min("_o").alias("_first"))
-    w = Window.partitionBy("column").orderBy("_first", "value")
-    return first.select("column", "value", (F.row_number().over(w) - 1).alias("code"))
+    # rank levels by first appearance; two-phase, so a high-cardinality column
+    # is not ranked inside one task
+    from strata.operators.sampling import rank_within
+    order = F.struct(F.col("_first"), F.col("value"))
+    return rank_within(first, "column", order, "code").select("column", "value", "code")
 
 
 def factorize(df: DataFrame, cols: Sequence[str], order_col: str) -> DataFrame:
