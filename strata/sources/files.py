@@ -28,15 +28,20 @@ CHURN_RENAMES = {
 }
 
 
-def _exists(path: str) -> bool:
-    # local paths are checked directly; other schemes are left to Spark's reader
-    return "://" in path and not path.startswith("file://") or os.path.exists(path.replace("file://", ""))
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence through the Hadoop file system of the path's scheme (local,
+    HDFS, object stores alike); glob patterns count as existing when they match."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    matches = fs.globStatus(p)
+    return matches is not None and len(matches) > 0
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              header: bool = True, mode: str = "DROPMALFORMED", encoding: str = "UTF-8",
              corrupt_col: str | None = None) -> DataFrame:
-    if not _exists(path):
+    if not _exists(spark, path):
         raise FileNotFoundError(f"CSV not found: {path}")
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     r = spark.read.option("header", header).option("mode", mode).option("encoding", encoding)
