@@ -47,6 +47,21 @@ def duplicate_groups(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
             .where(F.col("copies") > 1))
 
 
+def duplicate_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """Texts that occur more than once, with their number of copies.
+
+    Whole texts are compared, but the big shuffle moves only a 16-byte
+    ``md5`` and the length per row: candidate hashes with more than one row
+    are found first, then only rows carrying a candidate hash are grouped by
+    the full text (so a hash collision can never merge different texts)."""
+    h = df.select(F.md5(F.col(text_col)).alias("_h"), F.length(text_col).alias("_len"), F.col(text_col))
+    cand = (h.groupBy("_h", "_len").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
+            .select("_h", "_len"))
+    return (h.join(cand, ["_h", "_len"], "left_semi")
+            .groupBy(text_col).agg(F.count(F.lit(1)).alias("copies"))
+            .where(F.col("copies") > 1))
+
+
 def count_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``df.duplicated().sum()``: rows repeating an earlier identical row."""
     return duplicate_groups(df, cols).agg(

@@ -209,7 +209,7 @@ def q_random_sample(spark, sf):
 SELECT md5(text) AS text_md5, COUNT(*) AS copies FROM documents GROUP BY text HAVING COUNT(*) > 1""")
 def q_duplicated_rows(spark, sf):
     docs = read_table(spark, sf, "documents").select("text")
-    return S.duplicate_groups(docs).select(F.md5("text").alias("text_md5"), "copies")
+    return S.duplicate_texts(docs, "text").select(F.md5("text").alias("text_md5"), "copies")
 
 
 @register("duplicate_count", sql="""
