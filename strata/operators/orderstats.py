@@ -46,11 +46,14 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
     w_local = (Window.partitionBy("_pid", *group_cols).orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_slice = Window.partitionBy("_pid", *group_cols)
-    local = ranged.select(
+    # materialised once: the slice ids come from a sampled range partitioner,
+    # so both branches below must read the *same* assignment (and a lost
+    # executor must not re-sample it)
+    local = cut_lineage(ranged.select(
         "*",
         *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols],
         *[F.sum(c).over(w_slice).alias(f"_tot_{c}") for c in sum_cols],
-    )
+    ))
     totals = local.select("_pid", *group_cols, *[f"_tot_{c}" for c in sum_cols]).distinct()
     w_off = (Window.partitionBy(*group_cols).orderBy("_pid")
              .rowsBetween(Window.unboundedPreceding, -1))

@@ -97,7 +97,7 @@ def moments(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def jarque_bera(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
+def jarque_bera(df: DataFrame, cols: Sequence[str], digits: int = 6, jb_digits: int = 2) -> DataFrame:
     """Normality test from one pass of moments: ``JB = n/6 (g1^2 + g2^2/4)``,
     p-value = chi-square(2) survival ``exp(-JB/2)``.  Replaces Shapiro-Wilk,
     which is a small-sample procedure with no distributed form."""
@@ -109,7 +109,7 @@ def jarque_bera(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
         n = F.col(f"n{i}").cast("double")
         jb = n / 6 * (F.col(f"g1_{i}") * F.col(f"g1_{i}") + F.col(f"g2_{i}") * F.col(f"g2_{i}") / 4)
         structs.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
-                                round_half_up(jb, digits).alias("jb"),
+                                round_half_up(jb, jb_digits).alias("jb"),
                                 round_half_up(F.exp(-jb / 2), digits).alias("p_value")))
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 

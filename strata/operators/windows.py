@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.session import cut_lineage
+
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -37,11 +39,11 @@ def ffill(df: DataFrame, key_cols: Sequence[str], order_col: str, cols: Sequence
     w_local = (Window.partitionBy("_pid", *key_cols).orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_slice = Window.partitionBy("_pid", *key_cols)
-    local = ranged.select(
+    local = cut_lineage(ranged.select(      # one slice assignment for both branches
         "*",
         *[F.last(_q(c), ignorenulls=True).over(w_local).alias(f"_loc_{c}") for c in cols],
         *[F.max_by(_q(c), F.when(_q(c).isNotNull(), _q(order_col))).over(w_slice).alias(f"_end_{c}")
-          for c in cols])
+          for c in cols]))
     ends = local.select("_pid", *key_cols, *[f"_end_{c}" for c in cols]).distinct()
     w_carry = (Window.partitionBy(*key_cols).orderBy("_pid")
                .rowsBetween(Window.unboundedPreceding, -1))
@@ -72,8 +74,9 @@ def lag_features(df: DataFrame, key_cols: Sequence[str], order_cols: str | Seque
         .withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", *key_cols).orderBy(*order_cols)
     w_desc = Window.partitionBy("_pid", *key_cols).orderBy(*[F.col(c).desc() for c in order_cols])
-    local = ranged.select("*", F.row_number().over(w).alias("_i"), F.row_number().over(w_desc).alias("_rd"),
-                          *[F.lag(value_col, j).over(w).alias(f"_loc{j}") for j in lags])
+    local = cut_lineage(ranged.select(       # one slice assignment for both branches
+        "*", F.row_number().over(w).alias("_i"), F.row_number().over(w_desc).alias("_rd"),
+        *[F.lag(value_col, j).over(w).alias(f"_loc{j}") for j in lags]))
     tails = local.where(F.col("_rd") <= k).select("_pid", *key_cols, *order_cols, "_i", value_col)
     wt = Window.partitionBy(*key_cols).orderBy("_pid", *order_cols)
     carry = (tails.select("_pid", *key_cols, "_i", *[F.lag(value_col, m).over(wt).alias(f"_prev{m}")

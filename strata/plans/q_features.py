@@ -56,7 +56,7 @@ f AS (SELECT feature, {_r('((B - S * S / N) / (k - 1)) / (((SS - S * S / N) - (B
 
 
 @register("select_k_best", sql=_ANOVA + """
-SELECT * FROM (SELECT feature, f_score, ROW_NUMBER() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS rank
+SELECT * FROM (SELECT feature, f_score, CAST(ROW_NUMBER() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS INTEGER) AS rank
                FROM f) WHERE rank <= 3""")
 def q_select_k_best(spark, sf):
     return FE.select_k_best(st.ratios(spark, sf), KB_COLS, "label", 3)

@@ -111,7 +111,7 @@ CHURN_CAT = ["Contract", "region", "Churn"]
 
 
 @register("describe_categorical", sql=f"WITH {st.CHURN_SQL}\n" + _union([
-    f"SELECT '{c}' AS column, SUM(f) AS count, COUNT(*) AS unique, arg_min(v, (-f, v)) AS top, "
+    f"SELECT '{c}' AS column, CAST(SUM(f) AS BIGINT) AS count, COUNT(*) AS unique, arg_min(v, (-f, v)) AS top, "
     f"MAX(f) AS freq FROM (SELECT {c} AS v, COUNT(*) AS f FROM churn WHERE {c} IS NOT NULL GROUP BY {c})"
     for c in CHURN_CAT]))
 def q_describe_categorical(spark, sf):
@@ -201,14 +201,14 @@ _CWT = f"WITH {st.RATIOS_SQL}, c AS (\n" + _union([
 
 @register("corr_with_target", sql=_CWT + """
 SELECT feature, corr, ABS(corr) AS abs_corr,
-       ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS rank FROM c""")
+       CAST(ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS INTEGER) AS rank FROM c""")
 def q_corr_with_target(spark, sf):
     return T.corr_with_target(st.ratios(spark, sf), CORR_COLS, "label")
 
 
 @register("top_correlated", sql=_CWT + """
 SELECT * FROM (SELECT feature, corr, ABS(corr) AS abs_corr,
-       ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS rank FROM c) WHERE rank <= 2""")
+       CAST(ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS INTEGER) AS rank FROM c) WHERE rank <= 2""")
 def q_top_correlated(spark, sf):
     return T.top_correlated(st.ratios(spark, sf), CORR_COLS, "label", 2)
 
@@ -240,7 +240,7 @@ def q_kurtosis(spark, sf):
 
 
 def _jb_sql(c):
-    return (f"SELECT '{c}' AS column, n, {_r('jb', 6)} AS jb, {_r('EXP(-jb / 2)', 6)} AS p_value FROM ("
+    return (f"SELECT '{c}' AS column, n, {_r('jb', 2)} AS jb, {_r('EXP(-jb / 2)', 6)} AS p_value FROM ("
             f"SELECT n, n / 6.0::DOUBLE * (m3 * m3 / (m2 * m2 * m2) + (m4 / (m2 * m2) - 3) * (m4 / (m2 * m2) - 3) / 4) AS jb "
             f"FROM (SELECT COUNT(*) AS n, AVG(POWER(d, 2)) AS m2, AVG(POWER(d, 3)) AS m3, AVG(POWER(d, 4)) AS m4 "
             f"FROM (SELECT {c} - AVG({c}) OVER () AS d FROM ratios)))")
@@ -320,11 +320,11 @@ def q_rolling_mean_7(spark, sf):
 @register("ffill", sql=f"""
 WITH {st.DOC_LABELS_SQL}
 SELECT doc_id, lang,
-       LAST_VALUE(quality IGNORE NULLS) OVER (PARTITION BY lang ORDER BY doc_id
-                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quality
+       CAST(LAST_VALUE(quality IGNORE NULLS) OVER (PARTITION BY lang ORDER BY doc_id
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS quality
 FROM doc_labels""")
 def q_ffill(spark, sf):
-    d = st.doc_labels(spark, sf).select("doc_id", "lang", "quality")
+    d = st.doc_labels(spark, sf).select("doc_id", "lang", F.col("quality").cast("double").alias("quality"))
     return W.ffill(d, ["lang"], "doc_id", ["quality"])
 
 
@@ -361,7 +361,7 @@ CHURN_FEATS = ["tenure", "MonthlyCharges", "n_orders"]
 sc AS (SELECT s.label, s.tenure, s.MonthlyCharges, c.n_orders FROM scored s JOIN churn c ON s.id = c.customerID),
 c AS (""" + _union([f"SELECT '{a}' AS feature, {_r(f'CORR({a}, label)', 6)} AS corr FROM sc" for a in CHURN_FEATS]) + """)
 SELECT feature, corr, ABS(corr) AS abs_corr,
-       ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS rank FROM c""")
+       CAST(ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC NULLS LAST, feature) AS INTEGER) AS rank FROM c""")
 def q_rank_features(spark, sf):
     """Churn features ranked by |Pearson correlation| with the label."""
     s = st.scored(spark, sf).join(st.churn(spark, sf).select(F.col("customerID").alias("id"), "n_orders"), "id")
@@ -371,7 +371,7 @@ def q_rank_features(spark, sf):
 @register("scalar_functions", sql=f"""
 SELECT event_id,
        TRY_CAST(strftime(ts, '%Y-%m-%d') AS DATE) IS NOT NULL AS date_ok,
-       TRY_CAST(event_type || '-01' AS DATE) AS bad_date,
+       CAST(TRY_CAST(event_type || '-01' AS DATE) AS VARCHAR) AS bad_date,
        CAST(isodow(ts) - 1 AS INTEGER) AS weekday,
        ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(ts)] AS day_label,
        dayname(ts) AS day_name,
@@ -391,7 +391,7 @@ def q_scalar_functions(spark, sf):
     return ev.select(
         "event_id",
         coerce_date(F.date_format("ts", "yyyy-MM-dd")).isNotNull().alias("date_ok"),
-        coerce_date(F.concat("event_type", F.lit("-01"))).alias("bad_date"),
+        coerce_date(F.concat("event_type", F.lit("-01"))).cast("string").alias("bad_date"),
         weekday_mon0("ts").alias("weekday"),
         day_label(weekday_mon0("ts")).alias("day_label"),
         day_name("ts").alias("day_name"),
