@@ -88,3 +88,13 @@ def stream_bound(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only the named columns go to Python, whatever else the input carries; the code for it is shipped."""
     ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n_rows: str, shares: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``classes``, which has one row per ``key`` and their number of
+    ``rows`` in ``n_rows``, safe from hot keys: a key of more than one row in ``shares`` is joined by
+    broadcast, and there can't be ``shares`` such keys; the rest is an ordinary join."""
+    most = rows.count() / shares
+    hot = F.broadcast(classes.where(F.col(n_rows) > most))
+    return (rows.join(hot, key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col(n_rows) <= most), key)))

@@ -85,3 +85,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.simhash import near_duplicates
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from strata.llm.common import fold
+    from strata.llm.langid import identify
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = identify(read_table(spark, sf_dir, "documents"), train=~held_out, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import blocks, materialise, stream_bound, text_bytes
+from strata.llm.common import blocks, join_classes, materialise, stream_bound, text_bytes
 from strata.llm.components import connected_components
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -144,15 +144,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     max_bits: int = 2, max_list: int = 64) -> DataFrame:
     """Id, ``fingerprint`` (signed long) and ``component_id`` (smallest id of the group) of every row."""
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
-    classes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "simhash-classes")
+    classes = materialise(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"), F.count("*").alias("n_rows")),
+                          "simhash-classes")
     links = fingerprint_links(classes, max_bits=max_bits, max_list=max_list)
     groups = connected_components(links, "a", "b")
     grouped = classes.join(groups, classes["fingerprint"] == groups["node"])
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = grouped.join(least, "component").select("fingerprint", "component_id")
     of_class = (classes.join(moved, "fingerprint", "left")
-                .select("fingerprint", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(of_class, "fingerprint").select(id_col, "fingerprint", "component_id")
+                .select("fingerprint", F.coalesce("component_id", "least").alias("component_id"), "n_rows"))
+    return join_classes(prints, materialise(of_class, "simhash-groups"), "fingerprint", "n_rows").select(id_col, "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
