@@ -98,3 +98,9 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, n_rows: str, sha
     hot = F.broadcast(classes.where(F.col(n_rows) > most))
     return (rows.join(hot, key).unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col(n_rows) <= most), key)))
+
+
+def small(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, marked for broadcast if its rows, of ``row_bytes`` at most, are measured to fit
+    ``max_bytes``; else an ordinary side of a join.  For tables that ``materialise`` wrote."""
+    return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
