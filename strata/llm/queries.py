@@ -102,4 +102,4 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, nearly or exactly, an earlier line."""
     from strata.llm.line_dedup import dedup_lines
     found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", "n_lines", "n_removed")
+    return found.select("doc_id", "text", "n_removed")
