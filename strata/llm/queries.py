@@ -103,3 +103,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.line_dedup import dedup_lines
     found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_removed")
+
+
+@register("op2_html")
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from strata.llm.html_extract import extract
+    return extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
