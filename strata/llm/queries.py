@@ -110,3 +110,13 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from strata.llm.html_extract import extract
     return extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op5_wavelet")
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to wavelet-matrix files and read back from them."""
+    from strata.llm.wavelet import read_shards, write_shards
+    docs = read_table(spark, sf_dir, "documents")
+    files = write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, cut="white", n_bits=16)
+    found = read_shards(files, docs.schema["doc_id"].dataType)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
