@@ -203,8 +203,11 @@ def page_text(page: Page, keep: np.ndarray) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             max_train: int = 500) -> DataFrame:
     """Id, url and main ``text`` of every page."""
-    sample = (pages.where(F.col(html_col).isNotNull())
-              .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.xxhash64(html_col)).limit(max_train))
+    # the hashes first, which are small; then the pages up to the last of them
+    turn = F.xxhash64(F.col(id_col).cast("string"))
+    full = pages.where(F.col(html_col).isNotNull())
+    first = [r[0] for r in full.select(turn.alias("h")).orderBy("h").limit(max_train).collect()]
+    sample = full.where(turn <= F.lit(first[-1] if first else 0)).limit(max_train)
     weights, edge = fit([r[0] for r in sample.select(html_col).collect()])
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType())])
 

@@ -120,3 +120,10 @@ def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, cut="white", n_bits=16)
     found = read_shards(files, docs.schema["doc_id"].dataType)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op3_vptree")
+def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows to every fiftieth one."""
+    from strata.llm.vptree import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5, factor=1.1)

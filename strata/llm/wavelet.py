@@ -36,7 +36,7 @@ from strata.llm.common import blocks, materialise, open_fs, shared_folder, ship,
 from strata.llm.tokens import piece_encoder
 
 MAGIC = b"WMT1"
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 _RANK = 512
 
 
@@ -45,11 +45,11 @@ def build_planes(ids: np.ndarray, n_bits: int) -> tuple[list[np.ndarray], list[i
     ids = ids.astype(np.uint16 if n_bits <= 16 else np.uint32)
     planes, zeros = [], []
     for bit in range(n_bits - 1, -1, -1):
-        ones = (ids >> bit & 1).astype(bool)
+        ones = (ids & ids.dtype.type(1 << bit)) != 0
         planes.append(np.packbits(ones, bitorder="little"))
-        left = ids[~ones]
+        left = np.flatnonzero(~ones)
         zeros.append(len(left))
-        ids = np.concatenate([left, ids[ones]])
+        ids = np.concatenate([ids.take(left), ids.take(np.flatnonzero(ones))])
     return planes, zeros
 
 
@@ -59,8 +59,8 @@ def read_planes(planes: list[np.ndarray], zeros: list[int], n: int) -> np.ndarra
     for level in range(len(planes) - 1, -1, -1):
         ones = np.unpackbits(planes[level], count=n, bitorder="little").astype(bool)
         above = np.empty_like(ids)
-        above[~ones] = ids[:zeros[level]]
-        above[ones] = ids[zeros[level]:] | ids.dtype.type(1 << len(planes) - 1 - level)
+        above[np.flatnonzero(~ones)] = ids[:zeros[level]]
+        above[np.flatnonzero(ones)] = ids[zeros[level]:] | ids.dtype.type(1 << len(planes) - 1 - level)
         ids = above
     return ids
 
