@@ -127,3 +127,25 @@ def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows to every fiftieth one."""
     from strata.llm.vptree import nearest
     return nearest(read_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5, factor=1.1)
+
+
+@register("op8_secrets")
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of the secret scan, with the forest's score; values as their hash."""
+    from strata.llm.common import fold
+    from strata.llm.secrets import scan
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = scan(read_table(spark, sf_dir, "documents"), train_on=~held_out)
+    return found.select("doc_id", "position", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+                        held_out.alias("held_out"), "label", "score", "secret")
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from four fifths of the labelled ones."""
+    from strata.llm.common import fold
+    from strata.llm.toxicity import learn, toxicity
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = learn(docs, read_table(spark, sf_dir, "labels"), train_on=~held_out)
+    return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
