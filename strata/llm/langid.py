@@ -33,6 +33,8 @@ from strata.llm.common import blocks, ship, stream_bound, text_bytes
 UNDEFINED = "und"
 _EDGE = 1  # the boundary, below any letter's number
 _ENDS = "\x00"  # between texts
+#: Bytes of text whose n-grams are held at a time; each takes some hundred bytes on the way.
+_BLOCK = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -124,7 +126,7 @@ def learn_profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
         for batch in batches:
             langs = [names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()]
             off, data, _ = text_bytes(batch.column(1))
-            for i, j in blocks(off):
+            for i, j in blocks(off, _BLOCK):
                 # one string a language: only the sums by language matter
                 by: dict[int, list[str]] = {}
                 for k in range(i, j):
@@ -204,7 +206,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[str]], *, text_co
         for batch in batches:
             off, data, _ = text_bytes(batch.column(len(keep)))
             best, score = np.full(len(off) - 1, len(names) - 1), np.zeros(len(off) - 1)
-            for i, j in blocks(off) if profiles else ():
+            for i, j in blocks(off, _BLOCK) if profiles else ():
                 far, most = _distances([bytes(data[off[k]:off[k + 1]]).decode() for k in range(i, j)], profiles, depth)
                 some = most > 0
                 best[i:j][some] = far[some].argmin(1)
