@@ -1,6 +1,7 @@
 """Numeric expressions.
 
-``round_half_up`` is ``floor(x * 10^d + 0.5) / 10^d``.  It is written with
+``round_half_up`` is ``sign(x) * floor(|x| * 10^d + 0.5) / 10^d`` (halves go away
+from zero; beyond 2^52 a scaled value has no fraction left and stays).  It is written with
 plain IEEE double arithmetic instead of ``round()`` because ``round`` goes
 through a decimal string in Spark and through the binary value elsewhere,
 so ``round(1.005, 2)`` differs between engines; the floor form gives the
@@ -19,7 +20,10 @@ def _c(x) -> Column:
 
 def round_half_up(x, digits: int = 0) -> Column:
     scale = float(10 ** digits)
-    return F.floor(_c(x).cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    x = _c(x).cast("double")
+    scaled = F.abs(x) * F.lit(scale)
+    return F.when(scaled >= F.lit(2.0 ** 52), x).otherwise(
+        F.signum(x) * F.floor(scaled + F.lit(0.5)) / F.lit(scale))
 
 
 def safe_div(num, den) -> Column:

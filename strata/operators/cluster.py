@@ -19,6 +19,7 @@ neighbouring core cluster id; the rest is noise (-1).
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -119,8 +120,9 @@ _NEIGHBOUR_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)
 
 
 def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int,
-           max_iter: int = 100) -> DataFrame:
-    """DBSCAN on 2-D points; returns ``(key, cluster)`` with -1 for noise.
+           max_iter: int | None = None) -> DataFrame:
+    """DBSCAN on 2-D points; returns ``(key, cluster)`` with -1 for noise.  Labels
+    spread until nothing changes; ``max_iter`` rounds without that are an error.
     ``min_samples`` counts the point itself (scikit-learn semantics)."""
     side = eps / math.sqrt(2.0)
     pts = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"),
@@ -152,7 +154,9 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int
     edges = edges.unionByName(edges.select(F.col("nid").alias("id"), F.col("id").alias("nid"))).distinct()
     edges = cut_lineage(edges)
     labels = cut_lineage(core.select("id", F.col("id").alias("label")))
-    for _ in range(max_iter):
+    for turn in itertools.count(1):
+        if max_iter is not None and turn > max_iter:
+            raise RuntimeError(f"labels still change after {max_iter} rounds")
         nb = edges.join(labels.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid") \
             .groupBy("id").agg(F.min("nl").alias("nl"))
         hop = labels.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))

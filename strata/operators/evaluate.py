@@ -72,7 +72,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     """Exact AUC with ties counted 1/2: ``sum_s pos_s (2 neg_below_s + neg_s) / (2 P N)``."""
     sc = score_counts(df, label, score)
     cum = prefix_sums(sc, [], "score", ["neg"])           # ascending: negatives <= s
-    num = F.sum(F.col("pos") * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))
+    num = F.sum(F.col("pos").cast("double") * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))
     return cum.agg(num.alias("_num"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")) \
         .select((F.col("_num").cast("double") / (F.lit(2.0) * F.col("_p") * F.col("_n"))).alias("auc"))
 

@@ -186,14 +186,15 @@ def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFr
 # ------------------------------------------------------------------- SMOTE
 
 def smote(df: DataFrame, cols: Sequence[str], label: str, key: str, minority=1,
-          k: int = 5, seed: int = 42, cell: float | None = None) -> DataFrame:
+          k: int = 5, seed: int = 42) -> DataFrame:
     """Minority oversampling to parity (SMOTE, k neighbours).
 
     Each synthetic row interpolates a minority row towards one of its k
     nearest minority neighbours with a hash-seeded gap.  Neighbours come from
-    ``retrieve.knn_self_join`` (grid-cell equi-join with exact widening), so
-    no all-pairs product is formed.  Output: original rows + synthetic rows
-    with ``synthetic = true``; synthetic count = majority - minority.
+    ``retrieve.knn_points`` (blocks of rows against blocks of rows).  Output:
+    original rows + synthetic rows with ``synthetic = true``; synthetic count =
+    majority - minority.  A row with fewer than k neighbours draws among those it
+    has; the only minority row is repeated.
     """
     from strata.operators.retrieve import knn_points
     counts = row_scalar(df.agg(
@@ -201,7 +202,7 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, key: str, minority=1,
         F.count_if(F.col(label) != F.lit(minority)).alias("majo")))
     mino = df.where(F.col(label) == F.lit(minority))
     pts = mino.select(F.col(key).alias("id"), F.array(*[_q(c).cast("double") for c in cols]).alias("v"))
-    nn = knn_points(pts, pts, k=k, exclude_self=True, cell=cell)   # (qid, id, rank, dist)
+    nn = knn_points(pts, pts, k=k, exclude_self=True)   # (qid, id, rank, dist)
     # how many synthetic rows each minority row generates: spread evenly by rank of the row
     need = counts["majo"] - counts["mino"]
     base = F.floor(need / counts["mino"])
@@ -214,12 +215,14 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, key: str, minority=1,
         "id", "v", F.explode(F.sequence(F.lit(0), F.col("_reps") - 1)).alias("_j"))
     draw = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("id").cast("string"), F.col("_j").cast("string"),
                                                 F.lit(str(seed)))), 1, 8), 16, 10).cast("double")
-    expanded = expanded.withColumn("_nb", (draw % k).cast("int") + 1) \
+    n_nb = nn.groupBy(F.col("qid").alias("id")).agg(F.count(F.lit(1)).alias("_n_nb"))
+    expanded = expanded.join(n_nb, "id", "left") \
+        .withColumn("_nb", (draw % F.coalesce("_n_nb", F.lit(1))).cast("int") + 1) \
         .withColumn("_gap", (draw / F.lit(float(16 ** 8))))
     pairs = expanded.join(nn.select(F.col("qid").alias("id"), F.col("id").alias("nid"),
-                                    F.col("rank").alias("_nb")), ["id", "_nb"])
+                                    F.col("rank").alias("_nb")), ["id", "_nb"], "left")
     nv = pts.select(F.col("id").alias("nid"), F.col("v").alias("nv"))
-    syn = pairs.join(nv, "nid").select(
+    syn = pairs.join(nv, "nid", "left").withColumn("nv", F.coalesce("nv", "v")).select(
         F.concat(F.col("id").cast("string"), F.lit("-s"), F.col("_j").cast("string")).alias(key),
         F.zip_with("v", "nv", lambda a, b: a + (b - a) * F.col("_gap")).alias("_sv"))
     synthetic = syn.select(F.col(key), *[F.col("_sv")[i].alias(c) for i, c in enumerate(cols)],

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast, key-carrying attach, schema alignment."""
+"""Join helpers: key-carrying attach, schema alignment."""
 
 from __future__ import annotations
 
@@ -6,28 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_PROVEN: dict[tuple[int, int, int], bool] = {}
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The proof is a bounded action (``limit(max_rows + 1).count()``), so it
-    reads at most ``max_rows + 1`` rows; it is remembered per session and
-    plan (the same dimension is joined by many queries).  Above the bound
-    the frame is returned unchanged and Spark chooses the join: a shuffle
-    join, or a broadcast that AQE picks from *measured* sizes at runtime.
-    Use it on scans of dimension tables; for derived (aggregated) frames the
-    proof would recompute the input, so those are left to AQE.
-    """
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    small = _PROVEN.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _PROVEN[key] = small
-    return F.broadcast(df) if small else df
-
-
 def attach_labels(source: DataFrame, labels: DataFrame, key: str | list[str],
                   how: str = "left") -> DataFrame:
     """Attach per-key results (cluster label, score) back to the source rows.

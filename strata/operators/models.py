@@ -30,7 +30,14 @@ from strata.functions.numeric import round_half_up
 from strata.operators import evaluate as E
 from strata.operators.features import ml_kbest, ml_one_hot_stages
 
-MAX_TREE_DEPTH = 30          # Spark's limit; deeper requests are clamped
+MAX_TREE_DEPTH = 30          # Spark's limit
+
+
+def _depth(p: dict, default: int) -> int:
+    depth = p.get("maxDepth", default)
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"maxDepth {depth}: trees have at most {MAX_TREE_DEPTH} levels")
+    return depth
 
 
 def estimator(kind: str, label: str = "label", features: str = "features", seed: int = 42,
@@ -43,16 +50,16 @@ def estimator(kind: str, label: str = "label", features: str = "features", seed:
         est = LogisticRegression(maxIter=p.get("maxIter", 100), regParam=reg, elasticNetParam=0.0,
                                  standardization=False, **common)
     elif kind == "decision_tree":
-        est = DecisionTreeClassifier(maxDepth=min(p.get("maxDepth", 5), MAX_TREE_DEPTH),
+        est = DecisionTreeClassifier(maxDepth=_depth(p, 5),
                                      impurity=p.get("impurity", "gini"), seed=seed, **common)
     elif kind == "random_forest":
         est = RandomForestClassifier(numTrees=p.get("numTrees", 20),
-                                     maxDepth=min(p.get("maxDepth", 5), MAX_TREE_DEPTH),
+                                     maxDepth=_depth(p, 5),
                                      featureSubsetStrategy=p.get("featureSubsetStrategy", "sqrt"),
                                      impurity=p.get("impurity", "gini"), seed=seed, **common)
     elif kind in ("gradient_boosting", "xgboost"):
         # xgboost is re-aimed to Spark's GBT (depth, eta, subsample, weights)
-        est = GBTClassifier(maxIter=p.get("maxIter", 20), maxDepth=min(p.get("maxDepth", 3), MAX_TREE_DEPTH),
+        est = GBTClassifier(maxIter=p.get("maxIter", 20), maxDepth=_depth(p, 3),
                             stepSize=p.get("stepSize", 0.1), subsamplingRate=p.get("subsamplingRate", 1.0),
                             featureSubsetStrategy=p.get("featureSubsetStrategy", "all"), seed=seed, **common)
     elif kind == "linear_svm":

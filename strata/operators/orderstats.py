@@ -7,10 +7,11 @@ Here the work is split in two phases:
 
 1. pre-aggregate to a *value-count table* ``(group, value, cnt)`` – partial
    aggregation shrinks duplicates map-side before the shuffle;
-2. two-phase prefix sums: range-partition by ``(group, value)`` so every
-   task holds a bounded slice, take running totals inside each slice, then
-   add the totals of the earlier slices of the same group (a table with at
-   most ``partitions + groups`` rows).
+2. two-phase prefix sums: cut points of the whole order column (one
+   aggregate) make a value's slice a plain expression of the value; running
+   totals are taken inside each ``(group, slice)`` with one shuffle, then the
+   totals of the earlier slices of the same group are added (a table with at
+   most ``slices x groups`` rows).  The plan is the same at every size.
 
 Quantiles use linear interpolation between the order statistics at
 ``floor((n-1)p)`` and ``ceil((n-1)p)``: ``lo + (hi - lo) * frac`` (the SQL
@@ -23,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructType, TimestampNTZType, TimestampType
 
 from strata.session import cut_lineage
 
@@ -33,35 +35,42 @@ def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _as_number(value, kind):
+    """A double that never falls where the value rises (equal values stay equal)."""
+    if isinstance(kind, StructType):      # structs compare by their first field first
+        return _as_number(value[kind[0].name], kind[0].dataType)
+    if isinstance(kind, StringType):      # the first six bytes
+        return F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return value.cast("timestamp").cast("double")
+    return value.cast("double")
+
+
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
                 sum_cols: Sequence[str], num_partitions: int | None = None,
                 descending: bool = False) -> DataFrame:
     """Inclusive running totals ``cum_<c>`` of ``sum_cols`` within each group,
     ordered by ``order_col`` (unique within a group).  Two-phase; see module doc."""
     group_cols = list(group_cols)
-    n = _n_parts(df, num_partitions)
+    n = max(2, _n_parts(df, num_partitions))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in group_cols], order)
-              .withColumn("_pid", F.spark_partition_id()))
-    w_local = (Window.partitionBy("_pid", *group_cols).orderBy(order)
+    number = _as_number(F.col(order_col), df.schema[order_col].dataType)
+    cuts = df.select(number.alias("_x")).agg(
+        F.percentile_approx("_x", [k / n for k in range(1, n)], 100 * n).alias("_cuts")).scalar()
+    sliced = (df.withColumn("_cuts", cuts).withColumn("_slice", F.coalesce(
+        F.size(F.filter("_cuts", lambda c: c < number)), F.lit(0))).drop("_cuts"))
+    w_local = (Window.partitionBy(*group_cols, "_slice").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_slice = Window.partitionBy("_pid", *group_cols)
-    # materialised once: the slice ids come from a sampled range partitioner,
-    # so both branches below must read the *same* assignment (and a lost
-    # executor must not re-sample it)
-    local = cut_lineage(ranged.select(
-        "*",
-        *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols],
-        *[F.sum(c).over(w_slice).alias(f"_tot_{c}") for c in sum_cols],
-    ))
-    totals = local.select("_pid", *group_cols, *[f"_tot_{c}" for c in sum_cols]).distinct()
-    w_off = (Window.partitionBy(*group_cols).orderBy("_pid")
+    local = sliced.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
+    totals = sliced.groupBy(*group_cols, "_slice").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    w_off = (Window.partitionBy(*group_cols).orderBy(F.col("_slice").desc() if descending else "_slice")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
-        "_pid", *group_cols,
+        "_slice", *group_cols,
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-    joined = local.join(offsets, on=["_pid", *group_cols]) if group_cols else \
-        local.join(offsets, on=["_pid"])
+    joined = local.join(offsets, on=["_slice", *group_cols])
     return joined.select(
         *[c for c in df.columns],
         *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"cum_{c}") for c in sum_cols],
@@ -92,30 +101,10 @@ def ranked_counts(df: DataFrame | None, value_col: str, group_cols: Sequence[str
     if counts is None:
         counts = value_count_table(df, value_col, group_cols)
     group_cols = list(group_cols)
-    if _largest_group(counts, group_cols) <= WINDOW_FAST_PATH_ROWS:
-        # every group is proven small: one window per group, no range pass
-        w = (Window.partitionBy(*group_cols).orderBy(value_col)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        pref = counts.withColumn("cum_cnt", F.sum("cnt").over(w))
-    else:
-        pref = prefix_sums(counts, group_cols, value_col, ["cnt"], num_partitions)
+    pref = prefix_sums(counts, group_cols, value_col, ["cnt"], num_partitions)
     return pref.withColumn("first_rank", F.col("cum_cnt") - F.col("cnt"))
 
 
-# A group of the value-count table at most this large is ranked with a plain
-# window (one task per group); above it the two-phase range path is used.
-WINDOW_FAST_PATH_ROWS = 1_000_000
-
-
-def _largest_group(counts: DataFrame, group_cols: Sequence[str]) -> int:
-    """Rows of the largest group of a (materialised) count table - a bounded
-    aggregate over the small table, used as the proof for the fast path."""
-    if not group_cols:
-        return counts.count()
-    row = counts.groupBy(*group_cols).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
 def quantiles(df: DataFrame | None, value_col: str, probs: Sequence[float],
               group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
               num_partitions: int | None = None, counts: DataFrame | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ without materialising all pairs:
 * the global top k per query is taken over those ``k x corpus_blocks``
   candidates.
 
-Distances are squared Euclidean (what a flat L2 index reports), recomputed
-exactly for the emitted candidates.  Ties are broken by corpus id.
+Distances are squared Euclidean (what a flat L2 index reports), from exact
+differences.  Ties are broken by corpus id; all ties with the k-th are compared.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from strata.functions.numeric import round_half_up
 
 DEFAULT_BLOCK_ROWS = 2048
+CHUNK_VALUES = 4_000_000     # coordinates held at a time while a block is compared
 
 
 def _block_topk(k: int, exclude_self: bool):
@@ -42,30 +43,26 @@ def _block_topk(k: int, exclude_self: bool):
         C = np.stack(c["v"].to_numpy()).astype(np.float64)
         qid = q["id"].to_numpy(dtype=np.int64)
         cid = c["id"].to_numpy(dtype=np.int64)
-        d2 = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * Q @ C.T
-        if exclude_self:
-            d2[qid[:, None] == cid[None, :]] = np.inf
-        kk = min(k + 2, C.shape[0])          # small slack, exact distances recomputed below
-        part = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < C.shape[0] else \
-            np.tile(np.arange(C.shape[0]), (Q.shape[0], 1))
-        rows_q = np.repeat(np.arange(Q.shape[0]), part.shape[1])
-        rows_c = part.reshape(-1)
-        diff = Q[rows_q] - C[rows_c]
-        exact = (diff * diff).sum(1)
-        if exclude_self:
-            exact[qid[rows_q] == cid[rows_c]] = np.inf
-        out = pd.DataFrame({"qid": qid[rows_q], "id": cid[rows_c], "dist": exact})
-        out = out[np.isfinite(out["dist"])]
+        step = max(1, CHUNK_VALUES // max(1, C.size))
+        found = []
+        for at in range(0, Q.shape[0], step):
+            diff = Q[at:at + step, None, :] - C[None, :, :]       # differences, not the dot-product form:
+            d2 = np.einsum("qcd,qcd->qc", diff, diff)             # that one cancels far from the origin
+            if exclude_self:
+                d2[qid[at:at + step, None] == cid[None, :]] = np.inf
+            kth = np.partition(d2, min(k, C.shape[0]) - 1, axis=1)[:, min(k, C.shape[0]) - 1]
+            rows_q, rows_c = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))    # all ties with the k-th
+            found.append(pd.DataFrame({"qid": qid[at + rows_q], "id": cid[rows_c], "dist": d2[rows_q, rows_c]}))
+        out = pd.concat(found)
         out = out.sort_values(["qid", "dist", "id"]).groupby("qid", sort=False).head(k)
         return out.reset_index(drop=True)
     return fn
 
 
 def knn_points(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = False,
-               block_rows: int = DEFAULT_BLOCK_ROWS, cell: float | None = None) -> DataFrame:
+               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Exact kNN.  ``queries``/``corpus``: ``(id long, v array<double>)``.
     Returns ``(qid, id, rank, dist)`` with rank 1..k."""
-    del cell  # kept for API compatibility with grid-based callers
     nq = queries.count()
     nc = corpus.count()
     qb = max(1, math.ceil(nq / block_rows))

@@ -136,7 +136,7 @@ def mann_whitney_u(df: DataFrame, value_col: str, group_col: str, group_a, group
     one = rc.agg(
         F.sum("ta").alias("n1"), F.sum(F.col("t") - F.col("ta")).alias("n2"),
         F.sum(F.col("ta") * F.col("avg_rank")).alias("r1"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
+        F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("tie"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2

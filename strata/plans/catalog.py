@@ -37,7 +37,7 @@ def _load_all() -> None:
     # importing the modules fills the registry
     from strata.plans import (  # noqa: F401
         q_relational, q_aggregates, q_quality, q_features, q_evaluate, q_models,
-        q_cluster, q_retrieve, q_streaming, q_sources,
+        q_cluster, q_streaming, q_sources,
     )
 
 

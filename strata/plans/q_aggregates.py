@@ -13,7 +13,7 @@ from strata.sources.tables import read_table
 def _r(expr: str, digits: int) -> str:
     """SQL twin of ``round_half_up``."""
     scale = 10 ** digits
-    return f"FLOOR(({expr}) * {scale} + 0.5) / {scale}"
+    return f"(SIGN(({expr})) * FLOOR(ABS(({expr})) * {scale} + 0.5) / {scale})"
 
 
 def _pct(num: str, den: str, digits: int = 1) -> str:

@@ -15,7 +15,7 @@ from strata.plans.q_aggregates import _r
 from strata.session import cut_lineage
 from strata.sources.tables import read_table
 
-DIMS = 8
+DIMS = 64
 EMB_COLS = [f"e{i}" for i in range(DIMS)]
 
 

@@ -71,13 +71,13 @@ def q_class_weight(spark, sf):
     return FE.class_weights(st.scored(spark, sf), "label")
 
 
-def _emb(spark, sf, dims=8):
+def _emb(spark, sf, dims=64):
     e = read_table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("id"), "label",
                     *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(dims)])
 
 
-EMB_COLS = [f"e{i}" for i in range(8)]
+EMB_COLS = [f"e{i}" for i in range(64)]
 
 
 @register("pca_k")

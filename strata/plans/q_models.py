@@ -46,7 +46,7 @@ def q_logistic_regression(spark, sf):
 
 @register("decision_tree")
 def q_decision_tree(spark, sf):
-    return _fit_eval(spark, sf, "decision_tree", maxDepth=500, impurity="entropy")
+    return _fit_eval(spark, sf, "decision_tree", maxDepth=M.MAX_TREE_DEPTH, impurity="entropy")
 
 
 @register("random_forest")
@@ -88,7 +88,7 @@ def q_pipeline(spark, sf):
 @register("cross_validate")
 def q_cross_validate(spark, sf):
     data = churn_model_table(spark, sf).where(~F.col("is_test"))
-    est = M.estimator("logistic_regression", n_rows=1000)
+    est = M.estimator("logistic_regression", n_rows=data.count())
     pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True)
     return M.cv_summary(M.cross_validate(data, pipe, "fold", 5))
 

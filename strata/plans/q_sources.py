@@ -100,7 +100,7 @@ def q_write_read_model(spark, sf):
     from strata.plans.q_models import CATEGORICAL, NUMERIC, churn_model_table
     data = churn_model_table(spark, sf)
     train = data.where(~F.col("is_test"))
-    model = M.build_pipeline(NUMERIC, CATEGORICAL, M.estimator("logistic_regression", n_rows=1000),
+    model = M.build_pipeline(NUMERIC, CATEGORICAL, M.estimator("logistic_regression", n_rows=train.count()),
                              impute=True).fit(train)
     path = _scratch(spark, "model")
     M.save_model(model, path, {"model_type": "LogisticRegression", "feature_names": NUMERIC + CATEGORICAL,

@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.joins import checked_broadcast
 from strata.sources.tables import read_table
 
 # Fixed parameters of the stand-in derivations.
@@ -41,8 +40,7 @@ def rail(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    nation = checked_broadcast(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), max_rows=10_000)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust_nation = (read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
                    .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                    .select("c_custkey", F.col("n_name").alias("to_station")))
@@ -95,8 +93,7 @@ def churn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.to_date("o_orderdate")).alias("last_order"),
         F.count(F.lit(1)).alias("n_orders"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("TotalCharges")))
-    nation = checked_broadcast(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), max_rows=10_000)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     return (

@@ -11,16 +11,16 @@ from strata.session import checkpoint_dir
 
 
 def read_stream(spark: SparkSession, directory: str, table: str, max_files: int | None = None) -> DataFrame:
-    """File stream over ``<directory>/<table>.parquet`` (schema taken from the
-    batch reader: streaming file sources need an explicit schema).
+    """File stream over ``<directory>/<table>.parquet``, a file or a folder of part
+    files (schema taken from the batch reader: streaming file sources need an explicit schema).
     ``TIMESTAMP_NTZ`` columns become ``TIMESTAMP`` (event-time columns for
     watermarks must be zoned; the wall clock is kept in the session zone)."""
     schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
-    reader = (spark.readStream.schema(schema).format("parquet")
-              .option("pathGlobFilter", f"{table}.parquet"))
+    reader = spark.readStream.schema(schema).format("parquet")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.load(directory)
+    # as a pattern: a plain path would have to be a folder
+    stream = reader.load(f"{directory}/[{table[0]}]{table[1:]}.parquet")
     return stream.select(*[
         F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz"
         else F.col(f.name) for f in schema.fields])
@@ -62,19 +62,16 @@ def score_stream(stream: DataFrame, model) -> DataFrame:
 
 
 def run_to_table(result: DataFrame, name: str, mode: str = "append",
-                 available_now: bool = True, timeout_s: int = 600) -> DataFrame:
+                 available_now: bool = True) -> DataFrame:
     """Run the streaming query into a Parquet sink in the shared checkpoint
     folder (exactly-once file sink + its own checkpoint) and return the sink
-    as a batch DataFrame."""
+    as a batch DataFrame.  Waits until all that is there has been processed; a
+    failure of the query is raised."""
     spark = result.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     writer = (result.writeStream.format("parquet").outputMode(mode)
               .option("path", f"{base}/data").option("checkpointLocation", f"{base}/_checkpoint"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     q = writer.start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{base}/data")

@@ -63,11 +63,6 @@ def test_linear_contributions_top_and_direction(spark):
     assert r.direction == ("increases_risk" if r.shap_value > 0 else "decreases_risk")
 
 
-def test_depth_is_clamped():
-    est = M.estimator("decision_tree", maxDepth=500)
-    assert est.getMaxDepth() == M.MAX_TREE_DEPTH
-
-
 def test_sampled_shapley_efficiency(spark):
     """Contributions of a row add up to f(x) - f(baseline)."""
     df = _data(spark, n=120)
