@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialise
+from strata.llm.common import discard, materialise
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,5 +36,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
+        old = star
         star = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
                            .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        discard(old)

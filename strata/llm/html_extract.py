@@ -50,7 +50,7 @@ comment comments disqus reply replies respond share sharing social related recom
 pager widget toolbar login search form complementary contentinfo""".split())
 FEATURES = ["bias", "content tag", "content word", "other tag", "other word", "linked share", "long text", "short text",
             "paragraph or heading", "list or link"]
-PRIOR = np.array([-1.0, 4.0, 2.0, -6.0, -6.0, -2.0, 1.0, -0.5, 1.0, -0.5])
+PRIOR = np.array([-0.5, 8.0, 2.0, -8.0, -8.0, -2.0, 1.0, -0.3, 1.0, -0.3])
 #: Probability that a child has its parent's label, for a parent that is not content and one that is; before training.
 EDGE_PRIOR = np.array([[0.9, 0.1], [0.02, 0.98]])
 

@@ -162,6 +162,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     found = near_duplicates(docs, id_col=id_col, **options)
     kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n_rows_of_id"))
     kept = materialise(kept, "simhash-kept")
+    # by shuffle at every size: the kept ids grow with the documents
+    kept = kept.hint("merge")
     once = docs.join(kept.where("n_rows_of_id = 1"), id_col, "left_semi")
     repeated = docs.join(kept.where("n_rows_of_id > 1"), id_col, "left_semi").dropDuplicates([id_col])
     nameless = docs.where(F.col(id_col).isNull())
