@@ -75,7 +75,7 @@ def q_mlp(spark, sf):
     return _fit_eval(spark, sf, "mlp", layers=[8, 16, 8, 2], maxIter=50)
 
 
-@register("pipeline")
+@register("ml_pipeline")
 def q_pipeline(spark, sf):
     """impute -> dummies -> scale -> ANOVA-F top 4 -> logistic regression."""
     data = churn_model_table(spark, sf)
