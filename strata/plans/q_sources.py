@@ -88,7 +88,7 @@ def q_tables(spark, sf):
 def q_find_file(spark, sf):
     """Preferred file discovery (case-insensitive / substring match) in the
     data folder, then a read of the file found."""
-    path = FS.find_file(sf, "LINEITEM", suffix=".parquet")
+    path = FS.find_file(spark, sf, "LINEITEM", suffix=".parquet")
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,6 @@ columns a query selects.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,10 @@ CHURN_RENAMES = {
     "Total Charges": "TotalCharges",
     "Monthly Charges": "MonthlyCharges",
     "Tenure Months": "tenure",
+    "Tenure": "tenure",
 }
+# The label's raw and canonical name in the ratios table.
+RATIO_RENAMES = {"Flag": "Bankrupt?"}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -103,34 +105,50 @@ def sql(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)
 
 
-def find_file(directory: str, preferred: str | None = None, suffix: str = ".csv") -> str | None:
-    """Preferred CSV in a directory: exact name, then case-insensitive /
-    substring match, else the first file in name order; None if empty."""
-    if not os.path.isdir(directory):
-        return None
-    files = sorted(f for f in os.listdir(directory) if f.lower().endswith(suffix))
+def _listed(spark: SparkSession, directory: str, suffix: str) -> list[str]:
+    """Paths below a directory of any file system that Spark reads, in order; a folder whose
+    name has the suffix is a table of part files and is not looked into."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, waiting = [], [root] if fs.exists(root) else []
+    while waiting:
+        for entry in fs.listStatus(waiting.pop()):
+            path = entry.getPath()
+            if path.getName().lower().endswith(suffix):
+                found.append(path.toString())
+            elif entry.isDirectory():
+                waiting.append(path)
+    return sorted(found)
+
+
+def find_file(spark: SparkSession, directory: str, preferred: str | None = None, suffix: str = ".csv") -> str:
+    """Preferred file below a directory: exact name, then without regard to case, then by part
+    of the name, else the first in path order.  Raises FileNotFoundError where there is none."""
+    files = _listed(spark, directory, suffix)
     if not files:
-        return None
+        raise FileNotFoundError(f"no {suffix} file below {directory}")
+    names = [f.rsplit("/", 1)[-1] for f in files]
     if preferred:
-        if preferred in files:
-            return os.path.join(directory, preferred)
         low = preferred.lower()
-        for f in files:
-            if f.lower() == low:
-                return os.path.join(directory, f)
-        stem = low.rsplit(".", 1)[0]
-        for f in files:
-            if stem in f.lower():
-                return os.path.join(directory, f)
-    return os.path.join(directory, files[0])
+        stem = low.removesuffix(suffix)
+        for fits in (lambda n: n in (preferred, preferred + suffix), lambda n: n.lower() in (low, low + suffix),
+                     lambda n: stem in n.lower()):
+            for name, path in zip(names, files):
+                if fits(name):
+                    return path
+    return files[0]
 
 
 def normalize_columns(df: DataFrame, renames: Mapping[str, str] = CHURN_RENAMES) -> DataFrame:
     """Strip names, then apply the renames whose source exists and whose
-    target does not."""
+    target does not; of several sources of one target the first named is taken."""
     df = df.toDF(*[c.strip() for c in df.columns])
-    present = set(df.columns)
-    return df.withColumnsRenamed({k: v for k, v in renames.items() if k in present and v not in present})
+    present, chosen = set(df.columns), {}
+    for source, target in renames.items():
+        if source in present and target not in present:
+            chosen[source] = target
+            present.add(target)
+    return df.withColumnsRenamed(chosen)
 
 
 def derive_label(df: DataFrame, target: str = "Churn", label_col: str = "Churn Label",

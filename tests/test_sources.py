@@ -31,14 +31,25 @@ def test_missing_csv_raises(spark):
         FS.load_csv(spark, "nope", "/nonexistent/file.csv")
 
 
-def test_find_file():
+def test_find_file(spark):
     d = tempfile.mkdtemp(prefix="strata-find-")
-    assert FS.find_file(d) is None
+    with pytest.raises(FileNotFoundError):
+        FS.find_file(spark, d)
     for n in ("other.csv", "Data.csv"):
         _csv("a\n1\n", n, d)
-    assert FS.find_file(d, "data.csv").endswith("Data.csv")
-    assert FS.find_file(d, "oth").endswith("other.csv")
-    assert FS.find_file(d, "missing.csv").endswith("Data.csv")
+    os.makedirs(os.path.join(d, "below"))
+    _csv("a\n1\n", "deep.csv", os.path.join(d, "below"))
+    assert FS.find_file(spark, d, "data.csv").endswith("Data.csv")
+    assert FS.find_file(spark, d, "oth").endswith("other.csv")
+    assert FS.find_file(spark, d, "missing.csv").endswith("Data.csv")
+    assert FS.find_file(spark, d, "deep").endswith("below/deep.csv")
+
+
+def test_renames_of_one_target(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["Tenure", " Tenure Months ", "Flag"])
+    assert FS.normalize_columns(df).columns == ["Tenure", "tenure", "Flag"]
+    assert FS.normalize_columns(df.select("Tenure")).columns == ["tenure"]
+    assert FS.normalize_columns(df.select("Flag"), FS.RATIO_RENAMES).columns == ["Bankrupt?"]
 
 
 def test_normalize_and_label(spark):
