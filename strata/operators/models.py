@@ -180,18 +180,25 @@ def feature_importance(tree_model, names: Sequence[str]) -> list[tuple[str, floa
 
 
 def linear_contributions(df: DataFrame, cols: Sequence[str], coefs: Sequence[float], key: str,
-                         top: int = 10, digits: int = 4) -> DataFrame:
+                         top: int = 10, digits: int = 4, mean: Sequence[float] | None = None,
+                         std: Sequence[float] | None = None) -> DataFrame:
     """Exact per-row contributions of a linear model on standardised inputs:
     ``coef_j * (x_j - mean_j) / std_j``; the ``top`` largest |contribution|
-    per row with their direction.  The per-row ranking window holds one row
-    per feature (bounded)."""
+    per row with their direction.  ``mean`` and ``std`` are those of the scaler
+    that was fitted with the model; without them ``df`` is taken to be the rows
+    the model was fitted on.  The per-row ranking window holds one row per
+    feature (bounded)."""
     from strata.operators.quality import row_scalar
-    st = row_scalar(df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]))
-    contribs = [F.struct(F.lit(c).alias("feature"),
-                         (F.lit(float(w)) * (F.col(c) - st[f"m{i}"])
-                          / F.when(st[f"s{i}"] != 0, st[f"s{i}"]).otherwise(1.0)).alias("value"))
-                for i, (c, w) in enumerate(zip(cols, coefs))]
+    if (mean is None) != (std is None):
+        raise ValueError("give both mean and std, or none")
+    if mean is None:
+        st = row_scalar(df.agg(*[x for i, c in enumerate(cols) for x in (
+            F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]))
+        scale = [(st[f"m{i}"], F.when(st[f"s{i}"] != 0, st[f"s{i}"]).otherwise(1.0)) for i in range(len(cols))]
+    else:
+        scale = [(F.lit(float(m)), F.lit(float(s) or 1.0)) for m, s in zip(mean, std)]
+    contribs = [F.struct(F.lit(c).alias("feature"), (F.lit(float(w)) * (F.col(c) - m) / s).alias("value"))
+                for c, w, (m, s) in zip(cols, coefs, scale)]
     long = df.select(key, F.explode(F.array(*contribs)).alias("s")).select(key, "s.*")
     w = Window.partitionBy(key).orderBy(F.abs("value").desc(), "feature")
     return (long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

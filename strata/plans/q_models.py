@@ -4,6 +4,7 @@ here and by invariants in ``tests/test_models.py``."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -161,20 +162,22 @@ def _linear_model(spark, sf):
     est = M.estimator("logistic_regression", n_rows=train.count())
     pipe = M.build_pipeline(NUMERIC, [], est, scale=True, impute=False)
     model = pipe.fit(train)
-    return data.na.fill(0.0, subset=["TotalCharges"]), list(model.stages[-1].coefficients)
+    scaler = next(stage for stage in model.stages if isinstance(stage, StandardScalerModel))
+    return (data.na.fill(0.0, subset=["TotalCharges"]), list(model.stages[-1].coefficients),
+            {"mean": list(scaler.mean), "std": list(scaler.std)})
 
 
 @register("explain")
 def q_explain(spark, sf):
     """Top signed contributions per test row of the linear churn model."""
-    data, coefs = _linear_model(spark, sf)
-    return M.linear_contributions(data.where("is_test"), NUMERIC, coefs, "customerID", top=10)
+    data, coefs, scaler = _linear_model(spark, sf)
+    return M.linear_contributions(data.where("is_test"), NUMERIC, coefs, "customerID", top=10, **scaler)
 
 
 @register("shap_summary")
 def q_shap_summary(spark, sf):
-    data, coefs = _linear_model(spark, sf)
-    contrib = M.linear_contributions(data, NUMERIC, coefs, "customerID", top=len(NUMERIC))
+    data, coefs, scaler = _linear_model(spark, sf)
+    contrib = M.linear_contributions(data, NUMERIC, coefs, "customerID", top=len(NUMERIC), **scaler)
     return M.mean_abs_contribution(contrib)
 
 

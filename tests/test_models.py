@@ -63,6 +63,12 @@ def test_linear_contributions_top_and_direction(spark):
     assert r.direction == ("increases_risk" if r.shap_value > 0 else "decreases_risk")
 
 
+def test_contributions_use_the_fitted_scaler(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 9.0)], "id long, x double")
+    out = M.linear_contributions(df, ["x"], [3.0], "id", mean=[1.0], std=[2.0])
+    assert {r["id"]: r["shap_value"] for r in out.collect()} == {1: 6.0, 2: 12.0}
+
+
 def test_sampled_shapley_efficiency(spark):
     """Contributions of a row add up to f(x) - f(baseline)."""
     df = _data(spark, n=120)

@@ -86,3 +86,16 @@ def test_prefix_sums_plan_has_no_job_and_no_range_exchange(spark):
 def test_too_deep_trees_are_refused():
     with pytest.raises(ValueError):
         models.estimator("decision_tree", maxDepth=500)
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    """A folder of the driver's own machine is no checkpoint folder for executors elsewhere."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from strata.session import checkpoint_dir
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)
