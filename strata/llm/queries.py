@@ -101,7 +101,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, nearly or exactly, an earlier line."""
     from strata.llm.line_dedup import dedup_lines
-    found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), max_bits=None, min_letters=1)
+    found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), max_bits=None, min_letters=1, min_words=1, min_chars=10)
     return found.select("doc_id", "text", "n_removed")
 
 
