@@ -1,6 +1,8 @@
 """Secret scan with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of at least ``min_length`` characters of ``[A-Za-z0-9+/_-]`` with a digit.
+Candidates are what is assigned to a named secret, or quoted after its name, up to the end of the value or the
+closing quote, whatever its length and characters; PEM private keys as one block; what has the form of a key that
+providers issue; and runs of at least ``min_length`` characters of ``[A-Za-z0-9+/_-]`` with a digit.
 Each is described by its length, the shares of its kinds of characters, the changes from one
 kind to the next, its variety, how much of it is covered by words of ``dictionary``, whether it
 is (in) a path, and by what stands next to it: the assignment or quote before and after, words
@@ -8,8 +10,9 @@ that name a secret in front of it, and the length of the word before.  A random
 from labelled findings, scores them; findings under 0.5 are false positives.
 
 Training takes at most ``max_train`` labelled findings, the first by a hash.  Where findings come
-without labels, ``rule_labels`` gives them: formats that providers issue and direct assignments
-to a named secret are true, everything else that looks alike (card and order numbers, hashes,
+without labels, ``rule_labels`` gives them: private keys, formats that providers issue and direct assignments
+to a named secret are true (but not words of letters after a colon without quotes, empty values as ``null``, and
+calls and references), everything else that looks alike (card and order numbers, hashes,
 identifiers) is not.
 
 Null and empty texts have no findings; repeated rows give repeated findings; ties don't occur, as
@@ -29,6 +32,8 @@ from strata.llm.common import materialise
 
 # What providers issue, and how secrets are named.
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^(sk|pk|rk)[-_](live|test)?[-_]?[A-Za-z0-9]{20,}$|^AIza[A-Za-z0-9_-]{35}$"
+ISSUED_ANYWHERE = r"(?<![A-Za-z0-9])(?:" + ISSUED.replace("^", "").replace("$", "") + r")(?![A-Za-z0-9])"
+PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*)"
 NAMED = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
 DICTIONARY = ("the and for with that this from have access account admin auth client code config content credential data date "
               "default example file group header home host http https image index key link list local login name number order "
@@ -37,6 +42,15 @@ DICTIONARY = ("the and for with that this from have access account admin auth cl
 
 
 def _class(min_length: int) -> str:
+    # the cheap looks behind come first: few places have a separator before them
+    name = NAMED.replace("(?i)(", "(?i:", 1) + r"[\"']?[ \t]{0,4}"
+    quoted = "|".join(rf"(?<={q})(?<={name}(?:[=:][ \t]{{0,4}})?{q})[^{q}\n]+(?={q})" for q in "\"'")
+    plain = rf"(?<=[=:\s])(?<=[=:][ \t]{{0,4}})(?<={name}[=:][ \t]{{0,4}})[^\s\"'&=:]" \
+            r"[^\s\"'&]*(?:&(?!\w+=)[^\s\"'&]*)*(?<![,;.)\]}])"
+    return rf"{PEM}|{quoted}|{plain}|{ISSUED_ANYWHERE}|{_runs(min_length)}"
+
+
+def _runs(min_length: int) -> str:
     return rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{{min_length},}}"
 
 
@@ -78,7 +92,12 @@ def describe(found: DataFrame, dictionary: list[str] = DICTIONARY) -> DataFrame:
 
 def rule_labels() -> Column:
     """True findings by format or assignment."""
-    return (F.col("value").rlike(ISSUED) | F.col("before").rlike(NAMED + r"[\"']?\s*[=:]\s*[\"']?$")).cast("double")
+    value, before = F.col("value"), F.col("before")
+    assigned = before.rlike(NAMED + r"[\"']?\s*[=:]\s*[\"']?$") | before.rlike(NAMED + r"[\"']?[ \t]{0,4}[\"']$")
+    word = before.rlike(r":\s*$") & value.rlike(r"^\p{L}+$")
+    empty = value.rlike(r"(?i)^(none|null|nil|true|false|undefined)$") | (
+        ~before.rlike(r"[\"']$") & value.rlike(r"^[A-Za-z_][\w.]*[(\[]|^\$[{(]?\w+[)}]?$"))
+    return (value.rlike(ISSUED) | value.rlike("^" + PEM) | (assigned & ~word & ~empty)).cast("double")
 
 
 def train(labelled: DataFrame, *, max_train: int = 20000, trees: int = 40, depth: int = 8):
