@@ -48,6 +48,14 @@ def q_drop_constant(spark, sf):
     return R.drop_constant(ev.where(F.col("event_type") == "click"))
 
 
+@register("drop_constant_all", sql="""
+SELECT event_id, user_id, event_type, value, props FROM events""")
+def q_drop_constant_all(spark, sf):
+    """``drop_constant`` over every event, with a column that is constant."""
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return R.drop_constant(ev.withColumn("source", F.lit("events")))
+
+
 @register("filter_compare", sql=f"""
 WITH {st.TRADING_SQL}
 SELECT ts_id, date, weight, resp FROM trading WHERE weight <> 0 AND date > 15""")
