@@ -190,6 +190,48 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int
         key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
+def dbscan_sweep(df: DataFrame, x: str, y: str, key: str, eps: Sequence[float], min_samples: Sequence[int]) -> DataFrame:
+    """Clusters and noise points of DBSCAN for every ``eps`` with every ``min_samples``, as ``dbscan`` finds
+    them: ``(eps, min_samples, n_clusters, n_noise)``.  Pairs are joined once, at the largest ``eps``; the
+    labels of all settings spread together until nothing changes."""
+    most = max(eps)
+    pts = cut_lineage(df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+                                F.floor(F.col(x) / most).alias("cx"), F.floor(F.col(y) / most).alias("cy")))
+    probe = pts.select("id", "x", "y", F.explode(F.array(*[
+        F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
+        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("o")).select("id", "x", "y", "o.cx", "o.cy")
+    other = pts.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy")
+    d2 = (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2
+    pairs = cut_lineage(probe.join(other, ["cx", "cy"]).select("id", "nid", d2.alias("d2"))
+                        .where((F.col("d2") <= most * most) & (F.col("id") != F.col("nid"))))
+    settings = [(e, m) for e in eps for m in min_samples]
+    near = pairs.groupBy("id").agg(*[F.count_if(F.col("d2") <= e * e).alias(f"n{i}") for i, e in enumerate(eps)])
+    rows = pts.select("id").join(near, "id", "left").select("id", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("s"), (F.coalesce(f"n{s // len(min_samples)}", F.lit(0)) + 1 >= m).alias("core"))
+        for s, (_, m) in enumerate(settings)])).alias("o")).select("o.s", "id", "o.core")
+    core = cut_lineage(rows.where("core").select("s", "id"))
+    reach = pairs.select("id", "nid", F.explode(F.filter(F.array(*[
+        F.when(F.col("d2") <= e * e, F.lit(s)) for s, (e, _) in enumerate(settings)]), lambda v: v.isNotNull())).alias("s"))
+    reach = cut_lineage(reach.join(core.withColumnRenamed("id", "nid"), ["s", "nid"]))  # neighbours that are core
+    edges = cut_lineage(reach.join(core, ["s", "id"]).select("s", "id", "nid"))
+    labels = core.withColumn("label", F.col("id"))
+    while True:
+        nb = (edges.join(labels.select("s", F.col("id").alias("nid"), F.col("label").alias("nl")), ["s", "nid"])
+              .groupBy("s", "id").agg(F.min("nl").alias("nl")))
+        hop = labels.join(nb, ["s", "id"], "left").select("s", "id", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
+        parent = hop.select("s", F.col("id").alias("label"), F.col("label").alias("pl"))
+        new = cut_lineage(hop.join(parent, ["s", "label"], "left").select("s", "id", F.least("label", "pl").alias("label"), "old"))
+        labels = new.select("s", "id", "label")
+        if new.where("label <> old").isEmpty():
+            break
+    clusters = labels.groupBy("s").agg(F.countDistinct("label").alias("c"))
+    noise = (rows.where("NOT core").join(reach.select("s", "id").distinct(), ["s", "id"], "left_anti")
+             .groupBy("s").agg(F.count("*").alias("noise")))
+    every = df.sparkSession.createDataFrame([(s, float(e), m) for s, (e, m) in enumerate(settings)], "s int, eps double, min_samples int")
+    return every.join(clusters, "s", "left").join(noise, "s", "left").select(
+        "eps", "min_samples", F.coalesce("c", F.lit(0)).cast("int").alias("n_clusters"), F.coalesce("noise", F.lit(0)).cast("int").alias("n_noise"))
+
+
 def cluster_profile(assigned: DataFrame, cluster: str, label: str, cols: Sequence[str] = (),
                     digits: int = 6) -> DataFrame:
     """Size, label share and feature means per cluster."""

@@ -89,15 +89,8 @@ def q_dbscan(spark, sf):
 
 @register("dbscan_sweep")
 def q_dbscan_sweep(spark, sf):
-    pts = cut_lineage(_points2d(spark, sf))
-    rows = []
-    for eps in (0.03, 0.06):
-        for ms in (3, 6):
-            lab = C.dbscan(pts, "x", "y", "id", eps=eps, min_samples=ms)
-            r = lab.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("c"),
-                        F.count_if(F.col("cluster") < 0).alias("noise")).first()
-            rows.append((eps, ms, int(r["c"]), int(r["noise"])))
-    return spark.createDataFrame(rows, "eps double, min_samples int, n_clusters int, n_noise int")
+    return C.dbscan_sweep(_points2d(spark, sf), "x", "y", "id", eps=(0.015, 0.03, 0.045, 0.06),
+                          min_samples=(2, 3, 6, 10, 20, 100))
 
 
 # ----------------------------------------------------------------- retrieval

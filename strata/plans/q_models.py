@@ -108,7 +108,7 @@ def q_randomized_search(spark, sf):
     est = M.estimator("random_forest")
     pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True)
     grid = {"numTrees": [5, 10, 20], "maxDepth": [3, 5, 8], "featureSubsetStrategy": ["sqrt", "log2"]}
-    return M.grid_search(data, pipe, est, grid, "fold", sample=3, seed=42)
+    return M.grid_search(data, pipe, est, grid, "fold", sample=10, seed=42)
 
 
 @register("rank_grid_results")

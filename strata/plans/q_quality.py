@@ -269,6 +269,12 @@ def q_mann_whitney_u(spark, sf):
     return T.mann_whitney_u(st.churn(spark, sf), "MonthlyCharges", "Churn", "Yes", "No", with_p=False)
 
 
+@register("mann_whitney_p")
+def q_mann_whitney_p(spark, sf):
+    """``mann_whitney_u`` with its two-sided p-value."""
+    return T.mann_whitney_u(st.churn(spark, sf), "MonthlyCharges", "Churn", "Yes", "No")
+
+
 def _hist_sql(src, col, bins, by=None):
     byc = f"{by}, " if by else ""
     return f"""
