@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.plans import standins as st
@@ -78,10 +80,11 @@ def q_underscore_columns(spark, sf):
 
 @register("tables")
 def q_tables(spark, sf):
-    """The catalog after registering every test table as a view."""
+    """The catalog after registering every test table as a view, with the rows of each."""
     register_tables(spark, sf)
-    names = [t for t in FS.tables(spark) if t in TABLES]
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    counts = [spark.table(t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n_rows"))
+              for t in FS.tables(spark) if t in TABLES]
+    return reduce(DataFrame.unionAll, counts)
 
 
 @register("find_file", sql="SELECT COUNT(*) AS n FROM lineitem")
