@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from strata.llm.common import ship
 
 _SLACK = 1e-9
+#: What rounding may change in the square of a distance of unit vectors.
+_TIE = 1e-12
+#: Rows whose scores are computed at a time.
+_SCORES = 1 << 16
 
 
 class VPTree:
@@ -63,6 +67,26 @@ class VPTree:
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
         """Numbers of the ``k`` nearest points found per query (-1: fewer points)."""
+        return self.nearest(queries, k, factor)[0]
+
+    def with_ties(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """As ``search``, with every point found that is as far as the ``k``-th, but for rounding."""
+        width = k + 3
+        found, best = self.nearest(queries, width, factor)
+        todo = np.arange(len(queries))
+        while width < len(self.points) and len(todo):
+            far = np.sort(best, 1)
+            todo = todo[far[:, -1] ** 2 <= far[:, k - 1] ** 2 + _TIE]
+            if not len(todo):
+                break
+            width = min(width * 4, len(self.points))
+            more, best = self.nearest(queries[todo], width, factor)
+            found = np.pad(found, ((0, 0), (0, width - found.shape[1])), constant_values=-1)
+            found[todo] = more
+        return found
+
+    def nearest(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """``search``, and the distances."""
         best = np.full((len(queries), k), np.inf)
         found = np.full((len(queries), k), -1)
 
@@ -97,7 +121,7 @@ class VPTree:
             # the side a query lies on comes first, the other with its bound after that
             stack += [(outside, of[near], gap[near]), (inside, of[~near], gap[~near]),
                       (inside, of[near], None), (outside, of[~near], None)]
-        return found
+        return found, best
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,11 +145,12 @@ class Shard:
     def answer(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
         """Query id, id, score of the k nearest rows to each query."""
         unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
-        # more than k: the query's own vector, and vectors that differ in the last bits of the distance
-        found = self.tree.search(unit, k + 4, factor)
+        # one more than k: the query's own vector
+        found = self.tree.with_ties(unit, k + 1, factor)
         row, col = np.nonzero(found >= 0)
         point = found[row, col]
-        score = _cosines(queries[row], self.points[point])
+        score = np.concatenate([_cosines(queries[row[a:a + _SCORES]], self.points[point[a:a + _SCORES]])
+                                for a in range(0, max(len(row), 1), _SCORES)])
         out_q, out_id, out_score = [], [], []
         for r, p, s in zip(row.tolist(), point.tolist(), score.tolist()):
             own = self.ids[self.starts[p]:self.ends[p]]  # in order: k others than the query's are enough
