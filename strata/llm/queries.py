@@ -193,3 +193,45 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every source from its language and from the language's other sources."""
     from strata.llm.divergence import source_divergence
     return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+@register("op11_trie", """
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+lengths AS (SELECT c, count(*) AS len FROM o GROUP BY c),
+info AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                      lambda x, i: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h
+  FROM lengths),
+turns AS (
+  SELECT info.c, d, role, txt FROM info JOIN o ON o.c = info.base AND d <= h
+  UNION ALL
+  SELECT info.c, d - h + least(h, coalesce(b.len, 0)), role, txt
+  FROM info JOIN o USING (c) LEFT JOIN lengths b ON b.c = info.base WHERE d > h),
+seqs AS (SELECT info.c, coalesce(list(struct_pack(role := role, txt := txt) ORDER BY d) FILTER (d IS NOT NULL), []) AS t
+         FROM info LEFT JOIN turns USING (c) GROUP BY info.c),
+p AS (SELECT c, len(t) AS len, d, min(c) OVER (PARTITION BY d, t[1:d]) AS node, octet_length(encode(t[d].txt)) AS bytes
+      FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT node, d, count(*) AS n, coalesce(max(bytes), 0) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d), '')) AS ends
+  FROM p GROUP BY node, d),
+linked AS (SELECT nodes.*, up.node AS parent FROM nodes LEFT JOIN p up ON up.c = nodes.node AND up.d = nodes.d - 1),
+children AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY parent, d),
+kids AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN children USING (node, d)),
+sums AS (SELECT up.node, up.d, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((k.n - 1) * k.bytes) AS saved
+         FROM kids k JOIN p up ON up.c = k.node AND up.d <= k.d GROUP BY up.node, up.d)
+SELECT node AS conv_id, CAST(d AS BIGINT) AS depth, CAST(parent AS BIGINT) AS parent_conv_id, n AS n_convs, n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM kids JOIN sums USING (node, d)
+""")
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the regrown conversations."""
+    from strata.llm.common import materialise
+    from strata.llm.prefix_trie import conversation_trie, order_turns, regrown
+    turns = materialise(order_turns(read_table(spark, sf_dir, "conversations")), "turns")
+    return conversation_trie(*regrown(turns))

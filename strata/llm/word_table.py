@@ -89,15 +89,17 @@ def word(key: bytes) -> str:
 
 
 def _pack(numbers: np.ndarray, data: bytes = b"") -> bytes:
-    """Unsigned 32-bit numbers and bytes as one compressed value."""
-    raw = numbers.astype("<u4").tobytes() + data
+    """Unsigned 32-bit numbers (all first bytes, then all second ones ..., which compresses better) and bytes
+    as one compressed value."""
+    raw = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() + data
     return len(raw).to_bytes(8, "little") + len(numbers).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpack(value: bytes) -> tuple[np.ndarray, bytes]:
     size, n = int.from_bytes(value[:8], "little"), int.from_bytes(value[8:16], "little")
     raw = pa.decompress(value[16:], size, "zstd", asbytes=True)
-    return np.frombuffer(raw, "<u4", n), raw[4 * n:]
+    planes = np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel(), raw[4 * n:]
 
 
 def _pack_words(keys: list[bytes]) -> bytes:
@@ -120,7 +122,8 @@ class _Numbers(dict):
 
 def number_words(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     """One row per chunk: ``chunk``, ``row_ids`` and ``row_words`` (words of each document),
-    ``numbers`` of all words by position, and the distinct ``words``, sorted by hash, with ``n_words``."""
+    ``numbers`` of all words by position, and the distinct ``words`` with ``n_words``: frequent ones first, by powers
+    of two, else in their order, so that numbers are small and neighbours alike."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("row_ids", T.ArrayType(id_type)),
@@ -132,12 +135,12 @@ def number_words(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int)
         index, keys, counts, numbers, size, kind = _Numbers(), [], [], [], 0, None
 
         def chunk() -> pa.RecordBatch:
-            words = list(index)
-            hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-            order = np.argsort(hashes, kind="stable")
+            words, flat = list(index), np.concatenate([np.empty(0, np.int32), *numbers])
+            often = np.frexp(np.bincount(flat, minlength=len(words)))[1].tolist()
+            order = sorted(range(len(words)), key=lambda k: (-often[k], words[k]))
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
-            flat = place[np.concatenate(numbers)] if words else np.empty(0, np.uint32)
+            flat = place[flat]
             return pa.RecordBatch.from_arrays([
                 pa.array([first + made], pa.int64()), pa.array([keys], pa.list_(kind)),
                 pa.array([counts], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()),
@@ -168,21 +171,23 @@ def number_words(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int)
 
 
 def deal_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
-    """The chunks' distinct words, one row per chunk and bucket; a bucket is a range of the words' hash."""
+    """The chunks' distinct words with their numbers (as steps), one row per chunk and bucket; a bucket is a
+    range of the words' hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys = _unpack_words(words.as_py())
-                hashes = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys))
-                bucket = hashes * n_buckets >> 32
-                found, at = np.unique(bucket, return_index=True)
-                ends = [*at[1:].tolist(), len(keys)]
+                bucket = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) * n_buckets >> 32
+                order = np.argsort(bucket, kind="stable")
+                found, at = np.unique(bucket[order], return_index=True)
+                parts = np.split(order, at[1:])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(found, pa.int32()), pa.array([chunk] * len(found), pa.int64()),
-                    pa.array([_pack_words(keys[a:b]) for a, b in zip(at.tolist(), ends)], pa.binary())],
-                    ["bucket", "chunk", "words"])
+                    pa.array([_pack(np.diff(p, prepend=0)) for p in parts if len(p)], pa.binary()),
+                    pa.array([_pack_words([keys[k] for k in p]) for p in parts if len(p)], pa.binary())],
+                    ["bucket", "chunk", "steps", "words"])
 
-    return chunks.select("chunk", "words").mapInArrow(run, "bucket int, chunk long, words binary")
+    return chunks.select("chunk", "words").mapInArrow(run, "bucket int, chunk long, steps binary, words binary")
 
 
 @lru_cache(maxsize=4)
@@ -195,14 +200,14 @@ def _tokenizer(path: str):
 
 
 def encode_words(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Each distinct word of a bucket encoded once: per chunk and bucket, the ``ids`` of its words
-    (their numbers of ids, then all ids)."""
+    """Each distinct word of a bucket encoded once: per chunk and bucket, the words' numbers
+    (``steps``), their ``lengths`` in ids and all ``ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         now, table = None, {}
         for batch in batches:
-            out = []
-            for bucket, value in zip(batch.column(0).to_pylist(), batch.column(2)):
+            sizes, out = [], []
+            for bucket, value in zip(batch.column(0).to_pylist(), batch.column(3)):
                 if bucket != now or len(table) > TABLE_WORDS:
                     now, table = bucket, {}
                 keys = _unpack_words(value.as_py())
@@ -212,12 +217,12 @@ def encode_words(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
                     coded = tokenizer.encode_batch_fast([word(k) for k in part], add_special_tokens=False)
                     table.update(zip(part, (np.array(e.ids, np.uint32) for e in coded)))
                 ids = [table[k] for k in keys]
-                lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append(_pack(lengths, np.concatenate(ids).astype("<u4").tobytes() if ids else b""))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())],
-                                             ["chunk", "bucket", "ids"])
+                sizes.append(_pack(np.fromiter(map(len, ids), np.uint32, len(ids))))
+                out.append(_pack(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sizes, pa.binary()),
+                                              pa.array(out, pa.binary())], ["chunk", "steps", "lengths", "ids"])
 
-    return dealt.mapInArrow(run, "chunk long, bucket int, ids binary")
+    return dealt.mapInArrow(run, "chunk long, steps binary, lengths binary, ids binary")
 
 
 def place_ids(chunks: DataFrame, id_type: T.DataType, id_col: str) -> DataFrame:
@@ -231,10 +236,13 @@ def place_ids(chunks: DataFrame, id_type: T.DataType, id_col: str) -> DataFrame:
             for k in range(batch.num_rows):
                 row_ids, row_words, numbers, blocks = (batch.column(c)[k].as_py() for c in
                                                        ("row_ids", "row_words", "numbers", "blocks"))
-                parts = [_unpack(b["ids"]) for b in sorted(blocks or [], key=lambda b: b["bucket"])]
-                length = np.concatenate([np.empty(0, np.int64), *[p[0] for p in parts]]).astype(np.int64)
-                flat = np.frombuffer(b"".join(p[1] for p in parts), "<u4")
-                begin = np.cumsum(length) - length
+                none = np.empty(0, np.int64)
+                parts = [[_unpack(b[c])[0] for c in ("steps", "lengths", "ids")] for b in blocks or []]
+                place = np.concatenate([none, *[np.cumsum(p[0], dtype=np.int64) for p in parts]])
+                size_at = np.concatenate([none, *[p[1] for p in parts]]).astype(np.int64)
+                flat = np.concatenate([none.astype("<u4"), *[p[2] for p in parts]])
+                length, begin = np.empty_like(size_at), np.empty_like(size_at)   # by word number
+                length[place], begin[place] = size_at, np.cumsum(size_at) - size_at
                 number, _ = _unpack(numbers)
                 at = i = 0
                 while i < len(row_ids):   # documents of about SLICE_BYTES words at a time
@@ -269,7 +277,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     n_buckets = min(max(total // BUCKET_WORDS, 1), MAX_BUCKETS)
     dealt = deal_words(chunks, n_buckets).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     blocks = (encode_words(dealt, tokenizer_path).groupBy("chunk")
-              .agg(F.collect_list(F.struct("bucket", "ids")).alias("blocks")))   # n_buckets entries at most
+              .agg(F.collect_list(F.struct("steps", "lengths", "ids")).alias("blocks")))   # n_buckets entries at most
     placed = chunks.select("chunk", "row_ids", "row_words", "numbers").join(blocks, "chunk", "left")
     return place_ids(placed, docs.schema[id_col].dataType, id_col)
 
