@@ -33,13 +33,12 @@ TIER_ACTION = {
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """``(score, pos, neg)`` - one row per distinct score, written once to the
-    shared checkpoint folder (it feeds totals, prefix sums and lookups)."""
-    from strata.session import cut_lineage
-    return cut_lineage(df.where(F.col(score).isNotNull())
-                       .groupBy(F.col(score).cast("double").alias("score"))
-                       .agg(F.sum(F.col(label).cast("long")).alias("pos"),
-                            F.sum((1 - F.col(label)).cast("long")).alias("neg")))
+    """``(score, pos, neg)`` - one row per distinct score.  Totals and prefix sums of
+    one query share its exchange."""
+    return (df.where(F.col(score).isNotNull())
+            .groupBy(F.col(score).cast("double").alias("score"))
+            .agg(F.sum(F.col(label).cast("long")).alias("pos"),
+                 F.sum((1 - F.col(label)).cast("long")).alias("neg")))
 
 
 def cumulative_confusion(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -71,7 +70,7 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", digits:
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact AUC with ties counted 1/2: ``sum_s pos_s (2 neg_below_s + neg_s) / (2 P N)``."""
     sc = score_counts(df, label, score)
-    cum = prefix_sums(sc, [], "score", ["neg"])           # ascending: negatives <= s
+    cum = prefix_sums(sc, [], "score", ["pos", "neg"])    # ascending: negatives <= s
     num = F.sum(F.col("pos").cast("double") * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))
     return cum.agg(num.alias("_num"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")) \
         .select((F.col("_num").cast("double") / (F.lit(2.0) * F.col("_p") * F.col("_n"))).alias("auc"))

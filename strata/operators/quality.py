@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from strata.functions.numeric import round_half_up
-from strata.operators.orderstats import long_form, quantiles, ranked_counts, value_count_table
+from strata.operators.orderstats import long_form, order_statistics, quantiles, value_count_table
 from strata.operators.relational import numeric_columns
 
 
@@ -82,7 +82,7 @@ def fillna_stat(df: DataFrame, cols: Sequence[str], strategy: str = "mean") -> D
                          for i, c in enumerate(cols)])
     elif strategy == "median":
         lf = long_form(df, cols)
-        med = quantiles(lf, "value", [0.5], ["column"], ["s"])
+        med = quantiles(lf, "value", [0.5], ["column"], ["s"], few_groups=True)
         stats = med.agg(*[F.max(F.when(F.col("column") == c, F.col("s"))).alias(f"s{i}")
                           for i, c in enumerate(cols)])
     else:
@@ -146,7 +146,7 @@ def summarize_table(df: DataFrame, cols: Sequence[str] | None = None, digits: in
         one = df.agg(F.count(F.lit(1)).alias("n"), *chain_aggs(cols))
         st = _stack(one, cols, ["mn", "mx", "avg", "std", "cnt"], common=["n"])
         vc = value_count_table(long_form(df, cols), "value", ["column"])
-        qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], names, counts=vc)
+        qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], names, counts=vc, few_groups=True)
         uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     else:
         one = df.agg(F.count(F.lit(1)).alias("n"), *chain_aggs(cols),
@@ -203,7 +203,7 @@ def value_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     one = df.agg(*[x for i, c in enumerate(cols) for x in
                    (F.min(_q(c).cast("double")).alias(f"mn__{i}"), F.max(_q(c).cast("double")).alias(f"mx__{i}"))])
     st = _stack(one, cols, ["mn", "mx"])
-    med = quantiles(long_form(df, cols), "value", [0.5], ["column"], ["median"])
+    med = quantiles(long_form(df, cols), "value", [0.5], ["column"], ["median"], few_groups=True)
     return st.join(med, "column", "left").select(
         "column", F.col("mn").alias("min"), F.col("mx").alias("max"), "median")
 
@@ -212,32 +212,29 @@ THRESHOLDS = [1.0 + 0.5 * i for i in range(8)]   # 1.0 ... 4.5
 
 
 def _quartile_fences(df: DataFrame, cols: Sequence[str], exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(column, value, cnt)`` rows and the per-column quartiles: the exact
-    path builds the value-count table once and reads both from it; the
-    approximate path uses GK sketches and counts raw rows (``cnt = 1``)."""
+    """``(column, value)`` rows and the per-column quartiles, exact or from GK
+    sketches; both only shuffle histograms or sketches, never the rows."""
     names = ["q1", "median", "q3"]
+    values = long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     if exact:
-        vc = value_count_table(long_form(df, cols), "value", ["column"])
-        qs = quantiles(None, "value", [0.25, 0.5, 0.75], ["column"], names, counts=vc)
+        qs = quantiles(values, "value", [0.25, 0.5, 0.75], ["column"], names, few_groups=True)
     else:
-        vc = long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value")) \
-            .withColumn("cnt", F.lit(1).cast("long"))
         qs = approx_column_quantiles(df, cols, [0.25, 0.5, 0.75], names)
-    return vc, qs.withColumn("iqr", F.col("q3") - F.col("q1"))
+    return values, qs.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def iqr_outlier_sweep(df: DataFrame, cols: Sequence[str],
                       thresholds: Sequence[float] = THRESHOLDS, exact: bool = True) -> DataFrame:
     """Outliers outside ``[q1 - t*iqr, q3 + t*iqr]`` for every threshold t.
-    Counted on the value-count table (one row per distinct value) joined to the
-    per-column fences (one row per column: bounded, broadcast)."""
-    vc, qs = _quartile_fences(df, cols, exact)
-    j = vc.join(F.broadcast(qs), "column")
+    Counted on the rows joined to the per-column fences (one row per column:
+    bounded, broadcast)."""
+    values, qs = _quartile_fences(df, cols, exact)
+    j = values.join(F.broadcast(qs), "column")
     aggs = [F.sum(F.when((F.col("value") < F.col("q1") - F.lit(t) * F.col("iqr"))
-                         | (F.col("value") > F.col("q3") + F.lit(t) * F.col("iqr")), F.col("cnt"))
+                         | (F.col("value") > F.col("q3") + F.lit(t) * F.col("iqr")), 1)
                   .otherwise(0)).alias(f"o{i}")
             for i, t in enumerate(thresholds)]
-    counts = j.groupBy("column").agg(F.sum("cnt").alias("n"), *aggs)
+    counts = j.groupBy("column").agg(F.count(F.lit(1)).alias("n"), *aggs)
     structs = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"o{i}").alias("outliers"))
                for i, t in enumerate(thresholds)]
     return counts.select("column", "n", F.explode(F.array(*structs)).alias("s")) \
@@ -248,30 +245,24 @@ def iqr_outlier_sweep(df: DataFrame, cols: Sequence[str],
 def boxplot_stats(df: DataFrame, cols: Sequence[str], whisker: float = 1.5,
                   exact: bool = True) -> DataFrame:
     """q1, median, q3, whiskers (extreme values inside the 1.5·IQR fences) and
-    the number of fliers, per column (from the value-count table)."""
-    vc, qs = _quartile_fences(df, cols, exact)
-    j = vc.join(F.broadcast(qs), "column")
+    the number of fliers, per column."""
+    values, qs = _quartile_fences(df, cols, exact)
+    j = values.join(F.broadcast(qs), "column")
     lo = F.col("q1") - F.lit(whisker) * F.col("iqr")
     hi = F.col("q3") + F.lit(whisker) * F.col("iqr")
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
     return j.groupBy("column", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).alias("fliers"))
+        F.count_if(~inside).alias("fliers"))
 
 
 def winsor_limits(df: DataFrame, col: str, lower: float, upper: float) -> DataFrame:
     """One row ``(lo_value, hi_value)``: the order statistics at 0-based ranks
     ``int(n*lower)`` and ``n - int(n*upper) - 1`` (not interpolated)."""
-    rc = ranked_counts(df, col)
-    n = rc.agg(F.sum("cnt")).scalar()
-    ranks = rc.select("first_rank", "cum_cnt", F.col(col).cast("double").alias("v"),
-                      F.floor(n.cast("double") * F.lit(lower)).alias("_lo"),
-                      (n - F.floor(n.cast("double") * F.lit(upper)) - 1).alias("_hi"))
-    hit = lambda r: (F.col("first_rank") <= F.col(r)) & (F.col(r) < F.col("cum_cnt"))
-    return ranks.where(hit("_lo") | hit("_hi")).agg(
-        F.max(F.when(hit("_lo"), F.col("v"))).alias("lo_value"),
-        F.max(F.when(hit("_hi"), F.col("v"))).alias("hi_value"))
+    return order_statistics(df, col, [
+        lambda n: F.floor(n.cast("double") * F.lit(lower)),
+        lambda n: n - F.floor(n.cast("double") * F.lit(upper)) - 1], ["lo_value", "hi_value"]).drop("_n")
 
 
 def winsorize(df: DataFrame, col: str, lower: float = 0.05, upper: float = 0.05,

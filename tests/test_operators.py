@@ -31,7 +31,7 @@ def test_quantiles_skewed_groups(spark):
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + \
            [(f"g{i % 7}", rnd.random()) for i in range(700)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in OS.quantiles(df, "v", [0.1, 0.5, 0.95], ["g"], num_partitions=5).collect()}
+    got = {r["g"]: r for r in OS.quantiles(df, "v", [0.1, 0.5, 0.95], ["g"]).collect()}
     for g in {r[0] for r in rows}:
         vals = [v for k, v in rows if k == g]
         for p, n in [(0.1, "q10"), (0.5, "q50"), (0.95, "q95")]:
@@ -40,7 +40,7 @@ def test_quantiles_skewed_groups(spark):
 
 def test_prefix_sums_many_partitions(spark):
     df = spark.createDataFrame([(i % 3, i, 1) for i in range(500)], "g int, o int, c int")
-    out = OS.prefix_sums(df, ["g"], "o", ["c"], num_partitions=7).collect()
+    out = OS.prefix_sums(df, ["g"], "o", ["c"]).collect()
     for r in out:
         assert r["cum_c"] == sum(1 for i in range(500) if i % 3 == r["g"] and i <= r["o"])
 
