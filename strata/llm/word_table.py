@@ -1,7 +1,8 @@
 """BPE encoding through a table of distinct words, and decoding through a table of pieces.
 
-Encoding: tasks split the texts before every run of white space (a byte-level vocabulary never
-merges across such a place, nor do its patterns look across it) and number the distinct words of
+Encoding: tasks split the texts before every run of white space, and words before a final run of
+stops after an ASCII letter or figure (a byte-level vocabulary never merges across such a place, nor do
+its patterns look across it), and number the distinct words of
 each *chunk* of documents, ``CHUNK_BYTES`` of text.  A chunk becomes one row: the word numbers by
 position, and its distinct words.  The words are then dealt by hash, and the *distinct-word
 table* arises in buckets of that hash: a bucket meets every word from all chunks that hold it,
@@ -44,11 +45,11 @@ from pyspark.sql import types as T
 from strata.llm.common import materialise, stream_bound, text_bytes
 
 #: Text of one chunk; bounds the memory of a task that splits or puts ids in place.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 24 << 20
 #: Text that is split at once.
 SLICE_BYTES = 4 << 20
 #: Words that one bucket of the table has at about, and at most remembers.
-BUCKET_WORDS, TABLE_WORDS = 250_000, 2_000_000
+BUCKET_WORDS, TABLE_WORDS = 600_000, 2_000_000
 MAX_BUCKETS = 4096
 
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -56,6 +57,7 @@ _BEFORE_WHITE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 #: White space other than one space or newline by itself.
 _UNUSUAL = re.compile(rb" [ \n]|\n[ \n]|[\t\x0b\x0c\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _PLAIN_CUT = re.compile(rb"[!-~] [!-~]")
+_STOPS = re.compile(rb"(?<=[0-9A-Za-z])[.,;:!?]+\Z")
 #: First byte of the key of a word that doesn't begin with exactly one space or newline; never part of UTF-8.
 _AS_IS = b"\xff"
 
@@ -82,6 +84,12 @@ def split_words(text: bytes) -> list[bytes]:
     return found
 
 
+def parts(key: bytes) -> list[bytes]:
+    """A word's key, or the keys of the word and of the stops at its end."""
+    found = _STOPS.search(key)
+    return [key[:found.start()], _AS_IS + found.group()] if found else [key]
+
+
 def word(key: bytes) -> str:
     if key[:1] == _AS_IS:
         return key[1:].decode()
@@ -135,7 +143,14 @@ def number_words(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int)
         index, keys, counts, numbers, size, kind = _Numbers(), [], [], [], 0, None
 
         def chunk() -> pa.RecordBatch:
-            words, flat = list(index), np.concatenate([np.empty(0, np.int32), *numbers])
+            flat = np.concatenate([np.empty(0, np.int32), *numbers])
+            finer, split = _Numbers(), [parts(k) for k in index]
+            left = np.fromiter((finer[p[0]] for p in split), np.int32, len(split))
+            stops = np.fromiter((finer[p[1]] if len(p) > 1 else -1 for p in split), np.int32, len(split))
+            both = np.stack([left[flat], stops[flat]], axis=1)
+            n_row = np.add.reduceat(np.append(both[:, 1] >= 0, False), np.cumsum([0, *counts[:-1]])) if len(counts) else []
+            row_words = [n + int(m) if n else 0 for n, m in zip(counts, n_row)]
+            flat, words = both[both >= 0], list(finer)
             often = np.frexp(np.bincount(flat, minlength=len(words)))[1].tolist()
             order = sorted(range(len(words)), key=lambda k: (-often[k], words[k]))
             place = np.empty(len(words), np.uint32)
@@ -143,7 +158,7 @@ def number_words(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int)
             flat = place[flat]
             return pa.RecordBatch.from_arrays([
                 pa.array([first + made], pa.int64()), pa.array([keys], pa.list_(kind)),
-                pa.array([counts], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()),
+                pa.array([row_words], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()),
                 pa.array([_pack_words([words[k] for k in order])], pa.binary()),
                 pa.array([len(words)], pa.int64())], schema.names)
 
@@ -215,10 +230,10 @@ def encode_words(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
                 for i in range(0, len(new), 10_000):
                     part = new[i:i + 10_000]
                     coded = tokenizer.encode_batch_fast([word(k) for k in part], add_special_tokens=False)
-                    table.update(zip(part, (np.array(e.ids, np.uint32) for e in coded)))
+                    table.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in coded)))
                 ids = [table[k] for k in keys]
-                sizes.append(_pack(np.fromiter(map(len, ids), np.uint32, len(ids))))
-                out.append(_pack(np.concatenate(ids)))
+                sizes.append(_pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4))
+                out.append(_pack(np.frombuffer(b"".join(ids), "<u4")))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sizes, pa.binary()),
                                               pa.array(out, pa.binary())], ["chunk", "steps", "lengths", "ids"])
 
