@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from strata.llm.common import materialise, stream_bound, text_bytes
 FOLD_ENTRIES, FOLD_BYTES = 400_000, 1 << 20
 BLOCK, SUMS = 256, 512
 #: Stripes that one group of a language emits for.
-SALT_STRIPES = 20_000
+SALT_STRIPES = 2000
 #: ASCII letters in lower case and all bytes of other characters stay, the rest parts terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BETWEEN = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
@@ -49,11 +50,12 @@ _STRIPE = "lang string, term string, df long, sources array<string>, counts arra
 _NAMES = ["lang", "term", "df", "sources", "counts"]
 
 
-def _rows(stripes: list[tuple]) -> pa.RecordBatch:
-    lang, term, df, sources, counts = zip(*stripes) if stripes else [[]] * 5
+def _rows(lang: list, term: list, df: list, sizes: list, sources: pa.Array, counts: list) -> pa.RecordBatch:
+    """Stripes as a batch; ``sizes`` has how many of ``sources`` and ``counts`` each one has."""
+    off = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32())
     return pa.RecordBatch.from_arrays([
         pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(df, pa.int64()),
-        pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], _NAMES)
+        pa.ListArray.from_arrays(off, sources), pa.ListArray.from_arrays(off, pa.array(counts, pa.int64()))], _NAMES)
 
 
 def _terms(text: bytes) -> Counter:
@@ -72,42 +74,45 @@ def fold_stripes(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     term has every source that occurs in the language, with count 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded: dict[str, dict[bytes, list]] = {}
+        codes: dict[str, int] = {}   # of sources
         entries = 0
 
         def spill() -> Iterator[pa.RecordBatch]:
-            out = []
+            names = pa.array(list(codes), pa.string())
             for lang, stripes in folded.items():
-                for term, (df, counts) in stripes.items():
-                    out.append((lang, term.decode(), df, list(counts), list(counts.values())))
-                    if len(out) >= 10_000:
-                        yield _rows(out)
-                        out = []
-            yield _rows(out)
+                items = list(stripes.items())
+                for k in range(0, len(items), 10_000):
+                    part = items[k:k + 10_000]
+                    found = np.fromiter((c for _, s in part for c in s[1]), np.int32)
+                    yield _rows([lang] * len(part), [t for t, _ in part], [s[0] for _, s in part],
+                                [len(s[1]) for _, s in part], names.take(pa.array(found)),
+                                [n for _, s in part for n in s[1].values()])
 
         for batch in batches:
             off, data, _ = text_bytes(batch.column(0))
             for k, (lang, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                lang, source = lang or "", source or ""
-                stripes = folded.setdefault(lang, {b"": [0, {}]})
-                if source not in stripes[b""][1]:
-                    stripes[b""][1][source] = 0
+                code = codes.setdefault(source or "", len(codes))
+                stripes = folded.setdefault(lang or "", {b"": [0, {}]})
+                if code not in stripes[b""][1]:
+                    stripes[b""][1][code] = 0
                     entries += 1
+                get = stripes.get
                 for term, n in _terms(bytes(data[off[k]:off[k + 1]])).items():
-                    stripe = stripes.get(term)
+                    stripe = get(term)
                     if stripe is None:
-                        stripes[term] = [1, {source: n}]
+                        stripes[term] = [1, {code: n}]
                         entries += 1
                         continue
                     stripe[0] += 1
                     counts = stripe[1]
-                    if source in counts:
-                        counts[source] += n
+                    if code in counts:
+                        counts[code] += n
                     else:
-                        counts[source] = n
+                        counts[code] = n
                         entries += 1
                 if entries >= FOLD_ENTRIES:
                     yield from spill()
-                    folded, entries = {}, 0
+                    folded, codes, entries = {}, {}, 0
         yield from spill()
 
     return stream_bound(docs, [text_col, lang_col, source_col]).mapInArrow(run, _STRIPE)
@@ -116,20 +121,37 @@ def fold_stripes(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
 def merge_stripes(folded: DataFrame, min_df: int) -> DataFrame:
     """One stripe per language and term of ``min_df`` documents or more, and the language's empty term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, df, counts, out = None, 0, {}, []
+        key, df, counts = None, 0, {}   # the last stripe, which may go on
+
+        def add(n: int, sources: list, values: list) -> None:
+            nonlocal df
+            df += n
+            for s, v in zip(sources, values):
+                counts[s] = counts.get(s, 0) + v
+
         for batch in batches:
-            for lang, term, n, sources, values in zip(*[c.to_pylist() for c in batch.columns]):
-                if (lang, term) != key:
-                    if key and (df >= min_df or key[1] == ""):
-                        out.append((*key, df, list(counts), list(counts.values())))
-                    key, df, counts = (lang, term), 0, {}
-                df += n
-                for s, v in zip(sources, values):
-                    counts[s] = counts.get(s, 0) + v
-            yield _rows(out)
+            if not batch.num_rows:
+                continue
+            lang, term, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+            change = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.flatnonzero(change) + 1])
+            enough = (np.add.reduceat(n, first) >= min_df) | pc.equal(term, "").to_numpy(zero_copy_only=False)[first]
+            enough[[0, -1]] = True   # may go on before or behind this batch
+            rows = np.flatnonzero(np.repeat(enough, np.diff(np.append(first, batch.num_rows))))
             out = []
+            for *now, m, sources, values in zip(*[c.take(pa.array(rows)).to_pylist() for c in batch.columns]):
+                if now != key:
+                    if key and (df >= min_df or key[1] == ""):
+                        out.append((key, df, counts))
+                    key, df, counts = now, 0, {}
+                add(m, sources, values)
+            yield table(out)
         if key and (df >= min_df or key[1] == ""):
-            yield _rows([(*key, df, list(counts), list(counts.values()))])
+            yield table([(key, df, counts)])
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return _rows([k[0] for k, _, _ in out], [k[1] for k, _, _ in out], [d for _, d, _ in out], [len(c) for _, _, c in out],
+                     pa.array([s for _, _, c in out for s in c], pa.string()), [v for _, _, c in out for v in c.values()])
 
     return folded.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _STRIPE)
 
