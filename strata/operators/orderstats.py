@@ -68,7 +68,7 @@ def as_number(df: DataFrame, value: Column, kind) -> Column:
     return value.cast("double")
 
 
-def _join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal ``cols``, null equal to null, keeping the left ones."""
     renamed = right.select(*[F.col(f"`{c}`").alias(f"_r{k}") for k, c in enumerate(cols)],
                            *[F.col(f"`{c}`") for c in right.columns if c not in cols])
@@ -96,8 +96,8 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
     leading = longer.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in totals])
     leading = leading.select(*keys, *running(group_cols, turn("_lead"), totals, "_far", -1))
     longer = longer.select(*keys, "_digit", *running(keys, turn("_digit"), totals, "_near", -1))
-    offsets = _join_groups(longer, leading, keys).drop("_lead")
-    joined = _join_groups(local, offsets, [*group_cols, "_digit"])
+    offsets = join_groups(longer, leading, keys).drop("_lead")
+    joined = join_groups(local, offsets, [*group_cols, "_digit"])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[
         (F.col(f"_far{k}") + F.col(f"_near{k}") + F.col(f"_loc{k}")).alias(f"cum_{c}") for k, c in enumerate(sum_cols)])
 

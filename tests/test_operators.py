@@ -50,7 +50,7 @@ def test_ffill_hot_key_matches_pandas(spark):
     rows = [(("hot" if i % 3 else f"k{i % 5}"), i, (None if rnd.random() < 0.6 else float(i)))
             for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, t int, v double")
-    got = {r["t"]: r["v"] for r in W.ffill(df, ["k"], "t", ["v"], num_partitions=6).collect()}
+    got = {r["t"]: r["v"] for r in W.ffill(df, ["k"], "t", ["v"]).collect()}
     pdf = pd.DataFrame(rows, columns=["k", "t", "v"]).sort_values("t")
     want = pdf.groupby("k")["v"].ffill()
     for t, v in zip(pdf["t"], want):
@@ -196,7 +196,7 @@ def test_silhouette_matches_pairwise(spark):
 def test_lag_two_phase_hot_key_matches_pandas(spark):
     rows = [("hot" if i % 4 else f"k{i % 3}", i, float(i * 7 % 11)) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, t int, v double")
-    got = {r["t"]: (r["v_lag1"], r["v_lag3"]) for r in W.lag_features(df, ["k"], "t", "v", (1, 3), num_partitions=9).collect()}
+    got = {r["t"]: (r["v_lag1"], r["v_lag3"]) for r in W.lag_features(df, ["k"], "t", "v", (1, 3)).collect()}
     pdf = pd.DataFrame(rows, columns=["k", "t", "v"]).sort_values("t")
     l1 = pdf.groupby("k")["v"].shift(1)
     l3 = pdf.groupby("k")["v"].shift(3)
