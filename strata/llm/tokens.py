@@ -26,12 +26,10 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
-    """The tokenizer of a file; its special strings inside a text are ordinary text."""
+    """The tokenizer of a file; its special strings inside a text get their own ids, as the library does."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class _Index(dict):
@@ -53,7 +51,8 @@ class PieceEncoder:
     New pieces are encoded many at a time as one text, and its ids are parted
     again: where the pieces are cut before a space, by the ids of tokens that
     begin with a space (no piece has another one); else by a mark between the
-    pieces.  Pieces for which that would not hold are encoded one by one.
+    pieces.  Pieces for which that would not hold, and those with a special string,
+    are encoded one by one.
     """
 
     #: Set before the key of a piece that is encoded by itself (the first of its text, or one of
@@ -65,6 +64,8 @@ class PieceEncoder:
         if cut not in ("space", "white"):
             raise ValueError(f"cut must be 'space' or 'white', not {cut!r}")
         self.tokenizer, self.cut, self.max_pieces = load_tokenizer(path), cut, max_pieces
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
         size = self.tokenizer.get_vocab_size()
         if cut == "space":
             self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
@@ -112,11 +113,11 @@ class PieceEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         if self.cut == "space":
-            alone = [k for k, x in enumerate(new) if x[:1] == self.OPENS]
+            alone = [k for k, x in enumerate(new) if x[:1] == self.OPENS or self.special.search(x)]
             texts = [(x[1:] if x[:1] == self.OPENS else b" " + x).decode() for x in new]
         else:
             mark = self.MARK.encode()
-            alone = [k for k, x in enumerate(new) if mark in x]
+            alone = [k for k, x in enumerate(new) if mark in x or self.special.search(x)]
             texts = [x.decode() for x in new]
         odd = set(alone)
         together = [k for k in range(len(new)) if k not in odd]

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 from strata.llm import decontam, html_extract, langid, packing, queries, secrets, simhash, toxicity, vptree, wavelet
@@ -37,10 +38,14 @@ def documents(spark):
 def test_pieces_give_the_ids_of_the_whole_text(path, cut):
     rnd, encoder = random.Random(3), PieceEncoder(path, cut, max_pieces=100)
     signs = ["a", "b", "The", " ", "  ", "\n", " \n", "\t", " ", "é", "́", "'s", "12", "§", "^", ".", "!!", "<|endoftext|>", "\x1c", " ", "日"]
-    for _ in range(100):
-        texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 12))) for _ in range(8)]
+    plain = Tokenizer.from_file(path)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    signs += [*added, *[a[:-3] for a in added], *[a.upper() for a in added]]
+    fixed = [t for a in added for t in (a, f"{a} b", f"a {a} b", f"a{a}b", f"x {a}{a}", f" {a} ", f"a\n{a}\n", f"{a}\u0301")]
+    for turn in range(100):
+        texts = fixed if not turn else ["".join(rnd.choices(signs, k=rnd.randint(0, 12))) for _ in range(8)]
         ids, n = encoder.encode([t.encode() for t in texts], 7)
-        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+        want = [plain.encode(t, add_special_tokens=False).ids + [7] for t in texts]
         assert ids.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
 
 
