@@ -45,8 +45,9 @@ def _class(min_length: int) -> str:
     # the cheap looks behind come first: few places have a separator before them
     name = NAMED.replace("(?i)(", "(?i:", 1) + r"[\"']?[ \t]{0,4}"
     quoted = "|".join(rf"(?<={q})(?<={name}(?:[=:][ \t]{{0,4}})?{q})[^{q}\n]+(?={q})" for q in "\"'")
+    # up to white space, a quote or the next parameter, without punctuation before that: no group is repeated
     plain = rf"(?<=[=:\s])(?<=[=:][ \t]{{0,4}})(?<={name}[=:][ \t]{{0,4}})[^\s\"'&=:]" \
-            r"[^\s\"'&]*(?:&(?!\w+=)[^\s\"'&]*)*(?<![,;.)\]}])"
+            r"[^\s\"']*?(?<![,;.)\]}])(?=[,;.)\]}]*+(?:&\w+=|[\s\"']|\z))"
     return rf"{PEM}|{quoted}|{plain}|{ISSUED_ANYWHERE}|{_runs(min_length)}"
 
 
@@ -58,16 +59,33 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
+#: Running totals go by spans of so many steps, so that their cost grows little faster than the steps.
+_SPAN = 256
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda n, x: n + x)
+
+
+def _totals(steps: Column, span: int) -> Column:
+    """Sums of the steps before each span."""
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / span).cast("int")), lambda b: _sum(F.slice(steps, b * span + 1, span)))
+    return F.transform(spans, lambda _, b: _sum(F.slice(spans, 1, b)))
+
+
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 12) -> DataFrame:
     """Id, ``position`` (characters before it), ``value``, ``before`` and ``after`` of every candidate."""
     pattern = _class(min_length)
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    found = (rows.select(id_col, "text", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("k", "value"))
-             .withColumn("parts", F.split("text", pattern)).withColumn("all", F.regexp_extract_all("text", F.lit(pattern), 0)))
-    length = F.aggregate(F.slice("parts", 1, F.col("k") + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(
-        F.slice("all", 1, F.col("k")), F.lit(0), lambda n, x: n + F.length(x))
-    return found.select(id_col, length.cast("long").alias("position"), "value",
-                        F.expr("right(parts[k], 48)").alias("before"), F.expr("left(parts[k + 1], 16)").alias("after"))
+    # everything of a text is computed once, and only small pieces are exploded
+    found = rows.select(id_col, F.regexp_extract_all("text", F.lit(pattern), 0).alias("all"), F.split("text", pattern).alias("parts"))
+    found = found.where(F.size("all") > 0)
+    found = found.select(id_col, "all", "parts", F.transform("all", lambda x, k: F.length(x) + F.length(F.get("parts", k))).alias("steps"))
+    found = found.select("*", _totals(F.col("steps"), _SPAN).alias("wide"))
+    piece = F.transform("all", lambda value, k: F.struct(
+        (F.get("wide", F.floor(k / _SPAN).cast("int")) + _sum(F.slice("steps", k - k % _SPAN + 1, k % _SPAN + 1)) - F.length(value)).cast("long").alias("position"),
+        value.alias("value"), F.right(F.get("parts", k), F.lit(48)).alias("before"), F.left(F.get("parts", k + 1), F.lit(16)).alias("after")))
+    return found.select(id_col, F.explode(piece).alias("x")).select(id_col, "x.*")
 
 
 FEATURES = ["length", "digits", "uppers", "lowers", "changes", "variety", "hexadecimal", "covered", "path", "assigned",

@@ -27,3 +27,21 @@ def test_forest_sees_them(spark):
     out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), train_on=F.lit(True)).collect()
     secret = {r["doc_id"]: r["value"] for r in out if r["secret"]}
     assert secret == {i: VALUES[i % 10] for i in range(1, 200, 2)}
+
+
+def test_long_values_and_many_candidates(spark):
+    chain = "token=a" + "&a" * 2000
+    many = "\n".join(f"line {k} password=Secret{k:05d}x, api_key: 'k{k}' order 12345678901{k % 10}" for k in range(7000))
+    docs = spark.createDataFrame([(1, chain), (2, many), (3, "token=" + "." * 100_000), (4, "secret=x&a=1&b&c, done"), (5, None), (6, "")],
+                                 "doc_id long, text string")
+    found = secrets.candidates(docs).collect()
+    by_doc = {}
+    for r in found:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    texts = {1: chain, 2: many, 4: "secret=x&a=1&b&c, done"}
+    assert [r["value"] for r in by_doc[1]] == [chain[6:]]
+    assert [r["value"] for r in by_doc[4]] == ["x"]
+    assert len(by_doc[2]) == 21_000 and set(by_doc) == {1, 2, 4}
+    for i, rows in by_doc.items():
+        assert all(texts[i][r["position"]:r["position"] + len(r["value"])] == r["value"] for r in rows)
+        assert all(texts[i][:r["position"]].endswith(r["before"]) and texts[i][r["position"] + len(r["value"]):].startswith(r["after"]) for r in rows)
