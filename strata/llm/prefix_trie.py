@@ -46,6 +46,8 @@ from strata.llm.common import discard, materialise, stream_bound
 
 #: Turns, depths or ids of one slice of a group.
 SLICE = 1024
+#: Rows of a table, counted before, that is broadcast: they have less than 100 bytes each.
+FEW = 300_000
 _KEY = ["h1", "h2"]
 
 
@@ -100,41 +102,50 @@ def probes(a: Column, b: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.length(F.bin(b)).cast("int")), step), lambda p: p <= b))
 
 
-def _at(rows: DataFrame, prefixes: DataFrame, conv: str, p: str, names: dict[str, str], how: str = "inner") -> DataFrame:
-    """``rows`` with columns of the prefix (``conv``, ``p``), renamed by ``names``."""
+def _at(rows: DataFrame, prefixes: DataFrame, conv: str, p: str, names: dict[str, str], few: bool = False) -> DataFrame:
+    """``rows`` with columns of the prefix (``conv``, ``p``), renamed by ``names``; ``few``: rows are broadcast."""
     found = prefixes.select(F.col("conv").alias(conv), F.col("p").alias(p), *[F.col(c).alias(n) for c, n in names.items()])
-    return rows.join(found, [conv, p], how)
+    return _few(rows, few).join(found, [conv, p])
 
 
-def with_handles(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _few(table: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(table) if few else table
+
+
+def with_handles(nodes: DataFrame, prefixes: DataFrame, few: bool) -> DataFrame:
     """Nodes (``h1``, ``h2``, ``extent``, ``top``, ``rep``) with their ``handle`` depth and hash, and the hash of
     the first prefix of their edge (``c1``, ``c2``)."""
     nodes = nodes.select(*_KEY, "extent", "top", "rep", two_fattest(F.col("top"), F.col("extent")).alias("handle"),
                          (F.col("top") + 1).alias("entry"))
-    nodes = _at(nodes, prefixes, "rep", "handle", {"h1": "g1", "h2": "g2"})
-    return _at(nodes, prefixes, "rep", "entry", {"h1": "c1", "h2": "c2"}).drop("entry")
+    nodes = _at(nodes, prefixes, "rep", "handle", {"h1": "g1", "h2": "g2"}, few)
+    return _at(nodes, prefixes, "rep", "entry", {"h1": "c1", "h2": "c2"}, few).drop("entry")
 
 
 def locate(pending: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``conv``, ``length``, ``depth`` (of its longest prefix in the trie), and the exit edge that this
     prefix lies on, if not at a node (``x1``, ``x2``, ``x_top``, ``x_extent``, ``x_rep``)."""
+    n, few_nodes = pending.count(), nodes.count() <= FEW
+    few, few_asked = n <= FEW, n * 41 <= 4 * FEW
+    key = {"h1": "k1", "h2": "k2"}
     edge = F.struct("h1", "h2", "extent", "top", "rep", "handle").alias("edge")
-    handles = nodes.select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("handle").alias("p"), edge)
-    entries = nodes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), edge)
+    handles = _few(nodes.select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("handle").alias("p"), edge), few_nodes)
+    entries = _few(nodes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), edge), few_nodes)
     active, ended = pending.withColumn("a", F.lit(0).cast("long")), []
     while True:
         asked = active.where("a < length").select("conv", F.explode(probes(F.col("a"), F.col("length"))).alias("p"))
-        hits = (_at(asked, prefixes, "conv", "p", {"h1": "k1", "h2": "k2"}).join(handles, ["k1", "k2", "p"])
-                .groupBy("conv").agg(F.max_by("edge", "p").alias("edge")).withColumn("p", F.col("edge.extent")))
-        hits = _at(hits, prefixes, "conv", "p", {"h1": "k1", "h2": "k2"}, "left").select("conv", "edge", F.coalesce(
-            (F.col("k1") == F.col("edge.h1")) & (F.col("k2") == F.col("edge.h2")), F.lit(False)).alias("whole"))
-        step = materialise(active.join(hits, "conv", "left"), "trie-step")
+        hits = (_at(asked, prefixes, "conv", "p", key, few_asked).join(handles, ["k1", "k2", "p"])
+                .groupBy("conv").agg(F.max_by("edge", "p").alias("edge")))
+        hits = materialise(hits, "trie-hits")
+        whole = (_at(hits.withColumn("p", F.col("edge.extent")), prefixes, "conv", "p", key, few)
+                 .where("k1 = edge.h1 AND k2 = edge.h2").select("conv", F.lit(True).alias("whole")))
+        step = materialise(active.join(_few(hits, few), "conv", "left").join(_few(whole, few), "conv", "left"), "trie-step")
         # on the edge of the hit, whose handle matches; or below the node where the search stands
-        ended.append(step.where("not whole").select("conv", "length", "a", "edge", F.col("edge.handle").alias("low")))
-        below = _at(step.where("edge is null").withColumn("p", F.col("a") + 1), prefixes, "conv", "p",
-                    {"h1": "k1", "h2": "k2"}, "left").drop("edge")
-        ended.append(below.join(entries, ["k1", "k2"], "left").select(
-            "conv", "length", "a", "edge", F.when(F.col("edge").isNotNull(), F.col("p")).alias("low")))
+        ended.append(step.where("edge IS NOT NULL AND whole IS NULL").select("conv", "length", "a", "edge", F.col("edge.handle").alias("low")))
+        stands = step.where("edge IS NULL").select("conv", "length", "a", (F.col("a") + 1).alias("p"))
+        below = _at(stands.where("a < length"), prefixes, "conv", "p", key, few).join(entries, ["k1", "k2"], "left")
+        ended.append(below.select("conv", "length", "a", "edge", F.when(F.col("edge").isNotNull(), F.col("p")).alias("low")))
+        ended.append(stands.where("a = length").select("conv", "length", "a", F.lit(None).cast(below.schema["edge"].dataType).alias("edge"),
+                                                       F.lit(None).cast("long").alias("low")))
         active = step.where("whole").select("conv", "length", F.col("edge.extent").alias("a"))
         if active.isEmpty():
             break
@@ -143,37 +154,40 @@ def locate(pending: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFra
         found = found.unionByName(more)
     found = materialise(found, "trie-exits")
     last = F.least("length", "edge.extent")
-    along = found.where(F.col("edge").isNotNull() & (F.col("low") < last)).select(
-        "conv", F.col("edge.rep").alias("rep"), F.explode(F.sequence(F.col("low") + 1, last)).alias("p"))
-    along = _at(along, prefixes, "conv", "p", {"h1": "k1", "h2": "k2"})
-    common = (_at(along, prefixes, "rep", "p", {"h1": "r1", "h2": "r2"}).where("k1 = r1 and k2 = r2")
+    on_edge = found.where(F.col("edge").isNotNull() & (F.col("low") < last))
+    few_along = (on_edge.agg(F.sum(last - F.col("low"))).first()[0] or 0) <= 2 * FEW
+    along = on_edge.select("conv", F.col("edge.rep").alias("rep"), F.explode(F.sequence(F.col("low") + 1, last)).alias("p"))
+    along = _at(along, prefixes, "conv", "p", key, few_along)
+    common = (_at(along, prefixes, "rep", "p", {"h1": "r1", "h2": "r2"}, few_along).where("k1 = r1 and k2 = r2")
               .groupBy("conv").agg(F.max("p").alias("common")))
-    return found.join(common, "conv", "left").select(
+    return found.join(_few(common, few), "conv", "left").select(
         "conv", "length", F.coalesce("common", "low", "a").alias("depth"), F.col("edge.h1").alias("x1"),
         F.col("edge.h2").alias("x2"), F.col("edge.top").alias("x_top"), F.col("edge.extent").alias("x_extent"),
         F.col("edge.rep").alias("x_rep"))
 
 
 def insert_batch(located: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trie with one conversation of each place, and the conversations that still wait."""
-    splits = (_at(located.where("depth < x_extent").withColumnRenamed("depth", "p"), prefixes, "conv", "p", {"h1": "h1", "h2": "h2"})
+    """The trie with one conversation of each place, and the conversations that still wait.  Both are written."""
+    few = located.count() <= FEW
+    hashes = {"h1": "h1", "h2": "h2"}
+    inside = located.where("depth < x_extent")
+    splits = (_at(inside.withColumnRenamed("depth", "p"), prefixes, "conv", "p", hashes, few)
               .groupBy("x1", "x2", F.col("p").alias("extent")).agg(
                   F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("x_top").alias("x_top"), F.min("conv").alias("rep")))
-    bottoms = located.where("depth < x_extent").select(
-        "x1", "x2", F.col("x_extent").alias("extent"), F.col("x1").alias("h1"), F.col("x2").alias("h2"), "x_top",
-        F.col("x_rep").alias("rep")).distinct()
+    bottoms = inside.select("x1", "x2", F.col("x_extent").alias("extent"), F.col("x1").alias("h1"), F.col("x2").alias("h2"),
+                            "x_top", F.col("x_rep").alias("rep")).distinct()
     points = splits.unionByName(bottoms)
     parts = points.select(*_KEY, "extent", F.coalesce(F.lag("extent").over(
         Window.partitionBy("x1", "x2").orderBy("extent")), F.col("x_top")).alias("top"), "rep")
-    waiting = _at(located.where("depth < length").withColumn("p", F.col("depth") + 1), prefixes, "conv", "p", {"h1": "k1", "h2": "k2"})
-    chosen = waiting.groupBy("k1", "k2").agg(F.min_by(F.struct("conv", "length", "depth"), F.struct(F.xxhash64("conv"), "conv")).alias("x"))
-    leaves = _at(chosen.select(F.col("x.conv").alias("conv"), F.col("x.length").alias("p"), F.col("x.depth").alias("top")),
-                 prefixes, "conv", "p", {"h1": "h1", "h2": "h2"}).select(
+    waiting = _at(located.where("depth < length").withColumn("p", F.col("depth") + 1), prefixes, "conv", "p", {"h1": "k1", "h2": "k2"}, few)
+    chosen = materialise(waiting.groupBy("k1", "k2").agg(
+        F.min_by(F.struct("conv", "length", "depth"), F.struct(F.xxhash64("conv"), "conv")).alias("x")).select("x.*"), "trie-chosen")
+    leaves = _at(chosen.select("conv", F.col("length").alias("p"), F.col("depth").alias("top")), prefixes, "conv", "p", hashes, few).select(
         *_KEY, F.col("p").alias("extent"), "top", F.col("conv").alias("rep"))
-    fresh = with_handles(parts.unionByName(leaves), prefixes)
-    kept = nodes.join(bottoms.select("h1", "h2"), _KEY, "left_anti")
-    pending = waiting.join(chosen.select(F.col("x.conv").alias("conv")), "conv", "left_anti").select("conv", "length")
-    return kept.unionByName(fresh), pending
+    fresh = with_handles(parts.unionByName(leaves), prefixes, few)
+    kept = nodes.join(_few(bottoms.select("h1", "h2"), few), _KEY, "left_anti")
+    pending = located.where("depth < length").join(_few(chosen.select("conv"), few), "conv", "left_anti").select("conv", "length")
+    return materialise(kept.unionByName(fresh), "trie-nodes"), materialise(pending, "trie-pending")
 
 
 def build_trie(prefixes: DataFrame, convs: DataFrame) -> DataFrame:
@@ -181,13 +195,11 @@ def build_trie(prefixes: DataFrame, convs: DataFrame) -> DataFrame:
     spark = prefixes.sparkSession
     nodes = spark.createDataFrame([], "h1 long, h2 long, extent long, top long, rep long, handle long, g1 long, g2 long, c1 long, c2 long")
     pending = convs.where("length > 0")
-    while True:
+    while not pending.isEmpty():
         located = materialise(locate(pending, prefixes, nodes), "trie-located")
-        grown, rest = insert_batch(located, prefixes, nodes)
-        nodes, pending = materialise(grown, "trie-nodes"), materialise(rest, "trie-pending")
+        nodes, pending = insert_batch(located, prefixes, nodes)
         discard(located)
-        if pending.isEmpty():
-            return nodes
+    return nodes
 
 
 def end_digests(ends: DataFrame) -> DataFrame:
@@ -220,13 +232,14 @@ def subtree_sums(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``n``, ``n_leaves``, ``ended``, ``edge_bytes`` summed and ``least`` minimised over subtrees.
     ``u1``, ``u2`` point to the parent; after k rounds they point 2^k nodes up."""
     sums = ["n", "n_leaves", "ended", "edge_bytes"]
+    few = nodes.count() <= FEW
     while not nodes.where("u1 is not null").isEmpty():
         gifts = (nodes.where("u1 is not null").groupBy(F.col("u1").alias("h1"), F.col("u2").alias("h2"))
                  .agg(*[F.sum(c).alias(f"g_{c}") for c in sums], F.min("least").alias("g_least")))
         up = nodes.select(F.col("h1").alias("u1"), F.col("h2").alias("u2"), F.col("u1").alias("v1"), F.col("u2").alias("v2"))
         rest = [c for c in nodes.columns if c not in (*sums, *_KEY, "least", "u1", "u2")]
         old = nodes
-        nodes = materialise(nodes.join(up, ["u1", "u2"], "left").join(gifts, _KEY, "left").select(
+        nodes = materialise(nodes.join(_few(up, few), ["u1", "u2"], "left").join(_few(gifts, few), _KEY, "left").select(
             *_KEY, F.col("v1").alias("u1"), F.col("v2").alias("u2"), *rest,
             *[(F.col(c) + F.coalesce(f"g_{c}", F.lit(0))).alias(c) for c in sums],
             F.least("least", "g_least").alias("least")), "trie-sums")
@@ -245,18 +258,20 @@ def conversation_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     prefixes = materialise(prefix_hashes(turns, convs), "trie-prefixes")
     lengths = materialise(prefixes.groupBy("conv").agg(F.max("p").alias("length")), "trie-lengths")
     nodes = build_trie(prefixes, lengths)
+    few, few_ends = nodes.count() <= FEW, lengths.count() <= FEW
     zero = F.lit(0).cast("long")
-    edges = _at(nodes.select(*_KEY, "extent", "top", "rep"), prefixes, "rep", "top", {"h1": "u1", "h2": "u2", "cum": "cum_top"})
-    edges = _at(edges, prefixes, "rep", "extent", {"cum": "cum"})
+    edges = _at(nodes.select(*_KEY, "extent", "top", "rep"), prefixes, "rep", "top", {"h1": "u1", "h2": "u2", "cum": "cum_top"}, few)
+    edges = _at(edges, prefixes, "rep", "extent", {"cum": "cum"}, few)
     null = F.lit(None).cast("long")
     root = lengths.groupBy().agg(F.min("conv").alias("rep")).where("rep is not null").select(
         zero.alias("h1"), zero.alias("h2"), null.alias("u1"), null.alias("u2"), zero.alias("extent"), F.lit(-1).cast("long").alias("top"),
         "rep", zero.alias("cum_top"), zero.alias("cum"))
-    edges = edges.unionByName(root)
-    ends = _at(lengths.withColumnRenamed("length", "p"), prefixes, "conv", "p", {"h1": "h1", "h2": "h2", "cum": "cum"})
+    edges = materialise(edges.unionByName(root), "trie-edges")
+    ends = _at(lengths.withColumnRenamed("length", "p"), prefixes, "conv", "p", {"h1": "h1", "h2": "h2", "cum": "cum"}, few_ends)
     ends = materialise(ends, "trie-ends")
-    here = ends.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("cum").alias("ended"), F.min("conv").alias("least"))
-    children = edges.where("u1 is not null").groupBy(F.col("u1").alias("h1"), F.col("u2").alias("h2")).agg(F.count("*").alias("n_children"))
+    here = _few(ends.groupBy(*_KEY).agg(F.count("*").alias("n"), F.sum("cum").alias("ended"), F.min("conv").alias("least")), few)
+    children = _few(edges.where("u1 is not null").groupBy(F.col("u1").alias("h1"), F.col("u2").alias("h2"))
+                    .agg(F.count("*").alias("n_children")), few)
     start = materialise(edges.join(here, _KEY, "left").join(children, _KEY, "left").select(
         *_KEY, "u1", "u2", "extent", "top", "rep", "cum", F.col("u1").alias("parent1"), F.col("u2").alias("parent2"),
         (F.col("cum") - F.col("cum_top")).alias("own_bytes"), (F.col("cum") - F.col("cum_top")).alias("edge_bytes"),
@@ -265,7 +280,7 @@ def conversation_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("n_leaves")), "trie-sums")
     summed = subtree_sums(start)
     above = summed.select(F.col("h1").alias("parent1"), F.col("h2").alias("parent2"), F.col("least").alias("parent_least"))
-    summed = summed.join(above, ["parent1", "parent2"], "left").join(end_digests(ends), _KEY, "left")
+    summed = summed.join(_few(above, few), ["parent1", "parent2"], "left").join(_few(end_digests(ends), few), _KEY, "left")
     depths = summed.withColumn("p", F.explode(F.sequence(F.col("top") + 1, F.col("extent"))))
     depths = _at(depths, prefixes, "rep", "p", {"bytes": "last_bytes", "cum": "cum_p"})
     above = F.col("cum_p") - F.col("last_bytes")   # bytes of the prefix before this one
