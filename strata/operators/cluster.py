@@ -7,20 +7,11 @@ the mean squared distance from a point to every member of a cluster is
 the k cluster summaries (a bounded struct array read once as a scalar) and
 never a pair of points.
 
-DBSCAN works on a grid of cells with side ``eps/sqrt(2)``: points of one
-cell are mutual neighbours (the cell diameter is eps), so a cell with at
-least ``min_samples`` points is core without any distance computation and
-is linked as a star (m edges, not m²).  Only points of *different* nearby
-cells are compared (equi-join on explicit neighbour-cell keys).  Clusters
-are connected components of the core graph by iterative min-label
-propagation with reliable checkpoints; border points take the smallest
-neighbouring core cluster id; the rest is noise (-1).
+DBSCAN itself is in ``density``.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -29,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.numeric import round_half_up
+from strata.operators.density import density_clusters
+from strata.operators.sampling import rank_within
 from strata.session import cut_lineage
 
 
@@ -115,121 +108,29 @@ def silhouette_select(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = ra
 
 # ------------------------------------------------------------------ DBSCAN
 
-_NEIGHBOUR_OFFSETS = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)
-                      if (dx, dy) != (0, 0) and not (abs(dx) == 2 and abs(dy) == 2)]
-
-
 def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int,
            max_iter: int | None = None) -> DataFrame:
-    """DBSCAN on 2-D points; returns ``(key, cluster)`` with -1 for noise.  Labels
-    spread until nothing changes; ``max_iter`` rounds without that are an error.
-    ``min_samples`` counts the point itself (scikit-learn semantics)."""
-    side = eps / math.sqrt(2.0)
-    pts = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"),
-                    F.col(y).cast("double").alias("y"),
-                    F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy"))
-    cell_n = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("cell_n"))
-    pts = pts.join(cell_n, ["cx", "cy"])
-    # neighbours in *other* cells within eps (cells farther than 2 steps cannot hold one)
-    probe = pts.select("id", "x", "y", F.explode(F.array(*[
-        F.struct((F.col("cx") + dx).alias("ncx"), (F.col("cy") + dy).alias("ncy"))
-        for dx, dy in _NEIGHBOUR_OFFSETS])).alias("o")).select("id", "x", "y", "o.ncx", "o.ncy")
-    other = pts.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"),
-                       F.col("cx").alias("ncx"), F.col("cy").alias("ncy"))
-    d2 = (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2
-    cross = probe.join(other, ["ncx", "ncy"]).where(d2 <= eps * eps).select("id", "nid")
-    deg = cross.groupBy("id").agg(F.count(F.lit(1)).alias("n_other"))
-    pts = pts.join(deg, "id", "left").withColumn(
-        "core", (F.col("cell_n") + F.coalesce("n_other", F.lit(0))) >= min_samples)
-    pts = cut_lineage(pts)      # reused below and in every iteration
-    core = pts.where("core").select("id", "cx", "cy")
-    # core graph: star edge to the smallest core id of the same cell (cells have
-    # diameter eps) + cross-cell core-core edges within eps
-    core_min = core.groupBy("cx", "cy").agg(F.min("id").alias("cmin"))
-    core_ids = core.select(F.col("id").alias("nid"))
-    cc_cross = cross.join(core.select("id"), "id").join(core_ids, "nid")
-    star = core.join(core_min, ["cx", "cy"]).where(F.col("id") != F.col("cmin")) \
-        .select("id", F.col("cmin").alias("nid"))
-    edges = cc_cross.unionByName(star)
-    edges = edges.unionByName(edges.select(F.col("nid").alias("id"), F.col("id").alias("nid"))).distinct()
-    edges = cut_lineage(edges)
-    labels = cut_lineage(core.select("id", F.col("id").alias("label")))
-    for turn in itertools.count(1):
-        if max_iter is not None and turn > max_iter:
-            raise RuntimeError(f"labels still change after {max_iter} rounds")
-        nb = edges.join(labels.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid") \
-            .groupBy("id").agg(F.min("nl").alias("nl"))
-        hop = labels.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        # pointer jumping: adopt the label of my label (shortcuts long chains)
-        parent = hop.select(F.col("id").alias("label"), F.col("label").alias("pl"))
-        new = cut_lineage(hop.join(parent, "label", "left")
-                          .select("id", F.least("label", F.coalesce("pl", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id") \
-            .where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    # border points: not core, within eps of a core point (same cell core => cell is not dense,
-    # so same-cell neighbours are checked through the cell minimum's label)
-    core_lab = labels
-    same_cell = pts.where(~F.col("core")).select("id", "cx", "cy").join(
-        pts.where("core").select("cx", "cy", F.col("id").alias("nid")), ["cx", "cy"]).select("id", "nid")
-    nbrs = cross.unionByName(same_cell)
-    border = (pts.where(~F.col("core")).select("id").join(nbrs, "id")
-              .join(core_lab.withColumnRenamed("id", "nid"), "nid")
-              .groupBy("id").agg(F.min("label").alias("label")))
-    assigned = core_lab.unionByName(border)
-    out = pts.select("id").join(assigned, "id", "left") \
-        .select(F.col("id").alias(key), F.coalesce("label", F.lit(-1)).alias("cluster_root"))
-    # renumber clusters 0..m-1 by their smallest member (a table of one row per cluster)
-    from strata.operators.sampling import rank_within
-    roots = out.where(F.col("cluster_root") >= 0).select("cluster_root").distinct() \
-        .withColumn("_g", F.lit(0))
-    roots = rank_within(roots, "_g", "cluster_root", "cluster").drop("_g")
-    return out.join(roots, "cluster_root", "left").select(
-        key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+    """DBSCAN on 2-D points (``density``); returns ``(key, cluster)`` with -1 for noise, which points without
+    coordinates are too.  ``min_samples`` counts the point itself (scikit-learn semantics).  Labels spread until
+    nothing changes; ``max_iter`` rounds without that are an error.  Clusters are numbered by their least core id."""
+    found = cut_lineage(density_clusters(df, x, y, key, [(eps, min_samples)], max_iter))
+    roots = rank_within(found.where("root IS NOT NULL").select("root").distinct().withColumn("_g", F.lit(0)), "_g", "root", "cluster")
+    places = found.join(roots.select("root", "cluster"), "root").select("x", "y", "cluster")
+    rows = df.select(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return rows.join(places, ["x", "y"], "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def dbscan_sweep(df: DataFrame, x: str, y: str, key: str, eps: Sequence[float], min_samples: Sequence[int]) -> DataFrame:
     """Clusters and noise points of DBSCAN for every ``eps`` with every ``min_samples``, as ``dbscan`` finds
-    them: ``(eps, min_samples, n_clusters, n_noise)``.  Pairs are joined once, at the largest ``eps``; the
-    labels of all settings spread together until nothing changes."""
-    most = max(eps)
-    pts = cut_lineage(df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-                                F.floor(F.col(x) / most).alias("cx"), F.floor(F.col(y) / most).alias("cy")))
-    probe = pts.select("id", "x", "y", F.explode(F.array(*[
-        F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
-        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("o")).select("id", "x", "y", "o.cx", "o.cy")
-    other = pts.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy")
-    d2 = (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2
-    pairs = cut_lineage(probe.join(other, ["cx", "cy"]).select("id", "nid", d2.alias("d2"))
-                        .where((F.col("d2") <= most * most) & (F.col("id") != F.col("nid"))))
+    them: ``(eps, min_samples, n_clusters, n_noise)``.  All settings go through the same joins."""
     settings = [(e, m) for e in eps for m in min_samples]
-    near = pairs.groupBy("id").agg(*[F.count_if(F.col("d2") <= e * e).alias(f"n{i}") for i, e in enumerate(eps)])
-    rows = pts.select("id").join(near, "id", "left").select("id", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("s"), (F.coalesce(f"n{s // len(min_samples)}", F.lit(0)) + 1 >= m).alias("core"))
-        for s, (_, m) in enumerate(settings)])).alias("o")).select("o.s", "id", "o.core")
-    core = cut_lineage(rows.where("core").select("s", "id"))
-    reach = pairs.select("id", "nid", F.explode(F.filter(F.array(*[
-        F.when(F.col("d2") <= e * e, F.lit(s)) for s, (e, _) in enumerate(settings)]), lambda v: v.isNotNull())).alias("s"))
-    reach = cut_lineage(reach.join(core.withColumnRenamed("id", "nid"), ["s", "nid"]))  # neighbours that are core
-    edges = cut_lineage(reach.join(core, ["s", "id"]).select("s", "id", "nid"))
-    labels = core.withColumn("label", F.col("id"))
-    while True:
-        nb = (edges.join(labels.select("s", F.col("id").alias("nid"), F.col("label").alias("nl")), ["s", "nid"])
-              .groupBy("s", "id").agg(F.min("nl").alias("nl")))
-        hop = labels.join(nb, ["s", "id"], "left").select("s", "id", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
-        parent = hop.select("s", F.col("id").alias("label"), F.col("label").alias("pl"))
-        new = cut_lineage(hop.join(parent, ["s", "label"], "left").select("s", "id", F.least("label", "pl").alias("label"), "old"))
-        labels = new.select("s", "id", "label")
-        if new.where("label <> old").isEmpty():
-            break
-    clusters = labels.groupBy("s").agg(F.countDistinct("label").alias("c"))
-    noise = (rows.where("NOT core").join(reach.select("s", "id").distinct(), ["s", "id"], "left_anti")
-             .groupBy("s").agg(F.count("*").alias("noise")))
+    found = density_clusters(df, x, y, key, settings)
+    whole = df.select(F.count("*")).scalar()
+    found = found.groupBy("s").agg(F.countDistinct("root").alias("c"), F.sum(F.when(F.col("root").isNotNull(), F.col("w"))).alias("w"))
     every = df.sparkSession.createDataFrame([(s, float(e), m) for s, (e, m) in enumerate(settings)], "s int, eps double, min_samples int")
-    return every.join(clusters, "s", "left").join(noise, "s", "left").select(
-        "eps", "min_samples", F.coalesce("c", F.lit(0)).cast("int").alias("n_clusters"), F.coalesce("noise", F.lit(0)).cast("int").alias("n_noise"))
+    return every.join(found, "s", "left").select(
+        "eps", "min_samples", F.coalesce("c", F.lit(0)).cast("int").alias("n_clusters"),
+        (whole - F.coalesce("w", F.lit(0))).cast("int").alias("n_noise"))
 
 
 def cluster_profile(assigned: DataFrame, cluster: str, label: str, cols: Sequence[str] = (),

@@ -82,15 +82,50 @@ def _points2d(spark, sf):
     return st.points(spark, sf).select("id", "x", "y")
 
 
-@register("dbscan")
+def _dbscan_sql(settings: str, pts: str) -> str:
+    """CTEs of DBSCAN by its definition: ``lab (s, id, root)``, where noise has no root.  ``settings``: rows of s, eps, m;
+    ``pts``: a select of id, x, y."""
+    return f"""setting(s, eps, m) AS (VALUES {settings}), pts AS ({pts}),
+near AS (SELECT s, a.id, b.id AS nid FROM setting, pts a JOIN pts b
+         ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= eps * eps),
+core AS (SELECT s, id FROM near JOIN setting USING (s) GROUP BY s, id HAVING COUNT(*) >= MIN(m)),
+link AS (SELECT near.s, near.id, nid FROM near JOIN core USING (s, id) JOIN core c ON c.s = near.s AND c.id = near.nid),
+reach AS (SELECT s, id AS root, id FROM core
+          UNION SELECT reach.s, root, nid FROM reach JOIN link ON link.s = reach.s AND link.id = reach.id),
+roots AS (SELECT s, id, MIN(root) AS root FROM reach GROUP BY s, id),
+lab AS (SELECT near.s, near.id, CASE WHEN MIN(own.root) IS NULL THEN MIN(roots.root) ELSE MIN(own.root) END AS root
+        FROM near LEFT JOIN roots ON roots.s = near.s AND roots.id = nid LEFT JOIN roots own ON own.s = near.s AND own.id = near.id
+        GROUP BY near.s, near.id)"""
+
+
+_PTS = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings"
+
+
+@register("dbscan", sql=f"""WITH RECURSIVE {_dbscan_sql("(0, 0.05::DOUBLE, 5)", _PTS)},
+number AS (SELECT root, CAST(ROW_NUMBER() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT root FROM lab WHERE root IS NOT NULL))
+SELECT id, COALESCE(cluster, -1) AS cluster FROM lab LEFT JOIN number USING (root)""")
 def q_dbscan(spark, sf):
     return C.dbscan(_points2d(spark, sf), "x", "y", "id", eps=0.05, min_samples=5)
 
 
-@register("dbscan_sweep")
+SWEEP_EPS, SWEEP_SAMPLES = (0.1, 0.2, 0.3, 0.35), (2, 10, 20, 100, 150, 250)
+
+
+def sweep_points(spark, sf):
+    """The points with mean 0 and deviation 1 in each coordinate, rounded: the scale that the sweep's ``eps`` refer to."""
+    return standard_scale(_points2d(spark, sf), ["x", "y"], 9)
+
+
+_SETTINGS = ", ".join(f"({k}, {e}::DOUBLE, {m})" for k, (e, m) in enumerate((e, m) for e in SWEEP_EPS for m in SWEEP_SAMPLES))
+
+
+@register("dbscan_sweep", sql=f"""WITH RECURSIVE raw AS ({_PTS}),
+stat AS (SELECT AVG(x) AS mx, STDDEV_POP(x) AS sx, AVG(y) AS my, STDDEV_POP(y) AS sy FROM raw),
+{_dbscan_sql(_SETTINGS, f"SELECT id, {_r('(x - mx) / sx', 9)} AS x, {_r('(y - my) / sy', 9)} AS y FROM raw, stat")}
+SELECT eps, m AS min_samples, CAST(COUNT(DISTINCT root) AS INTEGER) AS n_clusters, CAST(COUNT(*) - COUNT(root) AS INTEGER) AS n_noise
+FROM lab JOIN setting USING (s) GROUP BY eps, m""")
 def q_dbscan_sweep(spark, sf):
-    return C.dbscan_sweep(_points2d(spark, sf), "x", "y", "id", eps=(0.015, 0.03, 0.045, 0.06),
-                          min_samples=(2, 3, 6, 10, 20, 100))
+    return C.dbscan_sweep(sweep_points(spark, sf), "x", "y", "id", SWEEP_EPS, SWEEP_SAMPLES)
 
 
 # ----------------------------------------------------------------- retrieval

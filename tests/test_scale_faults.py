@@ -1,6 +1,7 @@
 """Cases in which rows were lost or wrong at scale: each must hold for any size."""
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,27 @@ def test_cluster_without_a_shared_folder_is_refused():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(session)
+
+
+def _hot_points():
+    """A crowded cell with repeated points, a second one close by, a ring around, strays and rows without a place."""
+    rnd = random.Random(8)
+    pts = [(rnd.uniform(0.02, 0.06), rnd.uniform(0.02, 0.06)) for _ in range(400)] + [(0.05, 0.05)] * 50
+    pts += [(0.1 + rnd.uniform(0, 0.03), rnd.uniform(0, 0.06)) for _ in range(150)]
+    pts += [(0.04 + 0.105 * math.cos(a), 0.04 + 0.105 * math.sin(a)) for a in (rnd.uniform(0, 6.3) for _ in range(60))]
+    return pts + [(rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for _ in range(150)]
+
+
+@pytest.mark.parametrize("eps,ms", [(0.1, 5), (0.02, 30)])
+def test_dbscan_of_crowded_cells_equals_brute_force(spark, monkeypatch, eps, ms):
+    from strata.operators import density
+    from tests.test_operators import _brute_dbscan
+    monkeypatch.setattr(density, "LEAF", 8)
+    pts = _hot_points()
+    rows = [(i, x, y) for i, (x, y) in enumerate(pts)] + [(10_000, None, 0.0), (10_001, float("nan"), 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan(df, "x", "y", "id", eps, ms).collect()}
+    assert got.pop(10_000) == got.pop(10_001) == -1
+    want = _brute_dbscan(pts, eps, ms)
+    order = {r: k for k, r in enumerate(sorted({r for r in want.values() if r >= 0}))}
+    assert got == {i: order.get(r, -1) for i, r in want.items()}

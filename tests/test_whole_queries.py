@@ -19,8 +19,8 @@ def test_sweep_has_all_settings_and_equals_dbscan(spark):
     got = {(r["eps"], r["min_samples"]): (r["n_clusters"], r["n_noise"])
            for r in catalog.queries()["dbscan_sweep"](spark, SF_SMALL).collect()}
     assert len(got) == 24
-    for eps, ms in ((0.03, 3), (0.06, 6)):
-        lab = C.dbscan(q_cluster._points2d(spark, SF_SMALL), "x", "y", "id", eps=eps, min_samples=ms)
+    for eps, ms in ((0.1, 2), (0.3, 20)):
+        lab = C.dbscan(q_cluster.sweep_points(spark, SF_SMALL), "x", "y", "id", eps=eps, min_samples=ms)
         row = lab.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))), F.count_if(F.col("cluster") < 0)).first()
         assert got[eps, ms] == tuple(row)
 
