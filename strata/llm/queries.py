@@ -154,9 +154,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_word_table")
 def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document through the table of distinct words, and its text back through the pieces."""
-    from strata.llm.word_table import decode_documents, encode_documents
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    found = decode_documents(encode_documents(read_table(spark, sf_dir, "documents"), path), path)
+    from strata.llm.word_table import encode_documents
+    found = encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded_col="decoded")
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

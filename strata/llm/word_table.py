@@ -57,6 +57,7 @@ _BEFORE_WHITE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 #: White space other than one space or newline by itself.
 _UNUSUAL = re.compile(rb" [ \n]|\n[ \n]|[\t\x0b\x0c\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _PLAIN_CUT = re.compile(rb"[!-~] [!-~]")
+_WIDE, _FINE = 240, pa.Codec("zstd", compression_level=6)
 _STOPS = re.compile(rb"(?<=[0-9A-Za-z])[.,;:!?]+\Z")
 #: First byte of the key of a word that doesn't begin with exactly one space or newline; never part of UTF-8.
 _AS_IS = b"\xff"
@@ -110,6 +111,30 @@ def _unpack(value: bytes) -> tuple[np.ndarray, bytes]:
     return np.ascontiguousarray(planes.T).view("<u4").ravel(), raw[4 * n:]
 
 
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Word numbers, small ones in one byte: a byte from ``_WIDE`` on has the number's high bits, and two more follow
+    in a second part.  Numbers too large for that are packed as others."""
+    if len(numbers) and numbers.max() >> 16 >= 256 - _WIDE:
+        return b"w" + _pack(numbers)
+    wide = numbers >= _WIDE
+    heads = np.where(wide, _WIDE + (numbers >> 16), numbers).astype(np.uint8)
+    tails = np.ascontiguousarray((numbers[wide] & 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2).T)
+    raw = heads.tobytes() + tails.tobytes()
+    return b"n" + len(raw).to_bytes(8, "little") + len(heads).to_bytes(8, "little") + _FINE.compress(raw, asbytes=True)
+
+
+def _unpack_numbers(value: bytes) -> np.ndarray:
+    if value[:1] == b"w":
+        return _unpack(value[1:])[0]
+    size, n = int.from_bytes(value[1:9], "little"), int.from_bytes(value[9:17], "little")
+    raw = np.frombuffer(pa.decompress(value[17:], size, "zstd", asbytes=True), np.uint8)
+    numbers = raw[:n].astype(np.uint32)
+    wide = np.flatnonzero(numbers >= _WIDE)
+    tails = np.ascontiguousarray(raw[n:].reshape(2, -1).T).view("<u2").ravel()
+    numbers[wide] = (numbers[wide] - _WIDE << 16) + tails
+    return numbers
+
+
 def _pack_words(keys: list[bytes]) -> bytes:
     return _pack(np.fromiter(map(len, keys), np.uint32, len(keys)), b"".join(keys))
 
@@ -158,7 +183,7 @@ def number_words(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int)
             flat = place[flat]
             return pa.RecordBatch.from_arrays([
                 pa.array([first + made], pa.int64()), pa.array([keys], pa.list_(kind)),
-                pa.array([row_words], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()),
+                pa.array([row_words], pa.list_(pa.int64())), pa.array([_pack_numbers(flat)], pa.binary()),
                 pa.array([_pack_words([words[k] for k in order])], pa.binary()),
                 pa.array([len(words)], pa.int64())], schema.names)
 
@@ -240,10 +265,11 @@ def encode_words(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
     return dealt.mapInArrow(run, "chunk long, steps binary, lengths binary, ids binary")
 
 
-def place_ids(chunks: DataFrame, id_type: T.DataType, id_col: str) -> DataFrame:
-    """Documents with their ids: each word number of a chunk gives way to the word's ids."""
+def place_ids(chunks: DataFrame, id_type: T.DataType, id_col: str, decode_path: str | None, text_col: str) -> DataFrame:
+    """Documents with their ids: each word number of a chunk gives way to the word's ids; with a
+    ``decode_path``, also the text of these ids."""
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+                           T.StructField("ids", T.BinaryType())] + [T.StructField(text_col, T.StringType())] * bool(decode_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +284,7 @@ def place_ids(chunks: DataFrame, id_type: T.DataType, id_col: str) -> DataFrame:
                 flat = np.concatenate([none.astype("<u4"), *[p[2] for p in parts]])
                 length, begin = np.empty_like(size_at), np.empty_like(size_at)   # by word number
                 length[place], begin[place] = size_at, np.cumsum(size_at) - size_at
-                number, _ = _unpack(numbers)
+                number = _unpack_numbers(numbers)
                 at = i = 0
                 while i < len(row_ids):   # documents of about SLICE_BYTES words at a time
                     j, n = i, 0
@@ -273,16 +299,19 @@ def place_ids(chunks: DataFrame, id_type: T.DataType, id_col: str) -> DataFrame:
                     off = np.concatenate([[0], ends * 4]).astype(np.int64)
                     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [
                         None, pa.py_buffer(off), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row_ids[i:j], kind), pa.array(np.diff(off) // 4, pa.int64()), coded], schema.names)
+                    columns = [pa.array(row_ids[i:j], kind), pa.array(np.diff(off) // 4, pa.int64()), coded]
+                    if decode_path:
+                        columns.append(decode_ids(coded, decode_path))
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
                     at, i = at + n, j
 
     return chunks.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-                     chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per document its id, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit).
+                     chunk_bytes: int = CHUNK_BYTES, decoded_col: str | None = None) -> DataFrame:
+    """Per document its id, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit), and in ``decoded_col``, if
+    that is wanted too, the text of the ids as ``decode_documents`` gives it.
 
     ``tokenizer_path``: a byte-level file of the ``tokenizers`` library without a normalizer, there on
     every machine.
@@ -294,7 +323,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     blocks = (encode_words(dealt, tokenizer_path).groupBy("chunk")
               .agg(F.collect_list(F.struct("steps", "lengths", "ids")).alias("blocks")))   # n_buckets entries at most
     placed = chunks.select("chunk", "row_ids", "row_words", "numbers").join(blocks, "chunk", "left")
-    return place_ids(placed, docs.schema[id_col].dataType, id_col)
+    return place_ids(placed, docs.schema[id_col].dataType, id_col, tokenizer_path if decoded_col else None, decoded_col or "")
 
 
 @lru_cache(maxsize=4)
@@ -313,6 +342,18 @@ def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(length) - length, length, np.frombuffer(b"".join(pieces) or b"\0", np.uint8)
 
 
+def decode_ids(ids: pa.Array, path: str) -> pa.Array:
+    """Texts of lists of ids: a join of the ids, by position, with the table of pieces."""
+    begin, length, data = piece_table(path)
+    texts = []
+    for value in ids:
+        one = np.minimum(np.frombuffer(value.as_py() or b"", "<u4"), len(length) - 1)
+        size = length[one]
+        at = np.repeat(begin[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        texts.append(data[at].tobytes().decode("utf-8", "replace"))
+    return pa.array(texts, pa.string())
+
+
 def decode_documents(coded: DataFrame, tokenizer_path: str, *, ids_col: str = "ids",
                      text_col: str = "decoded") -> DataFrame:
     """``coded`` with the text of its ``ids`` (little-endian unsigned 32-bit), special tokens included."""
@@ -320,15 +361,10 @@ def decode_documents(coded: DataFrame, tokenizer_path: str, *, ids_col: str = "i
     keep = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, length, data = piece_table(tokenizer_path)
-        for batch in batches:
-            texts = []
-            for value in batch.column(ids_col):
-                ids = np.minimum(np.frombuffer(value.as_py() or b"", "<u4"), len(length) - 1)
-                size = length[ids]
-                before = np.cumsum(size) - size
-                at = np.repeat(begin[ids] - before, size) + np.arange(size.sum())
-                texts.append(data[at].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep],
+                                                  decode_ids(batch.column(ids_col), tokenizer_path)], schema.names)
 
     return stream_bound(coded, keep).mapInArrow(run, schema)

@@ -51,6 +51,8 @@ def test_round_trip_of_odd_rows(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"], r["decoded"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) for r in found.collect())
     want = sorted((r[0] is None, r[0], r[1] or "", len(whole(r[1])), whole(r[1])) for r in rows)
     assert got == want
+    both = encode_documents(docs, BYTE, chunk_bytes=2000, decoded_col="back")
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["back"]) for r in both.collect()) == [w[:3] for w in want]
     assert encode_documents(docs.where("false"), BYTE).count() == 0
     texts_as_ids = docs.select(F.col("text").alias("doc_id"), "text")
     assert encode_documents(texts_as_ids, BYTE).count() == len(rows)
@@ -74,3 +76,11 @@ def test_query_on_documents(spark):
         ids = whole(r["text"])
         assert got[r["doc_id"]] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
                                     hashlib.sha256(PLAIN.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for top in (1, 239, 240, 241, 70_000, (16 << 16) - 1, 16 << 16, 3_000_000):
+        numbers = np.append(rng.integers(0, top + 1, 500), [0, top]).astype(np.uint32)
+        assert word_table._unpack_numbers(word_table._pack_numbers(numbers)).tolist() == numbers.tolist()
+    assert word_table._unpack_numbers(word_table._pack_numbers(np.empty(0, np.uint32))).tolist() == []
