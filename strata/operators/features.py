@@ -191,7 +191,7 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, key: str, minority=1,
 
     Each synthetic row interpolates a minority row towards one of its k
     nearest minority neighbours with a hash-seeded gap.  Neighbours come from
-    ``retrieve.knn_points`` (blocks of rows against blocks of rows).  Output:
+    ``retrieve.knn_points`` (cells that can hold a neighbour).  Output:
     original rows + synthetic rows with ``synthetic = true``; synthetic count =
     majority - minority.  A row with fewer than k neighbours draws among those it
     has; the only minority row is repeated.

@@ -1,37 +1,74 @@
 """Exact nearest-neighbour search.
 
-``knn_points`` is an exact k-nearest-neighbour join without a cross join and
-without materialising all pairs:
-
-* queries and corpus are cut into hash blocks of at most ``block_rows`` rows;
-* every (query block, corpus block) pair becomes one group (the pairing is an
-  ``explode(sequence(...))`` of block ids + equi-join, so a group holds at
-  most ``2 * block_rows`` rows whatever the skew of the data);
-* inside a group an Arrow-batched pandas function computes the distance
-  block with numpy and emits only the k best corpus rows per query;
-* the global top k per query is taken over those ``k x corpus_blocks``
-  candidates.
+The corpus lies in Voronoi *cells* around pivots, points of the corpus drawn by a hash, at most
+``max_cells``.  Of each cell its radius and its smallest distances from the pivot are known, which
+bounds what it can hold:
+
+* a query's distance to a pivot plus a member's distance to it is an upper bound for a neighbour;
+* the distance to a pivot less the cell's radius, and the distance to the plane between the query's own
+  pivot and another one, are lower bounds for all members of the other cell.
+
+A query first visits the cell of its nearest pivot.  The k-th distance found there, or the upper bound from
+the pivots where that is smaller, is its limit, and then it visits only the other cells whose lower bound is
+within the limit.  So the corpus is shuffled once per visit round, and queries go where a neighbour can
+be; the result is exact.  In many dimensions without clusters the bounds rule out little, and all cells
+are visited.
+
+Cells are visited in groups of at most about ``block_rows`` points and queries (both split by hash), in
+which numpy compares blocks.  Of equal vectors only as many with the smallest ids are kept as a result
+can hold, and equal queries are answered once, so no group of copies is compared with itself.
+
+Cells can be written as an index, partitioned by cell: a search then reads the files of the cells it visits.
 
 Distances are squared Euclidean (what a flat L2 index reports), from exact
 differences.  Ties are broken by corpus id; all ties with the k-th are compared.
+Rows without a vector take no part.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.numeric import round_half_up
+from strata.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 2048
+MAX_CELLS = 4096
+#: Corpus points per cell, as long as there are not too many cells.
+CELL_ROWS = 512
 CHUNK_VALUES = 4_000_000     # coordinates held at a time while a block is compared
+SLACK = 1e-9                 # for rounding in the bounds
+
+
+@dataclass
+class Cells:
+    """Pivots of a corpus and what is known of their cells; as large as ``max_cells`` allows."""
+
+    pivots: np.ndarray    # by cell
+    radius: np.ndarray
+    first: np.ndarray     # smallest distances from the pivot, inf where there are fewer
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        """Distances of vectors to all pivots, from differences."""
+        out = np.empty((len(v), len(self.pivots)))
+        step = max(1, CHUNK_VALUES // max(1, self.pivots.size))
+        for at in range(0, len(v), step):
+            diff = v[at:at + step, None, :] - self.pivots[None, :, :]
+            out[at:at + step] = np.sqrt(np.einsum("qcd,qcd->qc", diff, diff))
+        return out
+
 
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
 
-def _block_topk(k: int, exclude_self: bool):
+
+def _block_topk(k: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[pdf["role"] == 0]
         c = pdf[pdf["role"] == 1]
@@ -39,8 +76,7 @@ def _block_topk(k: int, exclude_self: bool):
                               "dist": pd.Series([], dtype="float64")})
         if q.empty or c.empty:
             return empty
-        Q = np.stack(q["v"].to_numpy()).astype(np.float64)
-        C = np.stack(c["v"].to_numpy()).astype(np.float64)
+        Q, C = _stack(q["v"]), _stack(c["v"])
         qid = q["id"].to_numpy(dtype=np.int64)
         cid = c["id"].to_numpy(dtype=np.int64)
         step = max(1, CHUNK_VALUES // max(1, C.size))
@@ -48,10 +84,8 @@ def _block_topk(k: int, exclude_self: bool):
         for at in range(0, Q.shape[0], step):
             diff = Q[at:at + step, None, :] - C[None, :, :]       # differences, not the dot-product form:
             d2 = np.einsum("qcd,qcd->qc", diff, diff)             # that one cancels far from the origin
-            if exclude_self:
-                d2[qid[at:at + step, None] == cid[None, :]] = np.inf
             kth = np.partition(d2, min(k, C.shape[0]) - 1, axis=1)[:, min(k, C.shape[0]) - 1]
-            rows_q, rows_c = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))    # all ties with the k-th
+            rows_q, rows_c = np.nonzero(d2 <= kth[:, None])       # all ties with the k-th
             found.append(pd.DataFrame({"qid": qid[at + rows_q], "id": cid[rows_c], "dist": d2[rows_q, rows_c]}))
         out = pd.concat(found)
         out = out.sort_values(["qid", "dist", "id"]).groupby("qid", sort=False).head(k)
@@ -59,35 +93,141 @@ def _block_topk(k: int, exclude_self: bool):
     return fn
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v")).where("v IS NOT NULL")
+
+
+def build_cells(corpus: DataFrame, want: int, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Cells]:
+    """``(id, v, cell)`` of the corpus ``(id, v)``, at most ``want`` points of each vector, and the cells."""
+    copies = Window.partitionBy("v").orderBy("id")
+    points = cut_lineage(_vectors(corpus).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= want).drop("_n"))
+    n = min(max_cells, max(1, -(-points.count() // cell_rows)))
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(n).collect()          # at most max_cells vectors
+    pivots = np.unique(np.array([r["v"] for r in drawn], np.float64), axis=0) if drawn else np.empty((0, 0))
+    cells = Cells(pivots, np.zeros(len(pivots)), np.full((len(pivots), want), np.inf))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = cells.distances(_stack(pdf["v"]))
+                pdf["cell"] = d.argmin(axis=1).astype(np.int32)
+                pdf["away"] = d.min(axis=1)
+                yield pdf
+
+    placed = cut_lineage(points.mapInPandas(assign, "id long, v array<double>, cell int, away double"))
+    near = placed.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("away"))).where(F.col("_n") <= want)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("r")).collect():     # one row per cell
+        cells.radius[r["cell"]] = r["r"]
+    for r in near.select("cell", "_n", "away").collect():                         # ``want`` rows per cell
+        cells.first[r["cell"], r["_n"] - 1] = r["away"]
+    return placed.drop("away"), cells
+
+
+def _compare(routes: DataFrame, points: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The ``k`` nearest points of each (query, cell) of ``routes``, by groups of blocks."""
+    routes = cut_lineage(routes)
+    blocks = (routes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("nq"))
+              .join(points.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("nc")), "cell"))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))                           # noqa: E731
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    qs = routes.join(blocks, "cell").select(F.lit(0).alias("role"), "id", "v", "cell", mine("nq").alias("qb"), every("nc").alias("cb"))
+    cs = points.join(blocks, "cell").select(F.lit(1).alias("role"), "id", "v", "cell", every("nq").alias("qb"), mine("nc").alias("cb"))
+    return qs.unionByName(cs).groupBy("cell", "qb", "cb").applyInPandas(_block_topk(k), schema="qid long, id long, dist double")
+
+
+def search_cells(queries: DataFrame, points: DataFrame, cells: Cells, k: int, exclude_self: bool = False,
+                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """The exact ``k`` nearest points of every query ``(id, v)``: ``(qid, id, rank, dist)``, rank from 1."""
+    want = k + exclude_self
+    if want > cells.first.shape[1]:
+        raise ValueError(f"these cells are made for {cells.first.shape[1]} neighbours, not {want}")
+    asked = _vectors(queries)
+    once = cut_lineage(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and len(cells.pivots):
+                d = cells.distances(_stack(pdf["v"]))
+                ends = (d[:, :, None] + cells.first[None, :, :]).reshape(len(d), -1)
+                pdf["cell"] = d.argmin(axis=1).astype(np.int32)
+                pdf["bound"] = np.partition(ends, want - 1, axis=1)[:, want - 1]
+                yield pdf
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        between = cells.distances(cells.pivots)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d, limit, own = cells.distances(_stack(pdf["v"])), pdf["bound"].to_numpy(), pdf["cell"].to_numpy()
+            apart, nearest = between[own], d[np.arange(len(d)), own][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(apart > 0, (d * d - nearest * nearest) / (2 * apart), 0.0)
+            least = np.maximum(d - cells.radius[None, :], plane)
+            open_ = least <= limit[:, None] + SLACK * (1 + d + np.where(np.isfinite(limit), limit, 0)[:, None])
+            open_[np.arange(len(d)), own] = False
+            row, cell = np.nonzero(open_)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+    schema = "id long, v array<double>, cell int"
+    routes = cut_lineage(once.mapInPandas(home, schema + ", bound double"))
+    points_here = points.where(F.col("cell").isin(_visited(routes)))
+    first = cut_lineage(_best(_compare(routes.drop("bound"), points_here, want, block_rows), want))
+    kth = first.where(F.col("rank") == want).select(F.col("qid").alias("id"), F.sqrt("dist").alias("kth"))
+    again = cut_lineage(routes.join(kth, "id", "left").select("id", "v", "cell", F.least("bound", "kth").alias("bound"))
+                        .mapInPandas(others, schema))
+    points_there = points.where(F.col("cell").isin(_visited(again)))
+    second = _compare(again, points_there, want, block_rows)
+    found = _best(first.drop("rank").unionByName(second), want)
+    both = asked.join(once.withColumnRenamed("id", "rep"), "v").select("id", "rep")
+    out = both.select(F.col("id").alias("_q"), F.col("rep").alias("qid")).join(found.drop("rank"), "qid").select(F.col("_q").alias("qid"), "id", "dist")
+    out = _best(out.where("id <> qid") if exclude_self else out, k)
+    return out.select("qid", "id", F.col("rank").cast("int").alias("rank"), "dist")
+
+
+def _visited(routes: DataFrame) -> list[int]:
+    """Cells that are visited: at most as many as there are pivots."""
+    return [r["cell"] for r in routes.select("cell").distinct().collect()]
+
+
 def knn_points(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = False,
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Exact kNN.  ``queries``/``corpus``: ``(id long, v array<double>)``.
+               block_rows: int = DEFAULT_BLOCK_ROWS, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Exact kNN.  ``queries``/``corpus``: ``(id long, v array<double>)``, ids unique.
     Returns ``(qid, id, rank, dist)`` with rank 1..k."""
-    nq = queries.count()
-    nc = corpus.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    vq = F.transform("v", lambda x: x.cast("double"))
-    qs = queries.select(F.lit(0).alias("role"), F.col("id").cast("long").alias("id"), vq.alias("v"),
-                        F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("qb"),
-                        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-    cs = corpus.select(F.lit(1).alias("role"), F.col("id").cast("long").alias("id"), vq.alias("v"),
-                       F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"),
-                       F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int").alias("cb"))
-    both = qs.unionByName(cs)
-    cand = both.groupBy("qb", "cb").applyInPandas(
-        _block_topk(k, exclude_self), schema="qid long, id long, dist double")
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("qid", "id", F.col("rank").cast("int").alias("rank"), "dist"))
+    points, cells = build_cells(corpus, k + exclude_self, max_cells, cell_rows)
+    return search_cells(queries, points, cells, k, exclude_self, block_rows)
 
 
 def vector_index(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """The "index": ``(id, v)`` with double vectors - persist it as Parquet."""
+    """``(id, v)`` with double vectors: what is indexed."""
     return df.select(F.col(id_col).cast("long").alias("id"),
                      F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
 
 
+def write_index(corpus: DataFrame, path: str, most: int = 100, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS) -> None:
+    """Write ``(id, v)`` as an index for searches of up to ``most`` neighbours: points by cell, and the cells."""
+    spark = corpus.sparkSession
+    points, cells = build_cells(corpus, most, max_cells, cell_rows)
+    spread = F.pmod(F.xxhash64("id"), F.lit(16))      # a crowded cell is written by several tasks
+    points.repartition("cell", spread).write.partitionBy("cell").parquet(f"{path}/points")
+    rows = [(k, p.tolist(), float(r), f.tolist()) for k, (p, r, f) in enumerate(zip(cells.pivots, cells.radius, cells.first))]
+    spark.createDataFrame(rows, "cell int, pivot array<double>, radius double, first array<double>").write.parquet(f"{path}/cells")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, Cells]:
+    """Points (partitioned by cell, read when visited) and cells of an index."""
+    rows = sorted(spark.read.parquet(f"{path}/cells").collect(), key=lambda r: r["cell"])     # one row per cell
+    most = len(rows[0]["first"]) if rows else 1
+    cells = Cells(np.array([r["pivot"] for r in rows], np.float64) if rows else np.empty((0, 0)), np.array([r["radius"] for r in rows]),
+                  np.array([r["first"] for r in rows]).reshape(len(rows), most))
+    points = spark.read.schema("id long, v array<double>, cell int").parquet(f"{path}/points")
+    return points, cells
+
+
 def label_centroids(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     """Mean vector per label ``(id=label, v)`` - a query batch derived from the data
     (bounded by the number of labels).  Element-wise mean via ``posexplode``
@@ -99,8 +239,9 @@ def label_centroids(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
         .select("id", F.transform("_s", lambda s: s["m"]).alias("v"))
 
 
-def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    r = knn_points(queries, index, k)
+def vector_topk(queries: DataFrame, index: tuple[DataFrame, Cells], k: int = 5, digits: int = 6) -> DataFrame:
+    """The ``k`` nearest points of an index (as ``read_index`` or ``build_cells`` gives it)."""
+    r = search_cells(queries, *index, k)
     return r.select("qid", "id", "rank", round_half_up("dist", digits).alias("dist"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.functions.numeric import round_half_up
@@ -12,7 +14,7 @@ from strata.operators.features import standard_scale
 from strata.plans import standins as st
 from strata.plans.catalog import register
 from strata.plans.q_aggregates import _r
-from strata.session import cut_lineage
+from strata.session import checkpoint_dir, cut_lineage
 from strata.sources.tables import read_table
 
 DIMS = 64
@@ -134,6 +136,13 @@ def _index(spark, sf):
     return RV.vector_index(read_table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+def _written_index(spark, sf):
+    """The embeddings as an index in the shared folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}"
+    RV.write_index(_index(spark, sf), path, most=10)
+    return RV.read_index(spark, path)
+
+
 _FULL_LONG = """flf AS (SELECT vec_id AS id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
                      generate_subscripts(embedding, 1) AS i FROM embeddings)"""
 _CENTROIDS = """cen AS (SELECT CAST(label AS BIGINT) AS qid, i, AVG(x) AS x FROM flf GROUP BY label, i)"""
@@ -156,7 +165,7 @@ SELECT qid, id, rank, {_r('dist', 6)} AS dist FROM r WHERE rank <= 5""")
 def q_vector_topk(spark, sf):
     e = read_table(spark, sf, "embeddings")
     queries = RV.label_centroids(e, "embedding", "label")
-    return RV.vector_topk(queries, _index(spark, sf), k=5)
+    return RV.vector_topk(queries, _written_index(spark, sf), k=5)
 
 
 @register("topk_neighbors", sql=f"""WITH {_FULL_LONG},
@@ -186,7 +195,7 @@ def q_rag_context(spark, sf):
     """Top-3 vectors per label centroid; the text of a vector is the document
     with the same id (the stand-in chunk store)."""
     e = read_table(spark, sf, "embeddings")
-    hits = RV.knn_points(RV.label_centroids(e, "embedding", "label"), _index(spark, sf), k=3)
+    hits = RV.search_cells(RV.label_centroids(e, "embedding", "label"), *_written_index(spark, sf), k=3)
     texts = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     questions = hits.select("qid").distinct().select(
         "qid", F.concat(F.lit("Which passages describe label "), F.col("qid").cast("string"), F.lit("?"))

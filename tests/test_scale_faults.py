@@ -124,3 +124,34 @@ def test_dbscan_of_crowded_cells_equals_brute_force(spark, monkeypatch, eps, ms)
     want = _brute_dbscan(pts, eps, ms)
     order = {r: k for k, r in enumerate(sorted({r for r in want.values() if r >= 0}))}
     assert got == {i: order.get(r, -1) for i, r in want.items()}
+
+
+def _brute_nearest(points, query, k, skip=None):
+    return sorted((sum((a - b) ** 2 for a, b in zip(v, query)), i) for i, v in points.items() if i != skip)[:k]
+
+
+def test_neighbours_by_cells_equal_brute_force_and_visit_few(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    middles = [[rnd.uniform(-50, 50) for _ in range(3)] for _ in range(12)]
+    points = {i: [m + rnd.gauss(0, 1) for m in middles[i % 12]] for i in range(1200)}
+    points |= {i: [1.0, 1.0, 1.0] for i in range(2000, 2300)}     # copies, a fifth of the rows
+    df = spark.createDataFrame(list(points.items()) + [(9999, None)], "id long, v array<double>")
+    got = {}
+    for r in retrieve.knn_points(df, df, k=4, exclude_self=True, block_rows=100, cell_rows=30).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"], r["dist"]))
+    assert set(got) == set(points)
+    for i in [*range(0, 1200, 40), 2000, 2003, 2299]:
+        want = _brute_nearest(points, points[i], 4, skip=i)
+        assert [x[1] for x in sorted(got[i])] == [x[1] for x in want]
+
+    path = str(tmp_path / "index")
+    retrieve.write_index(df, path, most=5, cell_rows=30)
+    pts, cells = retrieve.read_index(spark, path)
+    asked, real = [], retrieve._visited
+    monkeypatch.setattr(retrieve, "_visited", lambda routes: asked.append(real(routes)) or asked[-1])
+    query = spark.createDataFrame([(1, points[0]), (2, points[12])], "id long, v array<double>")
+    found = retrieve.search_cells(query, pts, cells, 3).orderBy("qid", "rank").collect()
+    assert [r["id"] for r in found] == [x[1] for q in (0, 12) for x in _brute_nearest(points, points[q], 3)]
+    assert len({c for a in asked for c in a}) < len(cells.pivots) / 3
+    with pytest.raises(ValueError):
+        retrieve.search_cells(query, pts, cells, 6)
