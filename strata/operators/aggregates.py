@@ -157,7 +157,8 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None,
              normalize: bool = False, digits: int = 4) -> DataFrame:
     """Counts by ``row`` x ``col`` with the column levels pivoted out (explicit
     ``values`` avoid the extra distinct job); missing cells are 0.  With
-    ``normalize`` each row is divided by its total."""
+    ``normalize`` each row is divided by its total.  A table can't have any number of columns: for
+    more than 10,000 levels ``crosstab_long`` has the same cells as rows."""
     if values is None:   # bounded distinct-value job (pivot needs the levels)
         values = [r[0] for r in df.select(col).distinct().orderBy(col).limit(10_001).collect()]
         if len(values) > 10_000:
@@ -173,6 +174,17 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence | None = None,
                                 for n in names])
 
 
+def crosstab_long(df: DataFrame, row: str, col: str, normalize: bool = False, digits: int = 4) -> DataFrame:
+    """The cells of a crosstab that aren't 0, one row each: ``row``, ``col``, ``count``, and with ``normalize``
+    the ``share`` of its row.  Any number of levels on either side."""
+    cells = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("count"))
+    if not normalize:
+        return cells
+    totals = cells.groupBy(F.col(row).alias("_row")).agg(F.sum("count").alias("_n"))
+    return cells.join(totals, F.col(row).eqNullSafe(F.col("_row"))).select(
+        row, col, "count", round_half_up(F.col("count") / F.col("_n"), digits).alias("share"))
+
+
 def grouped_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("count"))
 

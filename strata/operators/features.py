@@ -51,6 +51,37 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
     return df.select(*out_cols)
 
 
+def level_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column``, ``value``, ``code``: the non-null levels of categorical columns (as text), numbered from 0 in
+    their order within each column.  Any number of levels; none is sorted in one task."""
+    from strata.operators.sampling import rank_within
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols]))
+    found = df.select(values.alias("s")).select("s.*").where(F.col("value").isNotNull()).distinct()
+    return rank_within(found, "column", "value", "code").select("column", "value", "code")
+
+
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], key: str, drop_first: bool = False,
+                   codes: DataFrame | None = None) -> DataFrame:
+    """One-hot encoding for any number of levels: per ``key`` (unique) the ``slots`` that are 1, ascending.
+
+    The slots of a column follow those of the column before, in the order of ``cols``; ``drop_first`` leaves
+    out each column's first level.  Null and unknown levels have no slot.  ``codes``: ``level_codes`` of the
+    training rows (default: of ``df``)."""
+    codes = level_codes(df, cols) if codes is None else codes
+    skip = int(drop_first)
+    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column"))
+    sizes = codes.groupBy("column").agg((F.max("code") + 1 - skip).alias("_size"))      # one row per column
+    w = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    begin = sizes.select("column", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_begin"))
+    slots = codes.where(F.col("code") >= skip).join(F.broadcast(begin), "column").select(
+        "column", "value", (F.col("_begin") + F.col("code") - skip).alias("slot"))
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols]))
+    cells = df.select(_q(key).alias(key), values.alias("s")).select(key, "s.*").join(slots, ["column", "value"])
+    found = cells.groupBy(key).agg(F.array_sort(F.collect_list("slot")).alias("slots"))     # at most one per column
+    return df.select(_q(key).alias(key)).join(found, key, "left").select(
+        key, F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
+
+
 def ml_one_hot_stages(cols: Sequence[str], drop_first: bool = False) -> list:
     """StringIndexer + OneHotEncoder.  ``dropLast`` drops the *last* index, so
     for drop-first semantics the levels are indexed in descending order."""

@@ -9,6 +9,7 @@ ever sorted inside a single task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -96,10 +97,61 @@ def fillna_stat(df: DataFrame, cols: Sequence[str], strategy: str = "mean") -> D
     return out
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """``column``, ``distinct``: the number of different non-null values of every column.  Of each value only 128 bits
+    of hash are shuffled, whatever its type and size (two different values of a column agree in them with a chance of 2^-128)."""
+    cells = F.explode(F.array(*[F.when(_q(c).isNotNull(), F.struct(
+        F.lit(k).alias("c"), F.xxhash64(_q(c)).alias("h1"), F.xxhash64(F.lit(k), _q(c), F.lit(1)).alias("h2")))
+        for k, c in enumerate(df.columns)]))
+    found = df.select(cells.alias("s")).where("s IS NOT NULL").select("s.*").distinct().groupBy("c").agg(F.count("*").alias("distinct"))
+    return found.select(F.get(F.array(*[F.lit(c) for c in df.columns]), F.col("c")).alias("column"), "distinct")
+
+
+def summarize_all(df: DataFrame, digits: int = 6) -> DataFrame:
+    """``SUMMARIZE``: one row for every column of any type.  ``min_value`` and ``max_value`` of numbers (booleans count as
+    0 and 1), ``min_text`` and ``max_text`` of texts, dates and times; nested columns have neither.  Exact ``n_unique``;
+    mean, sample deviation and exact quartiles of numbers; ``count`` of values and ``null_percentage``."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    plain = re.compile(r"(tinyint|smallint|int|bigint|float|double|boolean|decimal.*)$")
+    numbers = [c for c in df.columns if plain.match(kinds[c])]
+    texts = [c for c in df.columns if kinds[c] in ("string", "date", "timestamp", "timestamp_ntz")]
+
+    def text(c: str) -> Column:
+        form = {"date": "yyyy-MM-dd", "timestamp": "yyyy-MM-dd HH:mm:ss", "timestamp_ntz": "yyyy-MM-dd HH:mm:ss"}.get(kinds[c])
+        return F.date_format(_q(c), form) if form else _q(c)
+
+    def of(c: str, k: int, names: list[str], makers: list) -> list[Column]:
+        return [m(c).alias(f"{n}__{k}") for n, m in zip(names, makers)]
+
+    num = lambda c: _q(c).cast("double")      # noqa: E731
+    aggs = []
+    for k, c in enumerate(df.columns):
+        none, empty = F.lit(None).cast("double"), F.lit(None).cast("string")
+        is_num, is_text = c in numbers, c in texts
+        aggs += of(c, k, ["mn", "mx", "avg", "std"], [
+            (lambda c, f=f: f(num(c)) if is_num else F.max(none)) for f in (F.min, F.max, F.avg, F.stddev_samp)])
+        aggs += of(c, k, ["mnt", "mxt"], [(lambda c, f=f: f(text(c)) if is_text else F.max(empty)) for f in (F.min, F.max)])
+        aggs.append(F.count(_q(c)).alias(f"cnt__{k}"))
+    one = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    st = _stack(one, df.columns, ["mn", "mx", "avg", "std", "mnt", "mxt", "cnt"], common=["n"])
+    out = st.join(distinct_counts(df), "column", "left")
+    names = ["q25", "q50", "q75"]
+    if numbers:
+        out = out.join(quantiles(long_form(df, numbers), "value", [0.25, 0.5, 0.75], ["column"], names, few_groups=True), "column", "left")
+    else:
+        out = out.withColumns({n: F.lit(None).cast("double") for n in names})
+    n = F.col("n")
+    kind = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(kinds[c]))])
+    return out.select(
+        "column", kind[F.col("column")].alias("column_type"), F.col("mn").alias("min_value"), F.col("mx").alias("max_value"),
+        F.col("mnt").alias("min_text"), F.col("mxt").alias("max_text"), F.coalesce("distinct", F.lit(0)).cast("long").alias("n_unique"),
+        *[round_half_up(c, digits).alias(c) for c in ("avg", "std", *names)], F.col("cnt").alias("count"),
+        F.when(n > 0, F.floor(F.lit(10000.0) * (n - F.col("cnt")) / n + F.lit(0.5)) / F.lit(100.0)).alias("null_percentage"))
+
+
 def profile_table(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """column, type, total rows, null count, null % (2 digits), distinct count;
-    ordered by null % desc.  Distinct counts are exact (``count(DISTINCT)``
-    per column in the long form: map-side de-dup, then count) or HLL."""
+    ordered by null % desc.  Distinct counts are exact (``distinct_counts``) or HLL."""
     cols = df.columns
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     one = df.agg(F.count(F.lit(1)).alias("n"),
@@ -110,11 +162,7 @@ def profile_table(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     st = _stack(one, cols, fields, common=["n"])
     n = F.col("n")
     if exact_distinct:
-        lf = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("v")) for c in cols])).alias("s")) \
-            .select("s.*").where(F.col("v").isNotNull()).distinct()
-        dc = lf.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-        st = st.join(dc, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+        st = st.join(distinct_counts(df), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
     return (st.select("column", tmap[F.col("column")].alias("column_type"),
                       n.alias("total_rows"), F.col("nulls").alias("null_count"),

@@ -4,15 +4,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from strata.functions.numeric import round_half_up
-from strata.operators.orderstats import prefix_sums, value_count_table
+from strata.operators.orderstats import prefix_sums
 from strata.operators.quality import row_scalar
 
 
@@ -20,16 +21,49 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+_GRAM = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``i``, ``j`` (i <= j) and the sums of each pair of columns over the rows that have both, of values less
+    ``mx``, ``my`` (the columns' means): ``n``, ``sx``, ``sy``, ``sxx``, ``syy``, ``sxy``.
+
+    One pass after the means: a task multiplies blocks of rows with themselves and emits its upper triangle, so
+    any number of columns is one aggregation of (columns squared / 2) rows per task."""
+    wide = df.select(*[_q(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    means = wide.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in wide.columns])
+    at = np.array([0.0 if v is None else v for v in means.first()])       # one row, of the columns' number
+    left, right = np.triu_indices(len(cols))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(left)))
+        for pdf in batches:
+            x = pdf.to_numpy(np.float64, na_value=np.nan) - at
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(np.float64)
+            square = x * x
+            parts = (m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x)
+            total += np.stack([p[left, right] for p in parts])
+        yield pd.DataFrame({"i": left, "j": right, **dict(zip(_GRAM, total))}).astype({"i": "int32", "j": "int32"})
+
+    schema = "i int, j int, " + ", ".join(f"{g} double" for g in _GRAM)
+    found = wide.mapInPandas(sums, schema).groupBy("i", "j").agg(*[F.sum(g).alias(g) for g in _GRAM])
+    mean = F.array(*[F.lit(float(v)) for v in at])
+    return found.withColumns({"mx": F.get(mean, F.col("i")), "my": F.get(mean, F.col("j"))})
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pearson matrix in long form ``(col_a, col_b, corr)``; every pair in one
-    aggregation pass (for very wide inputs use ``pyspark.ml.stat.Correlation``)."""
-    pairs = [(a, b) for a in cols for b in cols]
-    one = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        round_half_up(F.col(f"c{i}"), digits).alias("corr"))
-               for i, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    """Pearson matrix in long form ``(col_a, col_b, corr)`` over the rows that have both, from ``pair_sums``."""
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    # a spread that is rounding only is none
+    flat = (vx <= 1e-14 * F.col("n") * F.col("mx") * F.col("mx")) | (vy <= 1e-14 * F.col("n") * F.col("my") * F.col("my"))
+    one = pair_sums(df, cols).where("n > 0").select("i", "j", F.when(~flat & (vx > 0) & (vy > 0), round_half_up(
+        F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(cov / F.sqrt(vx) / F.sqrt(vy)), digits)).alias("corr"))
+    name = F.array(*[F.lit(c) for c in cols])
+    both = one.select("i", "j", "corr").unionByName(one.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    return both.select(F.get(name, F.col("i")).alias("col_a"), F.get(name, F.col("j")).alias("col_b"), "corr")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, digits: int = 6) -> DataFrame:
@@ -174,22 +208,46 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
                          round_half_up(lo + (F.col("bin") + 1) * width, 6).alias("hi"), "count")
 
 
+def _hermite(n: int) -> list[list[float]]:
+    """Coefficients, by power, of the probabilists' Hermite polynomials up to degree ``n``."""
+    found = [[1.0], [0.0, 1.0]]
+    for k in range(1, n):
+        up, down = [0.0, *found[k]], [*found[k - 1], 0.0, 0.0]
+        found.append([a - k * b for a, b in zip(up, down)])
+    return found[:n + 1]
+
+
+#: Bins per bandwidth and terms of the series: the relative error of a kernel value is below 16^-9 / sqrt(9!) < 3e-14.
+KDE_BINS, KDE_TERMS = 8, 8
+
+
 def kde_curve(df: DataFrame, col: str, grid_points: int = 50, digits: int = 8) -> DataFrame:
     """Gaussian KDE on an even grid over [min, max] with Scott's bandwidth
-    ``h = std * n^(-1/5)`` (sample std).  Exact: the data is first compressed
-    to its value-count table, each distinct value is expanded over the (fixed
-    size) grid, and the kernel sums are partial-aggregated per grid point."""
+    ``h = std * n^(-1/5)`` (sample std).
+
+    One aggregation puts values into bins of h / ``KDE_BINS`` and keeps each bin's moments t^k about its
+    middle (in bandwidths); the kernel sums of a bin are then its Hermite series, exp(-(z - t)^2 / 2) =
+    exp(-z^2 / 2) sum He_k(z) t^k / k!, of which ``KDE_TERMS`` + 1 terms are taken."""
     x = _q(col).cast("double")
     st = row_scalar(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"),
                            F.stddev_samp(x).alias("sd"), F.count(x).alias("n")))
-    lo, hi, sd, n = st["lo"], st["hi"], st["sd"], st["n"].cast("double")
-    h = sd * F.pow(n, F.lit(-0.2))
-    vc = value_count_table(df.select(x.alias("v")), "v")
-    g = F.posexplode(F.array(*[F.lit(i) for i in range(grid_points)])).alias("gi", "_g")
-    expanded = vc.select("v", "cnt", g)
+    lo, hi, n = st["lo"], st["hi"], st["n"].cast("double")
+    h = st["sd"] * F.pow(n, F.lit(-0.2))
+    middle = lo + (F.col("_bin") + 0.5) * h / KDE_BINS
+    binned = df.where(x.isNotNull()).select(x.alias("_v"), F.floor((x - lo) / h * KDE_BINS).alias("_bin"))
+    t = (F.col("_v") - middle) / h
+    bins = binned.groupBy("_bin").agg(*[F.sum(F.pow(t, F.lit(float(k))) if k else F.lit(1.0)).alias(f"_m{k}")
+                                        for k in range(KDE_TERMS + 1)])
+    at = bins.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("gi"))
     gx = lo + (hi - lo) * F.col("gi").cast("double") / F.lit(float(grid_points - 1))
-    z = (gx - F.col("v")) / h
-    dens = expanded.groupBy("gi").agg(F.sum(F.col("cnt") * F.exp(-z * z / 2)).alias("_s"))
+    at = at.withColumn("_z", (gx - middle) / h)
+    terms = F.lit(0.0)
+    for k, coefficients in enumerate(_hermite(KDE_TERMS)):
+        value = F.lit(0.0)
+        for c in reversed(coefficients):
+            value = value * F.col("_z") + F.lit(c)
+        terms = terms + value * F.col(f"_m{k}") / F.lit(float(math.factorial(k)))
+    dens = at.groupBy("gi").agg(F.sum(F.exp(-F.col("_z") * F.col("_z") / 2) * terms).alias("_s"))
     return dens.select(F.col("gi").alias("point"), round_half_up(gx, digits).alias("x"),
                        round_half_up(F.col("_s") / (n * h * F.lit(math.sqrt(2 * math.pi))), digits)
                        .alias("density"))

@@ -114,6 +114,14 @@ def q_crosstab_normalized(spark, sf):
     return agg.crosstab(st.churn(spark, sf), "Contract", "Churn", ["No", "Yes"], normalize=True)
 
 
+@register("crosstab_long", sql=f"""
+WITH c AS (SELECT user_id, event_type, COUNT(*) AS count FROM events GROUP BY user_id, event_type)
+SELECT user_id, event_type, count, {_r('count / SUM(count) OVER (PARTITION BY user_id)', 4)} AS share FROM c""")
+def q_crosstab_long(spark, sf):
+    """Users by event type: as many levels as there are users."""
+    return agg.crosstab_long(read_table(spark, sf, "events"), "user_id", "event_type", normalize=True)
+
+
 @register("grouped_countplot", sql=f"""
 WITH {st.RAIL_SQL}
 SELECT line, type, delay > 15 AS late, COUNT(*) AS count FROM rail GROUP BY 1, 2, 3""")

@@ -33,6 +33,18 @@ def q_one_hot_drop_first(spark, sf):
     return FE.one_hot(c, ["Contract"], drop_first=True)
 
 
+@register("one_hot_sparse", sql="""
+WITH u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS v FROM events WHERE user_id IS NOT NULL),
+t AS (SELECT DISTINCT event_type AS v FROM events WHERE event_type IS NOT NULL),
+codes AS (SELECT 1 AS c, v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS slot FROM u
+          UNION ALL SELECT 2, v, (SELECT COUNT(*) FROM u) + ROW_NUMBER() OVER (ORDER BY v) - 1 FROM t),
+cells AS (SELECT event_id, 1 AS c, CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_id, 2, event_type FROM events)
+SELECT event_id, list(slot ORDER BY slot) AS slots FROM cells JOIN codes USING (c, v) GROUP BY event_id""")
+def q_one_hot_sparse(spark, sf):
+    """User and type of every event as positions in one vector."""
+    return FE.one_hot_sparse(read_table(spark, sf, "events"), ["user_id", "event_type"], "event_id")
+
+
 @register("standard_scale", sql=f"""WITH {st.CHURN_SQL},
 s AS (SELECT AVG(tenure) AS m0, STDDEV_POP(tenure) AS s0, AVG(MonthlyCharges) AS m1,
              STDDEV_POP(MonthlyCharges) AS s1 FROM churn)

@@ -3,6 +3,9 @@ with their DuckDB oracles."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import quality as Q
@@ -11,6 +14,7 @@ from strata.operators import windows as W
 from strata.plans import standins as st
 from strata.plans.catalog import register
 from strata.plans.q_aggregates import _r
+from strata.sources.tables import read_table
 
 
 def _union(parts):
@@ -94,6 +98,37 @@ def q_summarize_table(spark, sf):
     return Q.summarize_table(st.ratios(spark, sf), RATIO_COLS, digits=4)
 
 
+#: Kinds of the columns of the summarised tables: number, text, date, time, list.
+SUMMARISED = {
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double o_orderdate:timestamp_ntz o_orderpriority:string",
+    "events": "event_id:bigint user_id:bigint ts:timestamp_ntz event_type:string value:double props:string",
+    "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint",
+    "embeddings": "vec_id:bigint embedding:array<float> label:int",
+    "conversations": "conv_id:bigint turn:bigint role:string text:string",
+}
+
+
+def _summarize_all_sql(table: str, column: str, kind: str) -> str:
+    number, time = kind in ("bigint", "int", "double"), {"date": "%Y-%m-%d", "timestamp_ntz": "%Y-%m-%d %H:%M:%S"}.get(kind)
+    text = f"strftime({column}, '{time}')" if time else column if kind == "string" else "NULL"
+    value = f"CAST({column} AS DOUBLE)" if number else "NULL"
+
+    def stat(sql: str) -> str:
+        return _r(sql, 4) if number else "CAST(NULL AS DOUBLE)"
+    quartiles = ", ".join(f"{stat(f'quantile_cont({value}, {q})')} AS q{int(100 * q)}" for q in (0.25, 0.5, 0.75))
+    return (f"SELECT '{table}' AS table_name, '{column}' AS column, '{kind}' AS column_type, CAST(MIN({value}) AS DOUBLE) AS min_value, "
+            f"CAST(MAX({value}) AS DOUBLE) AS max_value, CAST(MIN({text}) AS VARCHAR) AS min_text, CAST(MAX({text}) AS VARCHAR) AS max_text, "
+            f"COUNT(DISTINCT {column}) AS n_unique, {stat(f'AVG({value})')} AS avg, {stat(f'STDDEV_SAMP({value})')} AS std, {quartiles}, "
+            f"COUNT({column}) AS count, FLOOR(10000.0::DOUBLE * (COUNT(*) - COUNT({column})) / COUNT(*) + 0.5) / 100.0 AS null_percentage FROM {table}")
+
+
+@register("summarize_all", sql=_union([_summarize_all_sql(t, *c.split(":")) for t, cols in SUMMARISED.items() for c in cols.split()]))
+def q_summarize_all(spark, sf):
+    """Every column of five tables, whatever its type."""
+    parts = [Q.summarize_all(read_table(spark, sf, t), 4).withColumn("table_name", F.lit(t)) for t in SUMMARISED]
+    return reduce(DataFrame.unionByName, parts)
+
+
 CHURN_NUM = ["tenure", "MonthlyCharges", "n_orders"]
 
 

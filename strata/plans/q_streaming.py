@@ -55,11 +55,20 @@ def q_stream_session(spark, sf):
                       F.date_format("session_end", FMT_US).alias("session_end"), "events")
 
 
-@register("stream_dedup")
+@register("stream_dedup", sql="""
+WITH e AS (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < INTERVAL '1 hour'
+                          THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, SUM(opens) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM e)
+SELECT MIN_BY(event_id, (ts, event_id)) AS event_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type,
+       MIN_BY(value, (ts, event_id)) AS value
+FROM s GROUP BY user_id, event_type, sid
+HAVING MAX(ts) + INTERVAL '1 hour' <= (SELECT MAX(ts) FROM events) - INTERVAL '1 hour'""")
 def q_stream_dedup(spark, sf):
-    """First event per (user, type) within the watermark delay."""
+    """First event per (user, type) of those that follow each other within an hour."""
     s = SS.read_stream(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return SS.run_to_table(SS.dedup_within_watermark(s, "ts", ["user_id", "event_type"], "1 hour"), "dedup")
+    out = SS.run_to_table(SS.dedup_within_watermark(s, "ts", ["user_id", "event_type"], "1 hour", "event_id"), "dedup")
+    return out.withColumn("ts", F.date_format("ts", FMT_US))
 
 
 @register("stream_score")

@@ -51,9 +51,17 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes",
 
 
 def dedup_within_watermark(stream: DataFrame, ts: str, keys: list[str],
-                           watermark: str = "1 hour") -> DataFrame:
-    """Drop rows repeating a key within the watermark delay."""
-    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+                           watermark: str = "1 hour", tiebreak: str | None = None) -> DataFrame:
+    """The earliest event of each key, without those that repeat the key within ``watermark`` of the one before.
+
+    A session per key keeps its earliest event (ties: the least ``tiebreak``) and is emitted when the watermark
+    has passed its end, so what stays depends on event times only, not on how events were batched.  Events later
+    than the watermark are dropped, as by every watermark."""
+    first = F.struct(ts, tiebreak) if tiebreak else F.struct(ts)
+    row = F.struct(*[c for c in stream.columns if c not in keys])
+    kept = (stream.withWatermark(ts, watermark).groupBy(F.session_window(ts, watermark).alias("s"), *keys)
+            .agg(F.min_by(row, first).alias("row")))
+    return kept.select(*keys, "row.*").select(*stream.columns)
 
 
 def score_stream(stream: DataFrame, model) -> DataFrame:
