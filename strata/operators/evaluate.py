@@ -159,6 +159,18 @@ def accuracy_scores(df: DataFrame, label: str = "label", prediction: str = "pred
     return both.select(*[round_half_up(c, digits).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+def positive_scores(df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 6) -> DataFrame:
+    """accuracy, and precision, recall and F1 of class 1 (one row; 0 where nothing is predicted or there)."""
+    y, p = F.col(label) == 1, F.col(prediction) == 1
+    one = df.agg(F.count("*").alias("n"), F.count_if(y == p).alias("ok"), F.count_if(y & p).alias("tp"),
+                 F.count_if(y).alias("pos"), F.count_if(p).alias("said"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))      # noqa: E731
+    tp, pos, said = F.col("tp"), F.col("pos"), F.col("said")
+    return one.select(*[round_half_up(c, digits).alias(name) for name, c in (
+        ("accuracy", share(F.col("ok"), F.col("n"))), ("precision", share(tp, said)), ("recall", share(tp, pos)),
+        ("f1", share(2 * tp, pos + said)))])
+
+
 def brier(df: DataFrame, label: str = "label", score: str = "score", digits: int = 8) -> DataFrame:
     d = F.col(score) - F.col(label)
     return df.agg(round_half_up(F.avg(d * d), digits).alias("brier"))

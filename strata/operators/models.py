@@ -113,8 +113,8 @@ def fit_predict(train: DataFrame, test: DataFrame, pipe: Pipeline, keep: Sequenc
 
 
 def metrics_row(pred: DataFrame, label: str = "label") -> DataFrame:
-    """accuracy, weighted P/R/F1 and exact AUC of a prediction table (one row)."""
-    acc = E.accuracy_scores(pred, label, "prediction")
+    """accuracy, precision, recall and F1 of the positive class and exact AUC of a prediction table (one row)."""
+    acc = E.positive_scores(pred, label, "prediction")
     auc = E.roc_auc(pred, label, "score")
     return _side_by_side(acc, auc)
 

@@ -4,7 +4,10 @@ here and by invariants in ``tests/test_models.py``."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import StandardScalerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,11 @@ from strata.functions.numeric import round_half_up
 from strata.operators import models as M
 from strata.operators import retrieve as RV
 from strata.operators import sampling as S
+from strata.operators import serving as SV
+from strata.operators import tree_shap as TS
 from strata.plans import standins as st
 from strata.plans.catalog import register
-from strata.session import cut_lineage
+from strata.session import checkpoint_dir, cut_lineage
 from strata.sources.tables import read_table
 
 NUMERIC = ["tenure", "MonthlyCharges", "n_orders", "TotalCharges"]
@@ -32,8 +37,8 @@ def churn_model_table(spark, sf):
     return cut_lineage(S.stratified_kfold(c, "label", "customerID", 5, 42))
 
 
-def _fit_eval(spark, sf, kind, **params):
-    data = churn_model_table(spark, sf)
+def _fit_eval(spark, sf, kind, data=None, **params):
+    data = churn_model_table(spark, sf) if data is None else data
     train, test = data.where(~F.col("is_test")), data.where("is_test")
     est = M.estimator(kind, n_rows=train.count(), **params)
     pipe = M.build_pipeline(NUMERIC, CATEGORICAL, est, scale=True, impute=True)
@@ -52,7 +57,7 @@ def q_decision_tree(spark, sf):
 
 @register("random_forest")
 def q_random_forest(spark, sf):
-    return _fit_eval(spark, sf, "random_forest", numTrees=20, maxDepth=10)
+    return _fit_eval(spark, sf, "random_forest", numTrees=200, maxDepth=10)
 
 
 @register("gradient_boosting")
@@ -62,7 +67,7 @@ def q_gradient_boosting(spark, sf):
 
 @register("xgboost")
 def q_xgboost(spark, sf):
-    return _fit_eval(spark, sf, "xgboost", maxIter=30, maxDepth=5, stepSize=0.1, subsamplingRate=0.8)
+    return _fit_eval(spark, sf, "xgboost", maxIter=200, maxDepth=5, stepSize=0.1, subsamplingRate=0.8)
 
 
 @register("linear_svm")
@@ -73,7 +78,7 @@ def q_linear_svm(spark, sf):
 @register("mlp")
 def q_mlp(spark, sf):
     # inputs: 4 numeric + 4 dummies (drop-first over 5 segments) = 8
-    return _fit_eval(spark, sf, "mlp", layers=[8, 16, 8, 2], maxIter=50)
+    return _fit_eval(spark, sf, "mlp", layers=[8, 128, 64, 2], maxIter=50)
 
 
 @register("ml_pipeline")
@@ -118,11 +123,11 @@ def q_rank_grid_results(spark, sf):
 
 
 def _comparison(spark, sf):
-    frames = []
+    frames, data = [], churn_model_table(spark, sf)
     for kind, params in [("logistic_regression", {}), ("decision_tree", {"maxDepth": 5}),
                          ("random_forest", {"numTrees": 20, "maxDepth": 8}),
                          ("gradient_boosting", {"maxIter": 20})]:
-        pred = _fit_eval(spark, sf, kind, **params)
+        pred = _fit_eval(spark, sf, kind, data, **params)
         frames.append(M.metrics_row(pred).select(F.lit(kind).alias("model"), "*"))
     out = frames[0]
     for f in frames[1:]:
@@ -137,7 +142,7 @@ def q_model_comparison(spark, sf):
 
 @register("argmax_model")
 def q_argmax_model(spark, sf):
-    """Best model by recall, ties to the first listed (``idxmax``)."""
+    """Best model by recall of the positive class, ties to the first listed (``idxmax``)."""
     order = {"logistic_regression": 0, "decision_tree": 1, "random_forest": 2, "gradient_boosting": 3}
     cmp = _comparison(spark, sf)
     pos = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
@@ -157,27 +162,31 @@ def q_feature_importance(spark, sf):
 
 
 def _linear_model(spark, sf):
+    """Rows with the assembled features of the linear churn model in ``NUMERIC`` and one column per dummy, its coefficients
+    and the statistics of its scaler."""
     data = churn_model_table(spark, sf)
-    train = data.where(~F.col("is_test")).na.fill(0.0, subset=["TotalCharges"])
+    train = data.where(~F.col("is_test"))
     est = M.estimator("logistic_regression", n_rows=train.count())
-    pipe = M.build_pipeline(NUMERIC, [], est, scale=True, impute=False)
-    model = pipe.fit(train)
+    model = M.build_pipeline(NUMERIC, CATEGORICAL, est, scale=True, impute=True).fit(train)
     scaler = next(stage for stage in model.stages if isinstance(stage, StandardScalerModel))
-    return (data.na.fill(0.0, subset=["TotalCharges"]), list(model.stages[-1].coefficients),
-            {"mean": list(scaler.mean), "std": list(scaler.std)})
+    slots = feature_slots(model)
+    names = [n if n in NUMERIC else f"{n}_{k}" for k, n in enumerate(slots)]
+    x = vector_to_array("_assembled")
+    rows = model.transform(data).select("customerID", "is_test", *[x[k].alias(n) for k, n in enumerate(names)])
+    return rows, names, list(model.stages[-1].coefficients), {"mean": list(scaler.mean), "std": list(scaler.std)}
 
 
 @register("explain")
 def q_explain(spark, sf):
-    """Top signed contributions per test row of the linear churn model."""
-    data, coefs, scaler = _linear_model(spark, sf)
-    return M.linear_contributions(data.where("is_test"), NUMERIC, coefs, "customerID", top=10, **scaler)
+    """Top signed contributions per test row of the linear churn model, with the dummies of its categories."""
+    rows, names, coefs, scaler = _linear_model(spark, sf)
+    return M.linear_contributions(rows.where("is_test"), names, coefs, "customerID", top=10, **scaler)
 
 
 @register("shap_summary")
 def q_shap_summary(spark, sf):
-    data, coefs, scaler = _linear_model(spark, sf)
-    contrib = M.linear_contributions(data, NUMERIC, coefs, "customerID", top=len(NUMERIC), **scaler)
+    rows, names, coefs, scaler = _linear_model(spark, sf)
+    contrib = M.linear_contributions(rows, names, coefs, "customerID", top=len(names), **scaler)
     return M.mean_abs_contribution(contrib)
 
 
@@ -211,20 +220,60 @@ def q_knn_classifier(spark, sf):
     return RV.knn_classify(train, test, k=7)
 
 
+SERVED = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1}
+
+
+def served_model(spark, sf, folds=0):
+    """The model that is served, with class weights and all features, and its metadata."""
+    data = churn_model_table(spark, sf)
+    return (data, *SV.train_served(data, NUMERIC, CATEGORICAL, "xgboost", SERVED, folds))
+
+
 @register("batch_score_model")
 def q_batch_score_model(spark, sf):
-    """Score every customer with the fitted churn pipeline, tier and summarise."""
+    """Score every customer with the served model at its learnt threshold, tier and summarise."""
     from strata.operators import evaluate as E
-    data = churn_model_table(spark, sf)
-    train = data.where(~F.col("is_test"))
-    est = M.estimator("logistic_regression", n_rows=train.count())
-    model = M.build_pipeline(NUMERIC, CATEGORICAL, est, impute=True).fit(train)
-    scored = M.positive_probability(model.transform(data))
-    return E.batch_summary(E.batch_score(scored, 0.3, "score", keep=("customerID",)))
+    data, model, meta = served_model(spark, sf)
+    return E.batch_summary(SV.serve(model, meta, data, ["customerID"]))
+
+
+@register("train_served")
+def q_train_served(spark, sf):
+    """What training stores besides the model: ``(name, value)``, nested names joined by dots."""
+    _, _, meta = served_model(spark, sf, folds=5)
+
+    def flat(d, prefix=""):
+        for k, v in d.items():
+            yield from flat(v, f"{prefix}{k}.") if isinstance(v, dict) else [(prefix + k, str(v))]
+    return spark.createDataFrame([r for r in flat(meta) if r[0] != "trained_at"], "name string, value string")
+
+
+@register("prepare_training", sql=f"""WITH {st.CHURN_SQL}
+SELECT CAST(tenure AS DOUBLE) AS tenure, CAST(MonthlyCharges AS DOUBLE) AS MonthlyCharges, CAST(n_orders AS DOUBLE) AS n_orders,
+       CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label,
+       {", ".join(f"CASE WHEN Contract = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"Contract_{v}\"" for v in
+                  ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))} FROM churn""")
+def q_prepare_training(spark, sf):
+    c = st.churn(spark, sf).select("customerID", "Contract", "tenure", "MonthlyCharges", "n_orders", "Churn")
+    return SV.prepare_training(c, "Churn", "Yes", drop=["customerID"])
+
+
+def feature_slots(model):
+    """Feature of every slot of the assembled vector: the numbers, then a column's dummies under its own name."""
+    sizes = [s for stage in model.stages if hasattr(stage, "categorySizes") for s in stage.categorySizes]
+    return NUMERIC + [c for c, n in zip(CATEGORICAL, sizes) for _ in range(n - 1)]
 
 
 @register("explain_tree")
 def q_explain_tree(spark, sf):
+    """Exact contributions of every feature to the served model's margin, for every test customer."""
+    data, model, _ = served_model(spark, sf)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    return TS.tree_contributions(model, data.where("is_test"), feature_slots(model), "customerID", folder)
+
+
+@register("explain_tree_sampled")
+def q_explain_tree_sampled(spark, sf):
     """Sampled Shapley contributions of the gradient-boosted churn model for
     every test customer (top drivers per row)."""
     data = churn_model_table(spark, sf).na.fill(0.0, subset=["TotalCharges"])

@@ -100,15 +100,9 @@ def q_write_read_model(spark, sf):
     """Fit the churn pipeline, persist it with JSON metadata in the shared
     folder, load both back and score every customer with the loaded model."""
     from strata.operators import models as M
-    from strata.plans.q_models import CATEGORICAL, NUMERIC, churn_model_table
-    data = churn_model_table(spark, sf)
-    train = data.where(~F.col("is_test"))
-    model = M.build_pipeline(NUMERIC, CATEGORICAL, M.estimator("logistic_regression", n_rows=train.count()),
-                             impute=True).fit(train)
+    from strata.operators import serving as SV
+    from strata.plans.q_models import served_model
+    data, model, meta = served_model(spark, sf)
     path = _scratch(spark, "model")
-    M.save_model(model, path, {"model_type": "LogisticRegression", "feature_names": NUMERIC + CATEGORICAL,
-                               "optimal_threshold": 0.3}, spark)
-    loaded, meta = M.load_model(path, spark)
-    scored = M.positive_probability(loaded.transform(data))
-    return scored.select("customerID", "score", (F.col("score") >= F.lit(meta["optimal_threshold"]))
-                         .alias("prediction"))
+    M.save_model(model, path, meta, spark)
+    return SV.serve(*M.load_model(path, spark), data, ["customerID"])

@@ -82,3 +82,55 @@ def test_sampled_shapley_efficiency(spark):
     fb = M.positive_probability(model.transform(b)).first()["score"]
     for i in list(fx)[:30]:
         assert abs(total[i] - (fx[i] - fb)) < 1e-9
+
+
+def _subset_value(leaf, row, known):
+    """Mean of a leaf's value over a tree, with only the features ``known``."""
+    out = leaf.value
+    for f, low, high, allowed, share in leaf.path:
+        inside = low < row[f] <= high and (allowed is None or row[f] in allowed)
+        out *= float(inside) if f in known else share
+    return out
+
+
+def test_tree_contributions_equal_all_subsets_and_add_up(spark, tmp_path):
+    from itertools import combinations
+    from math import factorial
+
+    from strata.operators import tree_shap as T
+    df = _data(spark, 300)
+    est = M.estimator("xgboost", maxIter=6, maxDepth=3)
+    names = ["f0", "f1", "f2", "f3", "cat"]
+    model = M.build_pipeline(names[:4], ["cat"], est, scale=True).fit(df)
+    table = T.leaves(spark, model.stages[-1], str(tmp_path / "trees"))
+    scored = model.transform(df)
+    from pyspark.ml.functions import vector_to_array
+    rows = scored.select(vector_to_array(model.stages[-1].getFeaturesCol()).alias("x"), vector_to_array("rawPrediction")[1].alias("m")).limit(20).collect()
+    x, d = np.array([r["x"] for r in rows]), len(names)
+    got = T.contributions(x, table)
+    # rawPrediction is the margin of both classes, -m and m
+    assert np.allclose(got.sum(axis=1) + T.base_value(table), [r["m"] for r in rows], atol=1e-9)
+    for row, mine in zip(x[:5], got[:5]):
+        for i in range(d):
+            rest, want = [j for j in range(d) if j != i], 0.0
+            for k in range(d):
+                for s in combinations(rest, k):
+                    gain = sum(_subset_value(leaf, row, {*s, i}) - _subset_value(leaf, row, set(s)) for leaf in table)
+                    want += factorial(k) * factorial(d - 1 - k) / factorial(d) * gain
+            assert abs(want - mine[i]) < 1e-9
+    out = T.tree_contributions(model, df, names, "id", str(tmp_path / "again"), top=5, digits=9)
+    assert out.count() == 300 * 5
+
+
+def test_served_model_keeps_its_threshold_and_metrics(spark):
+    from strata.operators import serving as SV
+    data = _data(spark, 300)
+    model, meta = SV.train_served(data, ["f0", "f1", "f2", "f3"], ["cat"], "logistic_regression", folds=5)
+    assert 0 <= meta["optimal_threshold"] <= 1 and set(meta["cv_metrics"]) == {"accuracy", "precision", "recall", "f1", "auc"}
+    assert meta["train_size"] + meta["test_size"] == 300 and set(meta["cost_detail"]) >= {"total_cost", "false_negatives", "false_positives"}
+    served = SV.serve(model, meta, data, ["id"])
+    assert served.select("threshold_used").distinct().first()[0] == round(meta["optimal_threshold"], 4)
+    held = M.positive_probability(model.transform(data.where("is_test")))
+    tp, said, pos = held.agg(F.count_if((F.col("score") >= meta["optimal_threshold"]) & (F.col("label") == 1)),
+                             F.count_if(F.col("score") >= meta["optimal_threshold"]), F.count_if(F.col("label") == 1)).first()
+    assert abs(meta["holdout_metrics"]["recall"] - tp / pos) < 1e-6 and abs(meta["holdout_metrics"]["precision"] - tp / said) < 1e-6
