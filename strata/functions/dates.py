@@ -44,3 +44,8 @@ def weekday_mon0(x) -> Column:
 def day_label(x) -> Column:
     """Short label from a Monday-first day index."""
     return F.element_at(F.array(*[F.lit(d) for d in DAY_LABELS]), _c(x) + 1)
+
+
+def stamped(df, name: str = "generated_at"):
+    """``df`` with the query's own time as ISO text in UTC, the same on every row."""
+    return df.withColumn(name, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

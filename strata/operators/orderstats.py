@@ -77,12 +77,13 @@ def join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str
 
 
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                sum_cols: Sequence[str], descending: bool = False) -> DataFrame:
+                sum_cols: Sequence[str], descending: bool = False, number: Column | None = None) -> DataFrame:
     """Inclusive running totals ``cum_<c>`` of ``sum_cols`` within each group, ordered by ``order_col``
-    (unique within a group; a null comes first, or last if ``descending``)."""
+    (unique within a group; a null comes first, or last if ``descending``), and ``all_<c>`` of the whole group.
+    ``number``: a double that never falls where ``order_col`` rises, where the caller knows one."""
     group_cols = list(group_cols)
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    number = as_number(df, F.col(order_col), df.schema[order_col].dataType)
+    number = as_number(df, F.col(order_col), df.schema[order_col].dataType) if number is None else number
     cut = df.withColumn("_lead", digit(number, LEADING_BITS)).withColumn("_digit", digit(number, LONGER_BITS))
 
     def running(partition, order, cols, prefix, end):
@@ -94,12 +95,14 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order_col: str,
     totals = [f"_tot{k}" for k in range(len(sum_cols))]
     longer = cut.groupBy(*keys, "_digit").agg(*[F.sum(c).alias(t) for c, t in zip(sum_cols, totals)])
     leading = longer.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in totals])
-    leading = leading.select(*keys, *running(group_cols, turn("_lead"), totals, "_far", -1))
+    leading = leading.select(*keys, *running(group_cols, turn("_lead"), totals, "_far", -1), *[
+        F.sum(t).over(Window.partitionBy(*group_cols)).alias(f"_all{k}") for k, t in enumerate(totals)])
     longer = longer.select(*keys, "_digit", *running(keys, turn("_digit"), totals, "_near", -1))
     offsets = join_groups(longer, leading, keys).drop("_lead")
     joined = join_groups(local, offsets, [*group_cols, "_digit"])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[
-        (F.col(f"_far{k}") + F.col(f"_near{k}") + F.col(f"_loc{k}")).alias(f"cum_{c}") for k, c in enumerate(sum_cols)])
+        x for k, c in enumerate(sum_cols) for x in (
+            (F.col(f"_far{k}") + F.col(f"_near{k}") + F.col(f"_loc{k}")).alias(f"cum_{c}"), F.col(f"_all{k}").alias(f"all_{c}"))])
 
 
 def value_count_table(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),

@@ -68,31 +68,30 @@ def count_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
-def rank_within(df: DataFrame, group_col: str, order_col: Column | str,
-                name: str = "_rank") -> DataFrame:
-    """0-based rank of each row inside its group by a unique order column,
-    via two-phase prefix sums (no group is sorted in a single task)."""
+def rank_within(df: DataFrame, group_col: str, order_col: Column | str, name: str = "_rank",
+                number: Column | None = None, size_name: str | None = None) -> DataFrame:
+    """0-based rank of each row inside its group by a unique order column, and the group's size in ``size_name``,
+    via ``prefix_sums`` (no group is sorted in a single task).  ``number``: see there."""
     tmp = df.withColumn("_ord", order_col if isinstance(order_col, Column) else F.col(order_col)) \
             .withColumn("_one", F.lit(1))
-    ranked = prefix_sums(tmp, [group_col], "_ord", ["_one"])
-    return ranked.withColumn(name, F.col("cum__one") - 1).drop("_ord", "_one", "cum__one")
+    ranked = prefix_sums(tmp, [group_col], "_ord", ["_one"], number=number)
+    out = ranked.withColumn(name, F.col("cum__one") - 1)
+    return (out.withColumn(size_name, F.col("all__one")) if size_name else out).drop("_ord", "_one", "cum__one", "all__one")
 
 
-def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_class"))
+def _drawn(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Rows with ``_rank`` in hash order within their class and its size ``_n_class``."""
+    draw = hash_draw(key, seed)
+    uniform = F.conv(F.substring(draw, 1, 12), 16, 10).cast("double")     # hex digits sort as the number they are
+    return rank_within(df, label, F.concat(draw, F.col(key).cast("string")), number=uniform, size_name="_n_class")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Exact stratified split: in every class the ``round(frac * n_c)`` rows
     with the smallest hash draw form the test set.  Adds ``is_test``."""
-    ranked = rank_within(df, label, F.concat(hash_draw(key, seed), F.col(key).cast("string")))
-    # one row per class; no hint: AQE broadcasts it from its *measured* size
-    # (a count-based proof would recompute the whole input)
-    sizes = class_sizes(df, label)
     n_test = F.floor(F.col("_n_class").cast("double") * F.lit(test_fraction) + F.lit(0.5))
-    return (ranked.join(sizes, label)
-            .withColumn("is_test", F.col("_rank") < n_test)
+    return (_drawn(df, label, key, seed).withColumn("is_test", F.col("_rank") < n_test)
             .drop("_rank", "_n_class"))
 
 
@@ -104,12 +103,9 @@ def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     ``shuffle=False``: contiguous blocks in key order (the unshuffled
     stratified k-fold)."""
     if shuffle:
-        ranked = rank_within(df, label, F.concat(hash_draw(key, seed), F.col(key).cast("string")))
-        return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
-    ranked = rank_within(df, label, F.col(key))
-    sizes = class_sizes(df, label)
-    return (ranked.join(sizes, label)
-            .withColumn("fold", F.floor(F.col("_rank") * k / F.col("_n_class")).cast("int"))
+        return _drawn(df, label, key, seed).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_n_class")
+    ranked = rank_within(df, label, F.col(key), size_name="_n_class")
+    return (ranked.withColumn("fold", F.floor(F.col("_rank") * k / F.col("_n_class")).cast("int"))
             .drop("_rank", "_n_class"))
 
 

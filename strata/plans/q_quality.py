@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.numeric import round_half_up
 from strata.operators import quality as Q
 from strata.operators import stats as T
 from strata.operators import windows as W
@@ -444,6 +445,22 @@ def q_scalar_functions(spark, sf):
         F.when(F.col("value") >= 70, "High").when(F.col("value") >= 30, "Medium").otherwise("Low").alias("tier"))
 
 
+_APART = ("list_sum(list_transform(list_zip(CAST(embedding[1:8] AS DOUBLE[]), CAST(embedding[9:16] AS DOUBLE[])), "
+          "lambda p: (p[1] - p[2]) * (p[1] - p[2])))")
+
+
+@register("array_functions", sql=f"""
+SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS first_four, len(embedding) AS dims,
+       {_r(_APART, 6)} AS apart
+FROM embeddings""")
+def q_array_functions(spark, sf):
+    """Slices, lengths and distances of the embeddings."""
+    from strata.functions.vectors import sq_l2, to_double_array
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", to_double_array(F.slice("embedding", 1, 4)).alias("first_four"), F.size("embedding").cast("long").alias("dims"),
+                    round_half_up(sq_l2(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8)), 6).alias("apart"))
+
+
 @register("ks_normality")
 def q_ks_normality(spark, sf):
     """Kolmogorov-Smirnov normality check of the unit price (beside Jarque-Bera)."""

@@ -40,6 +40,44 @@ def q_load_csv(spark, sf):
     return spark.table("customer_from_csv")
 
 
+@register("load_csv_skip_bad", sql="SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT'")
+def q_load_csv_skip_bad(spark, sf):
+    """Orders as CSV lines, those of urgent ones malformed (a text for the price, or a field too many): they are skipped."""
+    o = read_table(spark, sf, "orders")
+    good = F.concat_ws(",", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_totalprice")])
+    bad = F.when(F.col("o_custkey") % 2 == 0, F.concat(good, F.lit(",more"))).otherwise(
+        F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit("much")))
+    path = _scratch(spark, "orders_csv")
+    o.select(F.when(F.col("o_orderpriority") == "1-URGENT", bad).otherwise(good)).write.text(path)
+    FS.load_csv(spark, "orders_from_csv", path, "o_orderkey long, o_custkey long, o_totalprice double", header=False)
+    return spark.table("orders_from_csv").select("*")
+
+
+@register("load_csv_encoding", sql="""
+SELECT c_custkey, c_name || ' caf' || chr(233) AS c_name FROM customer""")
+def q_load_csv_encoding(spark, sf):
+    """Customers in a latin-1 file: not valid UTF-8, so read again as latin-1."""
+    path = _scratch(spark, "latin_csv")
+    c = read_table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" caf\u00e9")).alias("c_name"))
+    c.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return FS.read_csv_encoding(spark, path, "c_custkey long, c_name string")
+
+
+@register("load_two_table", sql=f"""WITH {st.TRADING_SQL},
+meta AS (SELECT 'weight' AS feature, 'size' AS tag UNION ALL SELECT 'resp', 'return')
+SELECT feature, tag, COUNT(*) AS n, COUNT(CASE WHEN feature = 'weight' THEN weight ELSE resp END) AS n_values FROM trading, meta GROUP BY feature, tag""")
+def q_load_two_table(spark, sf):
+    """The trading rows and a table about their columns, both through CSV, joined by column name."""
+    rows, meta = _scratch(spark, "trading_csv"), _scratch(spark, "features_csv")
+    t = st.trading(spark, sf).select("weight", "resp")
+    FS.write_csv(t, rows)
+    FS.write_csv(spark.createDataFrame([("weight", "size"), ("resp", "return")], "feature string, tag string"), meta)
+    train, about = FS.load_two_table(spark, rows, meta, "weight double, resp double")
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in train.columns])).alias("s"))
+    counts = long.groupBy("s.feature").agg(F.count("*").alias("n"), F.count("s.v").alias("n_values"))
+    return about.join(counts, "feature").select("feature", "tag", "n", "n_values")
+
+
 @register("load_dataframe", sql=f"""WITH {st.CHURN_SQL}
 SELECT Contract, COUNT(*) AS customers FROM churn GROUP BY Contract""")
 def q_load_dataframe(spark, sf):
@@ -78,7 +116,7 @@ def q_underscore_columns(spark, sf):
     return FS.underscore_columns(o)
 
 
-@register("tables")
+@register("tables", sql="\nUNION ALL\n".join(f"SELECT '{t}' AS name, COUNT(*) AS n_rows FROM {t}" for t in TABLES))
 def q_tables(spark, sf):
     """The catalog after registering every test table as a view, with the rows of each."""
     register_tables(spark, sf)

@@ -10,7 +10,7 @@ columns a query selects.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,17 +177,3 @@ def load_two_table(spark: SparkSession, train_path: str, meta_path: str,
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", header).csv(path)
-
-
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort: bool = True) -> None:
-    """Persist a fact table bucketed (and sorted) on its join key so later
-    joins on that key co-locate without a shuffle (e.g. lineitem and orders
-    on orderkey with the same bucket count)."""
-    w = df.write.mode("overwrite").bucketBy(buckets, key)
-    if sort:
-        w = w.sortBy(key)
-    w.saveAsTable(table)
-
-
-def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.drop(*[c for c in cols if c in df.columns])
