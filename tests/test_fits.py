@@ -36,12 +36,13 @@ def blobs(spark):
 
 
 def test_svm_and_perceptron_separate(data):
-    train, test = data.where(~F.col("is_test")), data.where("is_test")
+    clean = data.withColumn("label", (F.col("f0") + 0.5 * F.col("f1") > 0).cast("int"))     # no noise: a line parts them
+    train, test = clean.where(~F.col("is_test")), clean.where("is_test")
     for kind, params in (("linear_svm", {}), ("mlp", {"layers": [4, 16, 8, 2], "maxIter": 60})):
         pipe = M.build_pipeline(COLS, [], M.estimator(kind, **params))
         out = M.fit_predict(train, test, pipe, ["id", "label"])
         assert out.count() == test.count()
-        assert out.where("label = prediction").count() / out.count() > 0.8
+        assert out.where("label = prediction").count() / out.count() > 0.9
 
 
 def test_grid_results_are_ranked_by_score(data):
@@ -136,11 +137,11 @@ def test_stream_dedup_keeps_the_earliest_for_any_batching(spark, tmp_path):
     rows = [(k, "ab"[k % 2], 60 * (k // 2) + (k % 7)) for k in range(200)]     # two keys, steps of a minute
     rows = [r for r in rows if not 80 <= r[0] < 120]                            # a break of twenty minutes
     df = spark.createDataFrame(rows, "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    df.repartitionByRange(6, "ts").write.parquet(str(tmp_path / "many.parquet"))
+    for part in range(6):       # files in the order of their events
+        df.where((F.col("id") >= 34 * part) & (F.col("id") < 34 * part + 34)).coalesce(1).write.mode("append").parquet(str(tmp_path / "many.parquet"))
     found = []
     for files in (None, 1):
         stream = SS.read_stream(spark, str(tmp_path), "many", max_files=files)
         out = SS.run_to_table(SS.dedup_within_watermark(stream, "ts", ["key"], "10 minutes", "id"), "dedup-test")
         found.append(sorted(r["id"] for r in out.collect()))
-    assert found[0] == [0, 1]          # the second session of each key is still open
-    assert set(found[1]) <= {0, 1}
+    assert found[0] == found[1] == [0, 1]          # the second session of each key is still open
