@@ -14,8 +14,12 @@ within the limit.  So the corpus is shuffled once per visit round, and queries g
 be; the result is exact.  In many dimensions without clusters the bounds rule out little, and all cells
 are visited.
 
-Cells are visited in groups of at most about ``block_rows`` points and queries (both split by hash), in
-which numpy compares blocks.  Of equal vectors only as many with the smallest ids are kept as a result
+Many queries visit *regions*, cells that lie near each other, in blocks of bounded bytes: a query is sent once
+to a region with an open cell, not once to each cell, so where all cells are open the rows sent grow as
+queries times corpus over the block size, and what a task holds doesn't grow.  In a block each query is compared only
+with the cells that are still open to it, its limit falling as it finds neighbours: a matrix product in
+single precision with its error bound leaves the few pairs whose exact distance is then taken.  Few
+queries visit cells one by one.  Of equal vectors only as many with the smallest ids are kept as a result
 can hold, and equal queries are answered once, so no group of copies is compared with itself.
 
 Cells can be written as an index, partitioned by cell: a search then reads the files of the cells it visits.
@@ -32,17 +36,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.numeric import round_half_up
 from strata.session import cut_lineage
 
-DEFAULT_BLOCK_ROWS = 2048
 MAX_CELLS = 4096
 #: Corpus points per cell, as long as there are not too many cells.
 CELL_ROWS = 512
-CHUNK_VALUES = 4_000_000     # coordinates held at a time while a block is compared
+#: A block's points or queries: bytes of their vectors, rows, and blocks that a search has at least (as long as they hold LEAST_ROWS).
+BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS, LEAST_ROWS = 32 << 20, 65536, 8, 4096
+#: Rows of queries that are sent to single cells; beyond, they are sent to regions.
+SENT_ROWS = 1_000_000
+CHUNK_VALUES = 2_000_000     # coordinates or distances held at a time
 SLACK = 1e-9                 # for rounding in the bounds
 
 
@@ -54,42 +62,168 @@ class Cells:
     radius: np.ndarray
     first: np.ndarray     # smallest distances from the pivot, inf where there are fewer
 
-    def distances(self, v: np.ndarray) -> np.ndarray:
-        """Distances of vectors to all pivots, from differences."""
-        out = np.empty((len(v), len(self.pivots)))
-        step = max(1, CHUNK_VALUES // max(1, self.pivots.size))
+    def distances(self, v: np.ndarray, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Distances of vectors to all pivots (or those of ``which`` cells), from differences."""
+        pivots = self.pivots[which]
+        out = np.empty((len(v), len(pivots)))
+        step = max(1, CHUNK_VALUES // max(1, pivots.size))
         for at in range(0, len(v), step):
-            diff = v[at:at + step, None, :] - self.pivots[None, :, :]
+            diff = v[at:at + step, None, :] - pivots[None, :, :]
             out[at:at + step] = np.sqrt(np.einsum("qcd,qcd->qc", diff, diff))
         return out
 
+    def slices(self, n: int, each: int = 1) -> Iterator[slice]:
+        """Slices of ``n`` vectors for which ``each`` numbers per pivot can be held."""
+        step = max(1, CHUNK_VALUES // max(1, len(self.pivots) * each))
+        return (slice(at, at + step) for at in range(0, n, step))
+
+    def open_to(self, v: np.ndarray, own: np.ndarray, limit: np.ndarray, between: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least distances of vectors of the cells ``own`` to members of the cells ``which``, and those that are within
+        ``limit``; a vector's own cell isn't open.  ``between``: distances of all pivots to those of ``which``."""
+        d = self.distances(v, which)
+        home = v - self.pivots[own]
+        nearest = np.sqrt(np.einsum("qd,qd->q", home, home))[:, None]
+        apart = between[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(apart > 0, (d * d - nearest * nearest) / (2 * apart), 0.0)
+        least = np.maximum(d - self.radius[None, which], plane) - SLACK * (1 + d + np.where(np.isfinite(limit), limit, 0)[:, None])
+        return least, (least <= limit[:, None]) & (which[None, :] != own[:, None])
+
+    def regions(self, rows: np.ndarray, most: int, least: int) -> np.ndarray:
+        """Region of every cell: cells halved by the widest coordinate until a part has at most ``most`` of the
+        ``rows`` (a cell's own more apart), but ``least`` regions, or all cells, at least."""
+        region, parts = np.zeros(len(self.pivots), np.int32), [np.arange(len(self.pivots))]
+        most = min(most, max(1, int(rows.sum()) // max(1, least)))
+        done = 0
+        while parts:
+            part = parts.pop()
+            if len(part) > 1 and rows[part].sum() > most:
+                x = self.pivots[part]
+                part = part[np.argsort(x[:, np.ptp(x, axis=0).argmax()], kind="stable")]
+                mid = int(np.searchsorted(np.cumsum(rows[part]), rows[part].sum() / 2)) + 1
+                mid = min(max(mid, 1), len(part) - 1)
+                parts += [part[mid:], part[:mid]]
+            else:
+                region[part] = done
+                done += 1
+        return region
+
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _block_topk(k: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["role"] == 0]
-        c = pdf[pdf["role"] == 1]
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                              "dist": pd.Series([], dtype="float64")})
-        if q.empty or c.empty:
-            return empty
-        Q, C = _stack(q["v"]), _stack(c["v"])
-        qid = q["id"].to_numpy(dtype=np.int64)
-        cid = c["id"].to_numpy(dtype=np.int64)
-        step = max(1, CHUNK_VALUES // max(1, C.size))
-        found = []
-        for at in range(0, Q.shape[0], step):
-            diff = Q[at:at + step, None, :] - C[None, :, :]       # differences, not the dot-product form:
-            d2 = np.einsum("qcd,qcd->qc", diff, diff)             # that one cancels far from the origin
-            kth = np.partition(d2, min(k, C.shape[0]) - 1, axis=1)[:, min(k, C.shape[0]) - 1]
-            rows_q, rows_c = np.nonzero(d2 <= kth[:, None])       # all ties with the k-th
-            found.append(pd.DataFrame({"qid": qid[at + rows_q], "id": cid[rows_c], "dist": d2[rows_q, rows_c]}))
-        out = pd.concat(found)
-        out = out.sort_values(["qid", "dist", "id"]).groupby("qid", sort=False).head(k)
-        return out.reset_index(drop=True)
+def _squares(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact squared distances of the pairs ``a[i]``, ``b[j]``, from differences: the dot-product form cancels far from
+    the origin."""
+    out = np.empty(len(i))
+    step = max(1, CHUNK_VALUES // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        diff = a[i[at:at + step]] - b[j[at:at + step]]
+        out[at:at + step] = np.einsum("nd,nd->n", diff, diff)
+    return out
+
+
+class _Nearest:
+    """The ``k`` nearest points found so far of every query of a block, by (distance, id)."""
+
+    def __init__(self, vectors: np.ndarray, limit: np.ndarray, k: int):
+        self.v, self.k, self.limit2 = vectors, k, limit * limit * (1 + SLACK)
+        self.d = np.full((len(vectors), k), np.inf)
+        self.id = np.full((len(vectors), k), np.iinfo(np.int64).max)
+
+    def within(self) -> np.ndarray:
+        """Squared distance that a new neighbour can have at most."""
+        return np.fmin(self.limit2, self.d[:, -1])
+
+    def offer(self, rows: np.ndarray, points: np.ndarray, ids: np.ndarray) -> None:
+        """Compare queries ``rows`` with all of ``points``, by slices of bounded size."""
+        if not len(rows):
+            return
+        middle = points.mean(axis=0)
+        p = points - middle
+        p2 = np.einsum("nd,nd->n", p, p)
+        span = float(p2.max(initial=0.0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            right = np.concatenate([p, -p2[:, None] / 2], axis=1).astype(np.float32).T.copy()
+        step = max(1, CHUNK_VALUES // len(points))
+        for at in range(0, len(rows), step):
+            some = rows[at:at + step]
+            q = self.v[some] - middle
+            q2 = np.einsum("nd,nd->n", q, q)
+            # of the products in single precision, from below: |q||p| and |p|^2/2, each with its rounding errors
+            error = (q.shape[1] + 8) * 2.0 ** -23 * (np.sqrt(q2 * span) + span + q2) + np.finfo(np.float32).tiny * q.shape[1]
+            if not np.isfinite(error).all() or error.max(initial=0.0) > 1e30:
+                near = np.ones((len(some), len(p)), bool)      # beyond single precision
+            else:
+                left = np.concatenate([q, np.ones((len(q), 1))], axis=1).astype(np.float32)
+                product = left @ right                           # |q|^2/2 less half the squared distance
+                least = (q2 - self.within()[some]) / 2 - error
+                near = product >= least.astype(np.float32)[:, None] if np.isfinite(least).all() else None
+                if len(p) > self.k and (near is None or np.count_nonzero(near) > 4 * self.k * len(some)):
+                    # the k-th product is of a point that is at most so far away
+                    kth = np.partition(product, len(p) - self.k, axis=1)[:, len(p) - self.k]
+                    least = np.fmax(least, kth - 2 * error)
+                    near = None
+                if near is None:
+                    near = product >= least.astype(np.float32)[:, None]
+            i, j = np.nonzero(near)
+            self._merge(some[i], _squares(self.v, some[i], points, j), ids[j])
+
+    def _merge(self, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        better = d <= self.within()[row]
+        row, d, ids = row[better], d[better], ids[better]
+        if not len(row):
+            return
+        touched, at = np.unique(row, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
+        d = np.concatenate([self.d[touched].ravel(), d])
+        ids = np.concatenate([self.id[touched].ravel(), ids])
+        order = np.lexsort((ids, d, row))
+        starts = np.searchsorted(row[order], np.arange(len(touched)))
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.d[touched], self.id[touched] = d[best], ids[best]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
+
+
+_FOUND = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+
+
+def _search_block(cells: Cells, k: int, at_home: bool):
+    """The ``k`` nearest points of each query of a block, in its own cell or in the others that are open."""
+    def fn(table: pa.Table) -> pa.Table:
+        asked = table["role"].to_numpy() == 0
+        queries, points = table.filter(pa.array(asked)), table.filter(pa.array(~asked))
+        if not len(queries) or not len(points):
+            return _FOUND.empty_table()
+        Q, C, qid = _matrix(queries["v"]), _matrix(points["v"]), queries["id"].to_numpy()
+        own, limit = queries["cell"].to_numpy(), queries["bound"].to_numpy()
+        of, cid = points["cell"].to_numpy(), points["id"].to_numpy()
+        order = np.argsort(of, kind="stable")
+        here, starts = np.unique(of[order], return_index=True)
+        members = np.split(order, starts[1:])
+        best = _Nearest(Q, limit, k)
+        between = None if at_home else cells.distances(cells.pivots, here)
+        step = len(Q) if at_home else max(1, CHUNK_VALUES // len(here))
+        for at in range(0, len(Q), step):
+            some = np.arange(at, min(at + step, len(Q)))
+            if not at_home:
+                least, open_ = cells.open_to(Q[some], own[some], limit[some], between, here)
+            for c, rows in enumerate(members):
+                if at_home:
+                    now = some
+                else:
+                    reach = np.where(least[:, c] > 0, least[:, c], 0.0)
+                    now = some[open_[:, c] & (reach * reach <= best.within()[some] * (1 + SLACK))]
+                for lo in range(0, len(rows), CELL_ROWS):
+                    part = rows[lo:lo + CELL_ROWS]
+                    best.offer(now, C[part], cid[part])
+        row, n = np.nonzero(np.isfinite(best.d))
+        return pa.Table.from_arrays([pa.array(qid[row]), pa.array(best.id[row, n]), pa.array(best.d[row, n])], schema=_FOUND)
     return fn
 
 
@@ -114,10 +248,11 @@ def build_cells(corpus: DataFrame, want: int, max_cells: int = MAX_CELLS, cell_r
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = cells.distances(_stack(pdf["v"]))
-                pdf["cell"] = d.argmin(axis=1).astype(np.int32)
-                pdf["away"] = d.min(axis=1)
-                yield pdf
+                v, cell, away = _stack(pdf["v"]), np.empty(len(pdf), np.int32), np.empty(len(pdf))
+                for part in cells.slices(len(v)):
+                    d = cells.distances(v[part])
+                    cell[part], away[part] = d.argmin(axis=1), d.min(axis=1)
+                yield pdf.assign(cell=cell, away=away)
 
     placed = cut_lineage(points.mapInPandas(assign, "id long, v array<double>, cell int, away double"))
     near = placed.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("away"))).where(F.col("_n") <= want)
@@ -128,21 +263,22 @@ def build_cells(corpus: DataFrame, want: int, max_cells: int = MAX_CELLS, cell_r
     return placed.drop("away"), cells
 
 
-def _compare(routes: DataFrame, points: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """The ``k`` nearest points of each (query, cell) of ``routes``, by groups of blocks."""
-    routes = cut_lineage(routes)
-    blocks = (routes.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("nq"))
-              .join(points.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("nc")), "cell"))
+def _compare(routes: DataFrame, points: DataFrame, cells: Cells, k: int, block_rows: int, at_home: bool) -> DataFrame:
+    """The ``k`` nearest points of each (query, region) of ``routes``, by groups of blocks."""
+    blocks = (routes.groupBy("region").agg(F.ceil(F.count("*") / block_rows).alias("nq"))
+              .join(points.groupBy("region").agg(F.ceil(F.count("*") / block_rows).alias("nc")), "region"))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))                           # noqa: E731
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    qs = routes.join(blocks, "cell").select(F.lit(0).alias("role"), "id", "v", "cell", mine("nq").alias("qb"), every("nc").alias("cb"))
-    cs = points.join(blocks, "cell").select(F.lit(1).alias("role"), "id", "v", "cell", every("nq").alias("qb"), mine("nc").alias("cb"))
-    return qs.unionByName(cs).groupBy("cell", "qb", "cb").applyInPandas(_block_topk(k), schema="qid long, id long, dist double")
+    row = ["id", "v", "cell", "bound", "region"]
+    qs = routes.join(blocks, "region").select(F.lit(0).alias("role"), *row, mine("nq").alias("qb"), every("nc").alias("cb"))
+    cs = points.withColumn("bound", F.lit(0.0)).join(blocks, "region").select(F.lit(1).alias("role"), *row, every("nq").alias("qb"), mine("nc").alias("cb"))
+    return qs.unionByName(cs).groupBy("region", "qb", "cb").applyInArrow(_search_block(cells, k, at_home), schema="qid long, id long, dist double")
 
 
 def search_cells(queries: DataFrame, points: DataFrame, cells: Cells, k: int, exclude_self: bool = False,
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """The exact ``k`` nearest points of every query ``(id, v)``: ``(qid, id, rank, dist)``, rank from 1."""
+                 block_rows: int | None = None) -> DataFrame:
+    """The exact ``k`` nearest points of every query ``(id, v)``: ``(qid, id, rank, dist)``, rank from 1.
+    ``block_rows``: queries or points of a block, if not by their bytes."""
     want = k + exclude_self
     if want > cells.first.shape[1]:
         raise ValueError(f"these cells are made for {cells.first.shape[1]} neighbours, not {want}")
@@ -152,36 +288,49 @@ def search_cells(queries: DataFrame, points: DataFrame, cells: Cells, k: int, ex
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf) and len(cells.pivots):
-                d = cells.distances(_stack(pdf["v"]))
-                ends = (d[:, :, None] + cells.first[None, :, :]).reshape(len(d), -1)
-                pdf["cell"] = d.argmin(axis=1).astype(np.int32)
-                pdf["bound"] = np.partition(ends, want - 1, axis=1)[:, want - 1]
-                yield pdf
+                v, cell, bound = _stack(pdf["v"]), np.empty(len(pdf), np.int32), np.empty(len(pdf))
+                for part in cells.slices(len(v), want):
+                    d = cells.distances(v[part])
+                    ends = (d[:, :, None] + cells.first[None, :, :want]).reshape(len(d), -1)
+                    cell[part], bound[part] = d.argmin(axis=1), np.partition(ends, want - 1, axis=1)[:, want - 1]
+                yield pdf.assign(cell=cell, bound=bound)
+
+    schema = "id long, v array<double>, cell int, bound double"
+    routes = cut_lineage(once.mapInPandas(home, schema))
+    most = block_rows or max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, cells.pivots[:1].size))))
+    points_here = points.where(F.col("cell").isin(_visited(routes))).withColumn("region", F.col("cell"))
+    first = cut_lineage(_best(_compare(routes.withColumn("region", F.col("cell")), points_here, cells, want, most, True), want))
+    kth = first.where(F.col("rank") == want).select(F.col("qid").alias("id"), F.sqrt("dist").alias("kth"))
+    n_queries, region = routes.count(), np.arange(len(cells.pivots), dtype=np.int32)
+    if n_queries * len(region) > SENT_ROWS:
+        rows = np.zeros(len(region), np.int64)
+        for r in points.groupBy("cell").count().collect():                        # one row per cell
+            rows[r["cell"]] = r["count"]
+        if not block_rows:
+            most = max(min(most, LEAST_ROWS), min(most, int(max(n_queries, rows.sum())) // LEAST_BLOCKS))
+        region = cells.regions(rows, most, SENT_ROWS // n_queries)
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        between = cells.distances(cells.pivots)
+        order, every, between = np.argsort(region, kind="stable"), np.arange(len(region)), cells.distances(cells.pivots)
+        starts = np.searchsorted(region[order], np.arange(region.max(initial=-1) + 1))
         for pdf in batches:
             if not len(pdf):
                 continue
-            d, limit, own = cells.distances(_stack(pdf["v"])), pdf["bound"].to_numpy(), pdf["cell"].to_numpy()
-            apart, nearest = between[own], d[np.arange(len(d)), own][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(apart > 0, (d * d - nearest * nearest) / (2 * apart), 0.0)
-            least = np.maximum(d - cells.radius[None, :], plane)
-            open_ = least <= limit[:, None] + SLACK * (1 + d + np.where(np.isfinite(limit), limit, 0)[:, None])
-            open_[np.arange(len(d)), own] = False
-            row, cell = np.nonzero(open_)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": cell.astype(np.int32)})
-
-    schema = "id long, v array<double>, cell int"
-    routes = cut_lineage(once.mapInPandas(home, schema + ", bound double"))
-    points_here = points.where(F.col("cell").isin(_visited(routes)))
-    first = cut_lineage(_best(_compare(routes.drop("bound"), points_here, want, block_rows), want))
-    kth = first.where(F.col("rank") == want).select(F.col("qid").alias("id"), F.sqrt("dist").alias("kth"))
+            v, own, limit = _stack(pdf["v"]), pdf["cell"].to_numpy(), pdf["bound"].to_numpy()
+            for part in cells.slices(len(v)):
+                _, open_ = cells.open_to(v[part], own[part], limit[part], between, every)
+                row, to = np.nonzero(np.logical_or.reduceat(open_[:, order], starts, axis=1))
+                step = max(1, CHUNK_VALUES // v.shape[1])
+                for at in range(0, len(row), step):
+                    yield pdf.iloc[part].iloc[row[at:at + step]].assign(region=to[at:at + step].astype(np.int32))
+
     again = cut_lineage(routes.join(kth, "id", "left").select("id", "v", "cell", F.least("bound", "kth").alias("bound"))
-                        .mapInPandas(others, schema))
-    points_there = points.where(F.col("cell").isin(_visited(again)))
-    second = _compare(again, points_there, want, block_rows)
+                        .mapInPandas(others, schema + ", region int"))
+    visited = set(_visited(again.select(F.col("region").alias("cell"))))
+    points_there = points.where(F.col("cell").isin([c for c, r in enumerate(region.tolist()) if r in visited]))
+    one_by_one = F.col("cell") if (region == np.arange(len(region))).all() else F.element_at(F.lit(region.tolist()), F.col("cell") + 1)
+    points_there = points_there.withColumn("region", one_by_one)
+    second = _compare(again, points_there, cells, want, most, False)
     found = _best(first.drop("rank").unionByName(second), want)
     both = asked.join(once.withColumnRenamed("id", "rep"), "v").select("id", "rep")
     out = both.select(F.col("id").alias("_q"), F.col("rep").alias("qid")).join(found.drop("rank"), "qid").select(F.col("_q").alias("qid"), "id", "dist")
@@ -195,7 +344,7 @@ def _visited(routes: DataFrame) -> list[int]:
 
 
 def knn_points(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = False,
-               block_rows: int = DEFAULT_BLOCK_ROWS, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
+               block_rows: int | None = None, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Exact kNN.  ``queries``/``corpus``: ``(id long, v array<double>)``, ids unique.
     Returns ``(qid, id, rank, dist)`` with rank 1..k."""
     points, cells = build_cells(corpus, k + exclude_self, max_cells, cell_rows)

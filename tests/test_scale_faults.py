@@ -155,3 +155,30 @@ def test_neighbours_by_cells_equal_brute_force_and_visit_few(spark, tmp_path, mo
     assert len({c for a in asked for c in a}) < len(cells.pivots) / 3
     with pytest.raises(ValueError):
         retrieve.search_cells(query, pts, cells, 6)
+
+
+def test_neighbours_without_clusters_are_sent_to_regions(spark, monkeypatch):
+    rnd = random.Random(11)
+    points = {i: [rnd.gauss(0, 1) for _ in range(12)] for i in range(900)}
+    points |= {1000 + i: [1e6 + rnd.gauss(0, 1) for _ in range(12)] for i in range(60)}     # far from the origin
+    df = spark.createDataFrame(list(points.items()), "id long, v array<double>")
+    sent, real = [], retrieve._compare
+    monkeypatch.setattr(retrieve, "_compare", lambda routes, *a: sent.append(routes.count()) or real(routes, *a))
+    monkeypatch.setattr(retrieve, "SENT_ROWS", 1000, raising=False)
+    got = {}
+    for r in retrieve.knn_points(df, df, k=4, exclude_self=True, block_rows=150, cell_rows=8).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    for i in [*range(0, 900, 30), *range(1000, 1060, 7)]:
+        assert [x[1] for x in sorted(got[i])] == [x[1] for x in _brute_nearest(points, points[i], 4, skip=i)]
+    assert sent[1] <= 960 * 20        # by regions; by cells a query was sent up to 120 times
+
+
+def test_a_batch_of_queries_holds_few_numbers(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "CHUNK_VALUES", 500)
+    rnd = random.Random(2)
+    points = {i: [rnd.gauss(0, 1) for _ in range(5)] for i in range(300)}
+    df = spark.createDataFrame(list(points.items()), "id long, v array<double>")
+    corpus, cells = retrieve.build_cells(df, 3, cell_rows=6)
+    assert all(len(range(300)[s]) * len(cells.pivots) * 3 <= 500 for s in cells.slices(300, 3))
+    got = {(r["qid"], r["rank"]): r["id"] for r in retrieve.search_cells(df, corpus, cells, 3).collect()}
+    assert all(got[i, n + 1] == x[1] for i in range(0, 300, 9) for n, x in enumerate(_brute_nearest(points, points[i], 3)))
