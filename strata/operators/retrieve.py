@@ -200,9 +200,10 @@ def _search_block(cells: Cells, k: int, at_home: bool):
         queries, points = table.filter(pa.array(asked)), table.filter(pa.array(~asked))
         if not len(queries) or not len(points):
             return _FOUND.empty_table()
-        Q, C, qid = _matrix(queries["v"]), _matrix(points["v"]), queries["id"].to_numpy()
+        Q, C = _matrix(queries["v"]), _matrix(points["v"])
+        qid, cid = (x["id"].fill_null(np.iinfo(np.int64).min).to_numpy() for x in (queries, points))
         own, limit = queries["cell"].to_numpy(), queries["bound"].to_numpy()
-        of, cid = points["cell"].to_numpy(), points["id"].to_numpy()
+        of = points["cell"].to_numpy()
         order = np.argsort(of, kind="stable")
         here, starts = np.unique(of[order], return_index=True)
         members = np.split(order, starts[1:])

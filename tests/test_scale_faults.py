@@ -182,3 +182,19 @@ def test_a_batch_of_queries_holds_few_numbers(spark, monkeypatch):
     assert all(len(range(300)[s]) * len(cells.pivots) * 3 <= 500 for s in cells.slices(300, 3))
     got = {(r["qid"], r["rank"]): r["id"] for r in retrieve.search_cells(df, corpus, cells, 3).collect()}
     assert all(got[i, n + 1] == x[1] for i in range(0, 300, 9) for n, x in enumerate(_brute_nearest(points, points[i], 3)))
+
+
+def test_classifier_by_regions_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "SENT_ROWS", 100, raising=False)
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)], i % 3) for i in range(400)]
+    train = spark.createDataFrame(rows[:300], "id long, v array<double>, label int")
+    test = spark.createDataFrame([r[:2] for r in rows[300:]], "id long, v array<double>")
+    sent, real = [], retrieve._compare
+    monkeypatch.setattr(retrieve, "_compare", lambda routes, *a: sent.append(routes.count()) or real(routes, *a))
+    monkeypatch.setattr(retrieve, "knn_points", lambda q, c, k, f=retrieve.knn_points: f(q, c, k, block_rows=60, cell_rows=8))
+    got = {r["id"]: r["prediction"] for r in retrieve.knn_classify(train, test, k=5).collect()}
+    for i, v, _ in rows[300:]:
+        votes = [n % 3 for _, n in _brute_nearest({x[0]: x[1] for x in rows[:300]}, v, 5)]
+        assert got[i] == min(set(votes), key=lambda c: (-votes.count(c), c))
+    assert sent[1] <= 100 * 12        # by cells a query was sent up to 37 times
