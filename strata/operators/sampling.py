@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.orderstats import prefix_sums
+from strata.operators.orderstats import join_groups, prefix_sums
+
+#: Slices of a class by its rows' draws: the most rows a class has in the table of slices.
+SLICES = 4096
 
 
 def hash_draw(key: str | Column, seed: int) -> Column:
@@ -80,19 +83,31 @@ def rank_within(df: DataFrame, group_col: str, order_col: Column | str, name: st
 
 
 def _drawn(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """Rows with ``_rank`` in hash order within their class and its size ``_n_class``."""
+    """Rows with ``_rank`` in hash order within their class and its size ``_n_class``.  The draw is uniform, so its
+    first digits deal each class into ``SLICES`` even slices: rows are sorted within theirs, after one exchange,
+    and the rows before it come from a table with one row per class and slice."""
     draw = hash_draw(key, seed)
-    uniform = F.conv(F.substring(draw, 1, 12), 16, 10).cast("double")     # hex digits sort as the number they are
-    return rank_within(df, label, F.concat(draw, F.col(key).cast("string")), number=uniform, size_name="_n_class")
+    digits = F.conv(F.substring(draw, 1, 8), 16, 10).cast("long")
+    rows = df.withColumn("_draw", draw).withColumn("_slice", F.coalesce(F.floor(digits * SLICES / 16 ** 8), F.lit(-1)).cast("int"))
+    in_slice = Window.partitionBy(f"`{label}`", "_slice").orderBy("_draw", F.col(f"`{key}`").cast("string"))
+    local = rows.withColumn("_rank", F.row_number().over(in_slice))
+    of_class = Window.partitionBy(f"`{label}`")
+    before = F.sum("_n").over(of_class.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = rows.groupBy(f"`{label}`", "_slice").agg(F.count("*").alias("_n")).select(
+        F.col(f"`{label}`"), "_slice", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(of_class).alias("_n_class"))
+    placed = join_groups(local, slices, [label, "_slice"])
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_rank") - 1).alias("_rank"), "_n_class")
+
+
+def _is_test(test_fraction: float) -> Column:
+    return F.col("_rank") < F.floor(F.col("_n_class").cast("double") * F.lit(test_fraction) + F.lit(0.5))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Exact stratified split: in every class the ``round(frac * n_c)`` rows
     with the smallest hash draw form the test set.  Adds ``is_test``."""
-    n_test = F.floor(F.col("_n_class").cast("double") * F.lit(test_fraction) + F.lit(0.5))
-    return (_drawn(df, label, key, seed).withColumn("is_test", F.col("_rank") < n_test)
-            .drop("_rank", "_n_class"))
+    return _drawn(df, label, key, seed).withColumn("is_test", _is_test(test_fraction)).drop("_rank", "_n_class")
 
 
 def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
@@ -109,6 +124,12 @@ def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int
             .drop("_rank", "_n_class"))
 
 
+def split_and_folds(df: DataFrame, label: str, key: str, test_fraction: float = 0.2, k: int = 5, seed: int = 42) -> DataFrame:
+    """``stratified_split`` and the shuffled ``stratified_kfold`` of the same seed, which rank the rows alike: one ranking for both."""
+    return (_drawn(df, label, key, seed).withColumn("is_test", _is_test(test_fraction))
+            .withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_n_class"))
+
+
 def time_series_split(df: DataFrame, time_col: str, n_splits: int = 5) -> DataFrame:
     """Expanding-window split: ``block`` = time quantile bucket (0..n_splits);
     split i trains on blocks < i and tests on block i."""
