@@ -31,10 +31,9 @@ def churn_model_table(spark, sf):
     c = st.churn(spark, sf).select(
         "customerID", "Contract", *[F.col(x).cast("double").alias(x) for x in NUMERIC],
         F.when(F.col("Churn") == "Yes", 1).otherwise(0).alias("label"))
-    c = S.stratified_split(c, "label", "customerID", 0.2, 42)
     # iterative fitters scan their input many times: cut the derivation's
     # lineage once (reliable checkpoint in the shared checkpoint folder)
-    return cut_lineage(S.stratified_kfold(c, "label", "customerID", 5, 42))
+    return cut_lineage(S.split_and_folds(c, "label", "customerID", 0.2, 5, 42))
 
 
 def _fit_eval(spark, sf, kind, data=None, **params):
