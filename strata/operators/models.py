@@ -13,10 +13,7 @@ import itertools
 import json
 import random
 from collections.abc import Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
@@ -34,7 +31,6 @@ from strata.operators import evaluate as E
 from strata.operators.features import ml_kbest, ml_one_hot_stages
 
 MAX_TREE_DEPTH = 30          # Spark's limit
-FOLDS_AT_ONCE = 3
 
 
 def _depth(p: dict, default: int) -> int:
@@ -134,17 +130,16 @@ def cross_validate(df: DataFrame, pipe: Pipeline, fold_col: str = "fold", k: int
                    label: str = "label") -> DataFrame:
     """Per-fold metrics ``(fold, accuracy, precision, recall, f1, auc)``:
     fit on the other folds, score the held-out fold."""
-    def one(f: int) -> DataFrame:
+    rows = None
+    for f in range(k):
         train = df.where(F.col(fold_col) != f)
         test = df.where(F.col(fold_col) == f)
         model = pipe.fit(train)
         pred = positive_probability(model.transform(test)) \
             .withColumn("prediction", F.col("prediction").cast("int"))
-        return metrics_row(pred, label).select(F.lit(f).alias("fold"), "*")
-
-    # a fit is hundreds of short jobs in a row: others run while one waits for its last task
-    with ThreadPool(min(FOLDS_AT_ONCE, k)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), range(k)))
+        m = metrics_row(pred, label).select(F.lit(f).alias("fold"), "*")
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
 
 
 def cv_summary(per_fold: DataFrame, digits: int = 6) -> DataFrame:
