@@ -113,7 +113,7 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int
     """DBSCAN on 2-D points (``density``); returns ``(key, cluster)`` with -1 for noise, which points without
     coordinates are too.  ``min_samples`` counts the point itself (scikit-learn semantics).  Labels spread until
     nothing changes; ``max_iter`` rounds without that are an error.  Clusters are numbered by their least core id."""
-    found = cut_lineage(density_clusters(df, x, y, key, [(eps, min_samples)], max_iter))
+    found = density_clusters(df, x, y, key, [(eps, min_samples)], max_iter)
     roots = rank_within(found.where("root IS NOT NULL").select("root").distinct().withColumn("_g", F.lit(0)), "_g", "root", "cluster")
     places = found.join(roots.select("root", "cluster"), "root").select("x", "y", "cluster")
     rows = df.select(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

@@ -16,7 +16,8 @@ Thin cells have fewer than ``min_samples`` points, so the work is linear in the
 of them one cell holds; points at the same place are one point with a weight.  Clusters are the
 connected components of the linked cells, by propagation of least labels with pointer jumping;
 border points take the least neighbouring cluster; the rest is noise (-1).  Settings (pairs of ``eps``
-and ``min_samples``) are a key of all tables, so many run in the joins of one.
+and ``min_samples``) are a key of all tables, so many run in the joins of one.  The tables of each step are
+written to a ``Scratch`` folder, so no round's plan carries anything of the rounds before.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import cut_lineage
+from strata.session import Scratch, cut_lineage
 
 #: Points of a box that is not opened any further, and how often a cell can be halved.
 LEAF, HALVINGS = 32, 26
@@ -62,14 +63,14 @@ def grid(df: DataFrame, x: str, y: str, key: str, settings: Sequence[tuple[float
                       fine("gx").alias("fx"), fine("gy").alias("fy"))
 
 
-def quadtree(points: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def quadtree(points: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """Boxes of each level, from whole cells down, and the points of the boxes that are leaves.  A box has
     ``n`` (weight), ``leaf``, its bounds, and a representative point."""
     zero = F.lit(0).cast("long")
     alive = points.select(*_CELL, "fx", "fy", "x", "y", "w", F.lit(0).alias("level"), zero.alias("bx"), zero.alias("by"))
     levels, leaves = [], []
     while True:
-        boxes = cut_lineage(alive.groupBy(*_BOX).agg(
+        boxes = scratch.write(alive.groupBy(*_BOX).agg(
             F.sum("w").alias("n"), (F.count("*") <= (LEAF if len(levels) < HALVINGS else 1 << 62)).alias("leaf"),
             F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
             F.min(F.struct("x", "y")).alias("rep")))
@@ -79,9 +80,9 @@ def quadtree(points: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if full.isEmpty():
             break
         down = HALVINGS - len(levels)
-        alive = cut_lineage(alive.join(full.select(*_BOX), _BOX).withColumns({
+        alive = scratch.write(alive.join(full.select(*_BOX), _BOX).withColumns({
             "level": F.lit(len(levels)), "bx": _shift(F.col("fx"), down), "by": _shift(F.col("fy"), down)}))
-    return levels, cut_lineage(_union(leaves))
+    return levels, scratch.write(_union(leaves))
 
 
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
@@ -104,7 +105,7 @@ def _quarters(level: DataFrame) -> DataFrame:
     return level.withColumn("ox", F.shiftright("bx", 1)).withColumn("oy", F.shiftright("by", 1))
 
 
-def near_cells(probe: DataFrame, tree: tuple[list[DataFrame], DataFrame]) -> DataFrame:
+def near_cells(probe: DataFrame, tree: tuple[list[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """For each point of ``probe`` and each *other* cell with tree points within eps: ``s``, ``id``, ``cx``, ``cy`` and the
     weight ``n`` of these points."""
     levels, leaves = tree
@@ -117,7 +118,7 @@ def near_cells(probe: DataFrame, tree: tuple[list[DataFrame], DataFrame]) -> Dat
         met = at.join(boxes, _BOX)
         gx, gy = _gap(x, x, F.col("x0"), F.col("x1")), _gap(y, y, F.col("y0"), F.col("y1"))
         rx, ry = _reach(x, x, F.col("x0"), F.col("x1")), _reach(y, y, F.col("y0"), F.col("y1"))
-        met = cut_lineage(met.where(gx * gx + gy * gy <= eps2).select(
+        met = scratch.write(met.where(gx * gx + gy * gy <= eps2).select(
             *_BOX, "eps", "id", "px", "py", "n", "leaf", (rx * rx + ry * ry <= eps2).alias("whole")))
         whole.append(met.where("whole").select("s", "id", "cx", "cy", "n"))
         cut.append(met.where("leaf AND NOT whole").select(*_BOX, "eps", "id", "px", "py"))
@@ -129,7 +130,7 @@ def near_cells(probe: DataFrame, tree: tuple[list[DataFrame], DataFrame]) -> Dat
     return _union([*whole, single]).groupBy("s", "id", "cx", "cy").agg(F.sum("n").alias("n"))
 
 
-def linked_cells(tree: tuple[list[DataFrame], DataFrame], eps: DataFrame) -> DataFrame:
+def linked_cells(tree: tuple[list[DataFrame], DataFrame], eps: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of different cells (``s``, ``cx``, ``cy``, ``dx``, ``dy``, the second being ``cx + dx``, ``cy + dy``) that have
     two points within eps.  ``eps``: ``s``, ``eps``."""
     levels, leaves = tree
@@ -150,10 +151,10 @@ def linked_cells(tree: tuple[list[DataFrame], DataFrame], eps: DataFrame) -> Dat
         gx, gy = (_gap(*[F.col(f"{c}{i}_{e}") for e in "ab" for i in "01"]) for c in "xy")
         rx, ry = (_reach(*[F.col(f"{c}{i}_{e}") for e in "ab" for i in "01"]) for c in "xy")
         ux, uy = F.col("rep_a.x") - F.col("rep_b.x"), F.col("rep_a.y") - F.col("rep_b.y")
-        met = cut_lineage(at.where(gx * gx + gy * gy <= eps2).withColumn(
+        met = scratch.write(at.where(gx * gx + gy * gy <= eps2).withColumn(
             "linked", (rx * rx + ry * ry <= eps2) | (ux * ux + uy * uy <= eps2)))
         now = met.where("linked").select(*pair)
-        known = cut_lineage((now if known is None else known.unionByName(now)).distinct())
+        known = scratch.write((now if known is None else known.unionByName(now)).distinct())
         rest = met.where("NOT linked").drop("linked").join(known, pair, "left_anti")
         open_pairs.append(rest.where("leaf_a AND leaf_b").select(*pair, "eps", "level_a", "bx_a", "by_a", "level_b", "bx_b", "by_b"))
         if k + 1 == len(levels):
@@ -174,10 +175,10 @@ def linked_cells(tree: tuple[list[DataFrame], DataFrame], eps: DataFrame) -> Dat
     return known.unionByName(two.where(d2 <= eps2).select(*pair).distinct())
 
 
-def least_labels(nodes: DataFrame, edges: DataFrame, max_iter: int | None = None) -> DataFrame:
+def least_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_iter: int | None = None) -> DataFrame:
     """``s``, ``id``, ``label``: the least id that can be reached over ``edges`` (``s``, ``id``, ``nid``, both ways)."""
-    labels = cut_lineage(nodes.select("s", "id", F.col("id").alias("label")))
-    edges = cut_lineage(edges.select("s", "id", "nid").distinct())
+    labels = scratch.write(nodes.select("s", "id", F.col("id").alias("label")))
+    edges = scratch.write(edges.select("s", "id", "nid").distinct())
     for turn in itertools.count(1):
         if max_iter is not None and turn > max_iter:
             raise RuntimeError(f"labels still change after {max_iter} rounds")
@@ -186,7 +187,7 @@ def least_labels(nodes: DataFrame, edges: DataFrame, max_iter: int | None = None
         hop = labels.join(nb, ["s", "id"], "left").select(
             "s", "id", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
         parent = hop.select("s", F.col("id").alias("label"), F.col("label").alias("pl"))
-        new = cut_lineage(hop.join(parent, ["s", "label"], "left").select("s", "id", F.least("label", F.coalesce("pl", "label")).alias("label"), "old"))
+        new = scratch.write(hop.join(parent, ["s", "label"], "left").select("s", "id", F.least("label", F.coalesce("pl", "label")).alias("label"), "old"))
         labels = new.select("s", "id", "label")
         if new.where("label <> old").isEmpty():
             return labels
@@ -195,23 +196,27 @@ def least_labels(nodes: DataFrame, edges: DataFrame, max_iter: int | None = None
 def density_clusters(df: DataFrame, x: str, y: str, key: str, settings: Sequence[tuple[float, int]],
                      max_iter: int | None = None) -> DataFrame:
     """Places (``s``, ``x``, ``y``, ``w``) of every setting with their cluster's ``root``, its least core id (null: noise)."""
-    points = cut_lineage(grid(df, x, y, key, settings))
-    eps = df.sparkSession.createDataFrame([(k, float(e)) for k, (e, _) in enumerate(settings)], "s int, eps double")
-    crowd = points.groupBy(*_CELL).agg(F.sum("w").alias("cell_n"))
-    points = points.join(crowd, _CELL)
-    thin = points.where(F.col("cell_n") < F.col("m"))
-    degree = near_cells(thin, quadtree(points)).groupBy("s", "id").agg(F.sum("n").alias("others"))
-    points = cut_lineage(points.join(degree, ["s", "id"], "left").withColumn(
-        "core", F.col("cell_n") + F.coalesce("others", F.lit(0)) >= F.col("m")).drop("cell_n", "others"))
-    core = points.where("core")
-    tree = quadtree(core)
-    cells = core.groupBy(*_CELL).agg(F.min("id").alias("id"))     # a cell is known by its least core id
-    links = linked_cells(tree, eps).join(cells, _CELL).select("s", "id", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    links = links.join(cells.withColumnRenamed("id", "nid"), _CELL).select("s", "id", "nid")
-    both = links.unionByName(links.select("s", F.col("nid").alias("id"), F.col("id").alias("nid")))
-    roots = cells.join(least_labels(cells, both, max_iter), ["s", "id"]).select(*_CELL, "label")
-    border = points.where("NOT core")
-    beside = near_cells(border, tree).select("s", "id", "cx", "cy").unionByName(border.select("s", "id", "cx", "cy"))
-    beside = beside.join(roots, _CELL).groupBy("s", "id").agg(F.min("label").alias("root"))
-    found = core.join(roots, _CELL).select("s", "id", F.col("label").alias("root")).unionByName(beside)
-    return points.select("s", "id", "x", "y", "w").join(found, ["s", "id"], "left")
+    spark = df.sparkSession
+    eps = spark.createDataFrame([(k, float(e)) for k, (e, _) in enumerate(settings)], "s int, eps double")
+    with Scratch(spark) as scratch:
+        points = scratch.write(grid(df, x, y, key, settings))
+        crowd = points.groupBy(*_CELL).agg(F.sum("w").alias("cell_n"))
+        points = scratch.write(points.join(crowd, _CELL))
+        with Scratch(spark) as step:
+            thin = points.where(F.col("cell_n") < F.col("m"))
+            degree = near_cells(thin, quadtree(points, step), step).groupBy("s", "id").agg(F.sum("n").alias("others"))
+            points = scratch.write(points.join(degree, ["s", "id"], "left").withColumn(
+                "core", F.col("cell_n") + F.coalesce("others", F.lit(0)) >= F.col("m")).drop("cell_n", "others"))
+        core = points.where("core")
+        tree = quadtree(core, scratch)
+        cells = scratch.write(core.groupBy(*_CELL).agg(F.min("id").alias("id")))     # a cell is known by its least core id
+        with Scratch(spark) as step:
+            links = linked_cells(tree, eps, step).join(cells, _CELL).select("s", "id", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+            links = step.write(links.join(cells.withColumnRenamed("id", "nid"), _CELL).select("s", "id", "nid"))
+            both = links.unionByName(links.select("s", F.col("nid").alias("id"), F.col("id").alias("nid")))
+            roots = scratch.write(cells.join(least_labels(cells, both, step, max_iter), ["s", "id"]).select(*_CELL, "label"))
+        border = points.where("NOT core")
+        beside = near_cells(border, tree, scratch).select("s", "id", "cx", "cy").unionByName(border.select("s", "id", "cx", "cy"))
+        beside = beside.join(roots, _CELL).groupBy("s", "id").agg(F.min("label").alias("root"))
+        found = core.join(roots, _CELL).select("s", "id", F.col("label").alias("root")).unionByName(beside)
+        return cut_lineage(points.select("s", "id", "x", "y", "w").join(found, ["s", "id"], "left"))

@@ -126,6 +126,27 @@ def test_dbscan_of_crowded_cells_equals_brute_force(spark, monkeypatch, eps, ms)
     assert got == {i: order.get(r, -1) for i, r in want.items()}
 
 
+def test_dbscan_plans_do_not_grow_with_the_levels_of_crowded_cells(spark, monkeypatch):
+    """Each round's links hold no more inferred constraints than the first's: these once filled the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from strata.operators import density
+    monkeypatch.setattr(density, "LEAF", 2)
+    plain, sizes = DataFrame.distinct, []
+
+    def distinct(self):
+        if self.columns == ["s", "cx", "cy", "dx", "dy"]:
+            sizes.append(self._jdf.queryExecution().optimizedPlan().constraints().size())
+        return plain(self)
+    monkeypatch.setattr(DataFrame, "distinct", distinct)
+    rnd = random.Random(3)
+    rows = [(i, rnd.uniform(0, 0.2) + i % 3 * 0.21, rnd.uniform(0, 0.2)) for i in range(60)]
+    rows += [(100 + i, 5.0 + rnd.uniform(0, 0.01), 0.0) for i in range(20)] + [(200 + i, 5.307 + rnd.uniform(0, 0.01), 0.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    cluster.dbscan_sweep(df, "x", "y", "id", [0.3], [2]).collect()
+    assert len(sizes) >= 4 and max(sizes) <= sizes[0] + 20, sizes
+
+
 def _brute_nearest(points, query, k, skip=None):
     return sorted((sum((a - b) ** 2 for a, b in zip(v, query)), i) for i, v in points.items() if i != skip)[:k]
 
