@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -48,10 +50,12 @@ class _Index(dict):
 class PieceEncoder:
     """Encodes blocks of texts; remembers at most about ``max_pieces`` distinct pieces.
 
-    New pieces are encoded many at a time as one text, and its ids are parted
+    New pieces are encoded some at a time as one text (``RUN``: a longer text costs
+    the library more for each piece), and its ids are parted
     again: where the pieces are cut before a space, by the ids of tokens that
-    begin with a space (no piece has another one); else by a mark between the
-    pieces.  Pieces for which that would not hold, and those with a special string,
+    begin with a space (no piece has another one); else by the ids that end a
+    word where a piece is one word for certain (ASCII letters alone), and by a mark after each
+    piece where not.  Pieces for which that would not hold, and those with a special string,
     are encoded one by one.
     """
 
@@ -59,6 +63,8 @@ class PieceEncoder:
     #: a text with unusual white space); never part of UTF-8.
     OPENS = b"\xff"
     MARK = "^"
+    #: New pieces that are encoded as one text.
+    RUN = 16
 
     def __init__(self, path: str, cut: str, max_pieces: int = 700_000):
         if cut not in ("space", "white"):
@@ -67,12 +73,18 @@ class PieceEncoder:
         special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
         size = self.tokenizer.get_vocab_size()
+        self.closes = None
         if cut == "space":
             self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         else:
             mark = self._ids([self.MARK])[0]
             assert len(mark) == 1
             self.mark = mark[0]
+            suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+            if suffix:
+                closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+                if all(len(x) == 1 and closes[x[0]] for x in self._ids(list(string.ascii_letters))):
+                    self.closes = closes
         self._clear()
 
     def _clear(self) -> None:
@@ -112,33 +124,39 @@ class PieceEncoder:
         return found
 
     def _learn(self, new: list[bytes]) -> None:
+        special = self.special.search if self.special.search(b" ".join(new)) else lambda x: None
         if self.cut == "space":
-            alone = [k for k, x in enumerate(new) if x[:1] == self.OPENS or self.special.search(x)]
+            odd = np.array([x[:1] == self.OPENS or special(x) is not None for x in new])
             texts = [(x[1:] if x[:1] == self.OPENS else b" " + x).decode() for x in new]
         else:
             mark = self.MARK.encode()
-            alone = [k for k, x in enumerate(new) if mark in x or self.special.search(x)]
+            odd = np.array([mark in x or special(x) is not None for x in new])
             texts = [x.decode() for x in new]
-        odd = set(alone)
-        together = [k for k in range(len(new)) if k not in odd]
+        # pieces that are one word for certain
+        single = np.array([x.isalpha() for x in new]) & ~odd if self.closes is not None else np.zeros(len(new), bool)
+        alone = np.flatnonzero(odd).tolist()
         lens, flats = np.zeros(len(new), np.int64), [np.empty(0, np.uint32)]
         order = []
-        for i in range(0, len(together), 1000):
-            part = together[i:i + 1000]
-            joined = ("" if self.cut == "space" else f" {self.MARK} ").join(texts[k] for k in part)
-            ids = np.array(self._ids([joined])[0], np.uint32)
-            if self.cut == "space":
-                first = np.flatnonzero(self.opens[ids])
-                size = np.diff(np.append(first, len(ids)))
-            else:
-                at = np.append(np.flatnonzero(ids == self.mark), len(ids))
-                size = np.diff(np.concatenate([[-1], at])) - 1
-                ids = ids[ids != self.mark]
-            if len(size) != len(part):
-                raise AssertionError("pieces and their ids differ in number")
-            lens[part] = size
-            order += part
-            flats.append(ids)
+        for group, marked in ((single, False), (~odd & ~single, self.cut == "white")):
+            glue = "" if self.cut == "space" else f" {self.MARK} " if marked else " "
+            together = np.flatnonzero(group).tolist()
+            for i in range(0, len(together), 1000):
+                part = together[i:i + 1000]
+                some = [texts[k] for k in part]
+                joined = [glue.join(some[j:j + self.RUN]) + glue for j in range(0, len(some), self.RUN)]
+                ids = np.fromiter(chain.from_iterable(self._ids(joined)), np.uint32)
+                if marked:
+                    size = np.diff(np.concatenate([[-1], np.flatnonzero(ids == self.mark)])) - 1
+                    ids = ids[ids != self.mark]
+                elif self.cut == "white":
+                    size = np.diff(np.concatenate([[-1], np.flatnonzero(self.closes[ids])]))
+                else:
+                    size = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+                if len(size) != len(part):
+                    raise AssertionError("pieces and their ids differ in number")
+                lens[part] = size
+                order += part
+                flats.append(ids)
         for k, found in zip(alone, self._ids([texts[k] for k in alone])):
             lens[k] = len(found)
             order.append(k)
