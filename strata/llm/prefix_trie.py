@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import discard, materialise, stream_bound
+from strata.llm.common import discard, materialise, release, stream_bound
 
 #: Turns, depths or ids of one slice of a group.
 SLICE = 1024
@@ -147,6 +147,7 @@ def locate(pending: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFra
         ended.append(stands.where("a = length").select("conv", "length", "a", F.lit(None).cast(below.schema["edge"].dataType).alias("edge"),
                                                        F.lit(None).cast("long").alias("low")))
         active = step.where("whole").select("conv", "length", F.col("edge.extent").alias("a"))
+        release(active.sparkSession)
         if active.isEmpty():
             break
     found = ended[0]
@@ -199,6 +200,7 @@ def build_trie(prefixes: DataFrame, convs: DataFrame) -> DataFrame:
         located = materialise(locate(pending, prefixes, nodes), "trie-located")
         nodes, pending = insert_batch(located, prefixes, nodes)
         discard(located)
+        release(spark)   # plans, broadcasts and shuffles of the batch
     return nodes
 
 
@@ -244,6 +246,7 @@ def subtree_sums(nodes: DataFrame) -> DataFrame:
             *[(F.col(c) + F.coalesce(f"g_{c}", F.lit(0))).alias(c) for c in sums],
             F.least("least", "g_least").alias("least")), "trie-sums")
         discard(old)
+        release(nodes.sparkSession)
     return nodes
 
 

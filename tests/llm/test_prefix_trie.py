@@ -72,3 +72,14 @@ def test_numbers_of_the_fat_search(spark):
             asked.append(fattest(r["a"], b))
             b = asked[-1] - 1
         assert r["f"] == fattest(r["a"], r["b"]) and sorted(r["p"]) == sorted(asked)
+
+
+def test_the_driver_is_cleared_after_each_batch(spark, monkeypatch):
+    """Plans, broadcasts and shuffles of all batches once stayed until the driver's memory was full."""
+    released, batches, plain, insert = [], [], prefix_trie.release, prefix_trie.insert_batch
+    monkeypatch.setattr(prefix_trie, "release", lambda s: released.append(len(batches)) or plain(s))
+    monkeypatch.setattr(prefix_trie, "insert_batch", lambda *a: batches.append(1) or insert(*a))
+    rows = [(c, k, "user", f"{k} {c % 2}") for c in (0, 1, 5, 6) for k in range(3)]
+    turns = prefix_trie.materialise(order_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), "turns")
+    got = sorted((tuple(r) for r in conversation_trie(*regrown(turns)).collect()), key=str)
+    assert got == brute(rebuilt(rows)) and set(released) >= set(range(1, len(batches) + 1))
