@@ -147,7 +147,6 @@ def locate(pending: DataFrame, prefixes: DataFrame, nodes: DataFrame) -> DataFra
         ended.append(stands.where("a = length").select("conv", "length", "a", F.lit(None).cast(below.schema["edge"].dataType).alias("edge"),
                                                        F.lit(None).cast("long").alias("low")))
         active = step.where("whole").select("conv", "length", F.col("edge.extent").alias("a"))
-        release(active.sparkSession)
         if active.isEmpty():
             break
     found = ended[0]
